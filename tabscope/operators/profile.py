@@ -211,16 +211,13 @@ def full_summary(df: DataFrame) -> DataFrame:
     it is cast, as a failing cast of every row is slow.
     """
     fields = [f for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType))]
-
-    def stats_of(f: T.StructField):
-        column, number = ref(f.name), present(f)
-        if isinstance(f.dataType, T.StringType):
-            number = F.when(column.rlike(CASTABLE), column.try_cast("double"))
-        else:
-            column = number
-        return [F.count(column), F.avg(number), F.stddev_samp(number), F.min(column), F.max(column)]
-
-    per_field = [stats_of(f) for f in fields]
+    cells, per_field = [], []
+    for i, f in enumerate(fields):
+        cells.append(present(f).alias(f"_cell_{i}"))
+        number = F.when(ref(f.name).rlike(CASTABLE), ref(f.name).try_cast("double"))
+        cells.append((number if isinstance(f.dataType, T.StringType) else present(f)).alias(f"_number_{i}"))
+        cell, number = f"_cell_{i}", f"_number_{i}"
+        per_field.append([F.count(cell), F.avg(number), F.stddev_samp(number), F.min(cell), F.max(cell)])
     lines = [
         F.struct(
             F.lit(label).alias("summary"),
@@ -228,7 +225,7 @@ def full_summary(df: DataFrame) -> DataFrame:
         )
         for i, label in enumerate(["count", "mean", "stddev", "min", "max"])
     ]
-    return df.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
+    return df.select(*cells).agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
 
 
 HISTOGRAM_SCHEMA = "column string, bin int, low double, high double, count bigint"
@@ -254,7 +251,9 @@ def histogram(
         edges.append((c, low - 0.5, high + 0.5) if low == high else (c, low, high))
 
     cells = [
-        F.least(F.floor((ref(c) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int").alias(c)
+        F.when(
+            ref(c).isNotNull(), F.least(F.floor((ref(c) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+        ).alias(c)
         for c, low, high in edges
     ]
     counted = (
