@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabscope.catalog.inputs import DIRTY_SQL, derived, sql_of, table
-from tabscope.functions.columns import is_complete
+from tabscope.functions.columns import is_complete, melt
 from tabscope.functions.numbers import percent, round_percent
 from tabscope.operators import cleaning as C, profile as P
 from tabscope.plans.quality_report import quality_report, report_row
@@ -66,7 +66,7 @@ def text_summary(spark, sf_dir):
 
 def full_summary(spark, sf_dir):
     wide = P.full_summary(_dirty(spark, sf_dir))
-    long = wide.unpivot(["summary"], [c for c in wide.columns if c != "summary"], "column", "text")
+    long = melt(wide, [c for c in wide.columns if c != "summary"], value="text", ids=["summary"])
     number = F.round(F.col("text").try_cast("double"), 6)
     return long.select("summary", "column", number.alias("number"), F.when(number.isNull(), F.col("text")).alias("text"))
 
@@ -167,7 +167,7 @@ def column_roles(spark, sf_dir):
     roles = C.assign_roles(churn, "Churn", ["tenure", "MonthlyCharges", "TotalCharges"])
     role = {**{c: "numeric" for c in roles.numeric}, **{c: "categorical" for c in roles.categorical}}
     texts = churn.select(*[F.col(c).cast("string").alias(c) for c in role])
-    counted = texts.unpivot([], list(role), "column", "value").groupBy("column", "value").count()
+    counted = melt(texts, list(role)).groupBy("column", "value").count()
     named = F.create_map(*[F.lit(x) for pair in role.items() for x in pair])[F.col("column")]
     return counted.groupBy("column").agg(F.count("*").alias("distinct_values")).withColumn("role", named)
 

@@ -55,3 +55,9 @@ def is_complete(df: DataFrame) -> Column:
 def pick(df: DataFrame, columns: list[str] | None, default: list[str]) -> list[T.StructField]:
     names = default if columns is None else columns
     return [df.schema[name] for name in names]
+
+
+def melt(df: DataFrame, columns: list[str], name: str = "column", value: str = "value", ids: list[str] | None = None) -> DataFrame:
+    """One row per listed column and input row; the columns share one type."""
+    cells = [F.struct(F.lit(c).alias(name), ref(c).alias(value)) for c in columns]
+    return df.select(*[ref(i) for i in ids or []], F.inline(F.array(*cells)))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tabscope.functions.columns import (
     as_measure,
     is_complete,
+    melt,
     numeric_columns,
     pick,
     present,
@@ -178,9 +179,7 @@ def numeric_summary(
 
 def _value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     texts = df.select(*[present(df.schema[n]).cast("string").alias(n) for n in names])
-    return texts.unpivot([], [ref(n) for n in names], "column", "value").groupBy("column", "value").agg(
-        F.count("*").alias("count")
-    )
+    return melt(texts, names).groupBy("column", "value").agg(F.count("*").alias("count"))
 
 
 def text_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -211,21 +210,37 @@ def full_summary(df: DataFrame) -> DataFrame:
     it is cast, as a failing cast of every row is slow.
     """
     fields = [f for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType))]
-    cells, per_field = [], []
+    texts = [f for f in fields if isinstance(f.dataType, T.StringType)]
+    numbers = [f for f in fields if f not in texts]
+    labels = ["count", "mean", "stddev", "min", "max"]
+    line = F.col("id").cast("int")
+    shown = {}
+    # a group of columns per scan: each scan reads only its own columns
+    for kind in (numbers, texts):
+        for at in range(0, len(kind), FIELDS_PER_SCAN):
+            part = kind[at : at + FIELDS_PER_SCAN]
+            stats = _as_text(df, part).scalar()
+            shown.update({f.name: stats[i][line].alias(f.name) for i, f in enumerate(part)})
+    return (
+        df.sparkSession.range(0, len(labels), 1, 1)
+        .select(F.array(*map(F.lit, labels))[line].alias("summary"), *[shown[f.name] for f in fields])
+    )
+
+
+FIELDS_PER_SCAN = 5
+
+
+def _as_text(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """One array of arrays: per field its count, mean, stddev, min and max as text."""
+    cells, stats = [], []
     for i, f in enumerate(fields):
-        cells.append(present(f).alias(f"_cell_{i}"))
-        number = F.when(ref(f.name).rlike(CASTABLE), ref(f.name).try_cast("double"))
-        cells.append((number if isinstance(f.dataType, T.StringType) else present(f)).alias(f"_number_{i}"))
-        cell, number = f"_cell_{i}", f"_number_{i}"
-        per_field.append([F.count(cell), F.avg(number), F.stddev_samp(number), F.min(cell), F.max(cell)])
-    lines = [
-        F.struct(
-            F.lit(label).alias("summary"),
-            *[stats[i].cast("string").alias(f.name) for f, stats in zip(fields, per_field)],
-        )
-        for i, label in enumerate(["count", "mean", "stddev", "min", "max"])
-    ]
-    return df.select(*cells).agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
+        number = present(f)
+        if isinstance(f.dataType, T.StringType):
+            number = F.when(ref(f.name).rlike(CASTABLE), ref(f.name).try_cast("double"))
+        cells += [present(f).alias(f"c{i}"), number.alias(f"n{i}")]
+        aggregates = [F.count(f"c{i}"), F.avg(f"n{i}"), F.stddev_samp(f"n{i}"), F.min(f"c{i}"), F.max(f"c{i}")]
+        stats.append(F.array(*[a.cast("string") for a in aggregates]))
+    return df.select(*cells).agg(F.array(*stats).alias("stats"))
 
 
 HISTOGRAM_SCHEMA = "column string, bin int, low double, high double, count bigint"
@@ -257,8 +272,7 @@ def histogram(
         for c, low, high in edges
     ]
     counted = (
-        values.select(*cells)
-        .unpivot([], [ref(c) for c in values.columns], "column", "bin")
+        melt(values.select(*cells), values.columns, value="bin")
         .filter(F.col("bin").isNotNull())
         .groupBy("column", "bin")
         .agg(F.count("*").alias("count"))
