@@ -6,8 +6,6 @@ distinct score, put in order range by range.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope.functions.columns import ref
@@ -68,29 +66,37 @@ def jaccard(counts: DataFrame, positive=1) -> DataFrame:
     return counts.groupBy("split").agg(F.coalesce(score, F.lit(0.0)).alias("jaccard"))
 
 
-def classification_report(counts: DataFrame) -> DataFrame:
-    """``split, class, metric, value`` per class, with accuracy, macro and weighted averages."""
+def class_totals(counts: DataFrame) -> DataFrame:
+    """``split, class, support, predicted, hits`` from the pair counts."""
+    none, hit = F.lit(0).cast("bigint"), F.col("y") == F.col("pred")
     sides = F.inline(
         F.array(
             F.struct(
                 F.col("y").cast("string").alias("class"),
                 F.col("count").alias("actual"),
-                F.lit(0).cast("bigint").alias("predicted"),
-                F.when(F.col("y") == F.col("pred"), F.col("count")).otherwise(0).cast("bigint").alias("hits"),
+                none.alias("predicted"),
+                F.when(hit, F.col("count")).otherwise(none).alias("hits"),
             ),
             F.struct(
                 F.col("pred").cast("string").alias("class"),
-                F.lit(0).cast("bigint").alias("actual"),
+                none.alias("actual"),
                 F.col("count").alias("predicted"),
-                F.lit(0).cast("bigint").alias("hits"),
+                none.alias("hits"),
             ),
         )
     )
-    zero = F.lit(0.0)
-    per_class = (
+    return (
         counts.select("split", sides)
         .groupBy("split", "class")
         .agg(F.sum("actual").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits"))
+    )
+
+
+def classification_report(counts: DataFrame) -> DataFrame:
+    """``split, class, metric, value`` per class, with accuracy, macro and weighted averages."""
+    zero = F.lit(0.0)
+    per_class = (
+        class_totals(counts)
         .withColumn("precision", F.coalesce(F.try_divide("hits", "predicted"), zero))
         .withColumn("recall", F.coalesce(F.try_divide("hits", "support"), zero))
         .withColumn("f1-score", F.coalesce(F.try_divide(2 * F.col("hits"), F.col("predicted") + F.col("support")), zero))
@@ -121,43 +127,52 @@ def classification_report(counts: DataFrame) -> DataFrame:
     return detail.unionByName(summary)
 
 
-def agreement(counts: DataFrame, positive=1) -> DataFrame:
-    """Kappa and, for two classes, Matthews correlation."""
-    sides = F.inline(
-        F.array(
-            F.struct(F.col("y").cast("string").alias("class"), F.col("count").alias("a"), F.lit(0).cast("bigint").alias("p")),
-            F.struct(F.col("pred").cast("string").alias("class"), F.lit(0).cast("bigint").alias("a"), F.col("count").alias("p")),
-        )
-    )
-    chance = (
-        counts.select("split", sides)
-        .groupBy("split", "class")
-        .agg(F.sum("a").cast("double").alias("a"), F.sum("p").cast("double").alias("p"))
-        .groupBy("split")
-        .agg((F.sum(F.col("a") * F.col("p")) / (F.sum("a") * F.sum("a"))).alias("expected"))
-    )
-    actual, predicted = F.col("y") == positive, F.col("pred") == positive
-    cells = counts.groupBy("split").agg(
-        (_right() / F.sum("count")).alias("observed"),
-        *[
-            _total(cond).cast("double").alias(name)
-            for name, cond in [
-                ("tp", actual & predicted),
-                ("fp", ~actual & predicted),
-                ("fn", actual & ~predicted),
-                ("tn", ~actual & ~predicted),
-            ]
-        ],
+def class_metrics(counts: DataFrame, positive=1) -> DataFrame:
+    """One row per split with all scalar class metrics, from one pass over the counts.
+
+    Recall, precision, f1, Jaccard and Matthews correlation are those of the
+    positive class; 0/0 counts as 0.
+    """
+    own = F.col("class") == F.lit(positive).cast("string")
+    zero = F.lit(0.0)
+
+    def of_positive(column: str) -> Column:
+        return F.coalesce(F.max(F.when(own, F.col(column))), F.lit(0)).cast("double")
+
+    totals = class_totals(counts).groupBy("split").agg(
+        F.sum("support").cast("double").alias("n"),
+        F.sum("hits").cast("double").alias("right"),
+        F.avg(F.try_divide("hits", "support")).alias("balanced_accuracy"),
+        F.sum(F.col("support").cast("double") * F.col("predicted").cast("double")).alias("chance"),
+        of_positive("support").alias("actual"),
+        of_positive("predicted").alias("predicted"),
+        of_positive("hits").alias("tp"),
     )
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    spread = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
-    return cells.join(chance, "split").select(
+    n, actual, predicted, tp = (F.col(c) for c in ("n", "actual", "predicted", "tp"))
+    fp, fn, tn = predicted - tp, actual - tp, n - actual - predicted + tp
+    observed, expected = F.col("right") / n, F.col("chance") / (n * n)
+
+    def ratio(part: Column, whole: Column) -> Column:
+        return F.coalesce(F.try_divide(part, whole), zero)
+
+    return totals.select(
         "split",
-        F.coalesce(F.try_divide(F.col("observed") - F.col("expected"), 1 - F.col("expected")), F.lit(0.0)).alias("kappa"),
-        F.coalesce(F.try_divide(tp * tn - fp * fn, spread), F.lit(0.0)).alias("mcc"),
+        observed.alias("accuracy"),
+        "balanced_accuracy",
+        ratio(tp, actual + predicted - tp).alias("jaccard"),
+        ratio(tp, actual).alias("recall"),
+        ratio(tp, predicted).alias("precision"),
+        ratio(2 * tp, actual + predicted).alias("f1"),
+        ratio(observed - expected, 1 - expected).alias("kappa"),
+        ratio(tp * tn - fp * fn, F.sqrt(predicted * actual * (tn + fp) * (tn + fn))).alias("mcc"),
     )
 
 
+def agreement(counts: DataFrame, positive=1) -> DataFrame:
+    """Kappa and, for two classes, Matthews correlation."""
+    return class_metrics(counts, positive).select("split", "kappa", "mcc")
+
+
 def ordered_scores(scored: DataFrame, split: str = "split", positive=1) -> DataFrame:
     """Positives and negatives per distinct score, in falling order, with their running totals."""
     hit = F.col("y") == positive
@@ -205,20 +220,6 @@ def roc_auc(ordered: DataFrame) -> DataFrame:
     )
 
 
-def class_metrics(counts: DataFrame, positive=1) -> DataFrame:
-    """One row per split with the scalar class metrics."""
-    actual, predicted = F.col("y") == positive, F.col("pred") == positive
-    hits = _total(actual & predicted)
-    zero = F.lit(0.0)
-    own = counts.groupBy("split").agg(
-        F.coalesce(F.try_divide(hits, _total(actual)), zero).alias("recall"),
-        F.coalesce(F.try_divide(hits, _total(predicted)), zero).alias("precision"),
-        F.coalesce(F.try_divide(2 * hits, _total(actual) + _total(predicted)), zero).alias("f1"),
-    )
-    tables = [accuracy(counts), balanced_accuracy(counts), jaccard(counts, positive), own, agreement(counts, positive)]
-    return reduce(lambda a, b: a.join(b, "split"), tables)
-
-
 def regression_metrics(scored: DataFrame, split: str = "split") -> DataFrame:
     """MAE, MSE, RMSE, R², RMSLE and MAPE of ``(y, pred)`` in one pass."""
     y, pred = F.col("y").cast("double"), F.col("pred").cast("double")

@@ -61,7 +61,7 @@ def evaluation_block(counts: DataFrame, auc: DataFrame, split: str):
 
 def evaluation_row(scored: DataFrame, model_name: str, cross_validation: float | None, params: list[tuple[str, str]]):
     """Train and test blocks, cross-validated accuracy and first parameters as one row."""
-    counts = E.confusion_matrix(E.class_counts(scored), [0, 1])
+    counts = materialize(E.confusion_matrix(E.class_counts(scored), [0, 1]), "confusion")
     ordered = E.ordered_scores(scored)
     auc = E.roc_auc(ordered)
     pairs = [x for name, value in params for x in (F.lit(name), F.lit(value))]
