@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, classification as C, regression as R
 from pyspark.ml.feature import Imputer, SQLTransformer
@@ -16,6 +18,7 @@ from tabscope.operators.cleaning import Roles
 from tabscope.operators.features import _sql_name, _sql_text, column_transformer, label_encoder
 from tabscope.operators.profile import top_values
 from tabscope.operators.splitting import stratified_folds, train_test_split
+from tabscope.workspace import materialize
 
 MAX_CATEGORIES = 25
 
@@ -121,7 +124,11 @@ VALUE_METRICS = ["mae", "mse", "rmse", "r2", "rmsle", "mape"]
 
 
 def compare_classifiers(
-    experiment: Experiment, folds: int = 10, candidates: dict | None = None, sort: str = "accuracy"
+    experiment: Experiment,
+    folds: int = 10,
+    candidates: dict | None = None,
+    sort: str = "accuracy",
+    parallelism: int = 4,
 ) -> DataFrame:
     """Leaderboard of cross-validated class metrics on the training rows.
 
@@ -149,7 +156,7 @@ def compare_classifiers(
         )
 
     def metrics(rows: DataFrame) -> DataFrame:
-        counts = E.class_counts(rows)
+        counts = materialize(E.class_counts(rows), "counts") if classes > 2 else E.class_counts(rows)
         table = E.class_metrics(counts)
         if classes > 2:
             report = E.classification_report(counts).filter(F.col("class") == "weighted avg")
@@ -158,11 +165,15 @@ def compare_classifiers(
             table = table.withColumn("mcc", F.lit(None).cast("double"))
         return table.join(E.roc_auc(E.ordered_scores(rows)), "split", "left")
 
-    return _compare(experiment, assigned, folds, candidates, scored, metrics, CLASS_METRICS, sort, False)
+    return _compare(experiment, assigned, folds, candidates, scored, metrics, CLASS_METRICS, sort, False, parallelism)
 
 
 def compare_regressors(
-    experiment: Experiment, folds: int = 10, candidates: dict | None = None, sort: str = "r2"
+    experiment: Experiment,
+    folds: int = 10,
+    candidates: dict | None = None,
+    sort: str = "r2",
+    parallelism: int = 4,
 ) -> DataFrame:
     """Leaderboard of cross-validated error metrics on the training rows."""
     train = experiment.train.withColumn("label", ref(experiment.target).cast("double")).withColumn("_all", F.lit(0))
@@ -183,29 +194,34 @@ def compare_regressors(
         VALUE_METRICS,
         sort,
         sort != "r2",
+        parallelism,
     )
 
 
-def _compare(experiment, assigned, folds, candidates, scored, metrics, names, sort, ascending) -> DataFrame:
+def _compare(
+    experiment, assigned, folds, candidates, scored, metrics, names, sort, ascending, parallelism
+) -> DataFrame:
     """Encode each fold once, fit every candidate on it, average the metrics over the folds."""
     spark = assigned.sparkSession
-    encoders = []
+    encoded = []
     for fold in range(folds):
         encode = Pipeline(stages=experiment.stages).fit(assigned.filter(F.col("fold") != fold))
-        encoders.append(encode)
-    lines = []
-    for name, estimator in candidates.items():
+        encoded.append(encode.transform(assigned).select("label", "features", "fold"))
+
+    def one(candidate: tuple[str, object]) -> tuple:
+        name, estimator = candidate
         parts, spent = [], 0.0
-        for fold, encode in enumerate(encoders):
-            encoded = encode.transform(assigned).select("label", "features", "fold")
+        for fold, rows in enumerate(encoded):
             begun = time.monotonic()
-            model = estimator.fit(encoded.filter(F.col("fold") != fold))
+            model = estimator.fit(rows.filter(F.col("fold") != fold))
             spent += time.monotonic() - begun
-            parts.append(scored(model, encoded.filter(F.col("fold") == fold), fold))
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        means = metrics(rows).agg(*[F.avg(m).alias(m) for m in names]).first()
-        lines.append((name, *[means[m] for m in names], spent / folds))
+            parts.append(scored(model, rows.filter(F.col("fold") == fold), fold))
+        # scored once, read by every metric
+        held_out = materialize(reduce(DataFrame.unionByName, parts), "scored")
+        means = metrics(held_out).agg(*[F.avg(m) for m in names]).first()
+        return (name, *means, spent / folds)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        lines = list(pool.map(one, candidates.items()))
     schema = "model string, " + ", ".join(f"{m} double" for m in names) + ", seconds double"
     return leaderboard(spark.createDataFrame(lines, schema), sort, ascending)

@@ -39,37 +39,44 @@ def prepare(df: DataFrame, target: str, key: list[str]) -> tuple[DataFrame, Role
     return rows, assign_roles(rows.drop(*key), target, NUMERIC)
 
 
-def evaluation_block(counts: DataFrame, auc: DataFrame, split: str):
-    """One row with a struct of the scalar metrics and the class report of a split."""
-    own = counts.filter(F.col("split") == split)
-    scalars = E.class_metrics(own).join(auc.filter(F.col("split") == split), "split")
-    lines = E.classification_report(own).agg(
-        F.array_sort(F.collect_list(F.struct("class", "metric", "value"))).alias("r")
+def evaluation_blocks(counts: DataFrame, auc: DataFrame) -> DataFrame:
+    """``split, block``: the scalar metrics, class report and confusion matrix of each split."""
+    lines = E.classification_report(counts).groupBy("split").agg(
+        F.array_sort(F.collect_list(F.struct("class", "metric", "value"))).alias("classification_report")
     )
-    cells = own.agg(F.array_sort(F.collect_list(F.struct("y", "pred", "count"))).alias("c"))
-    return scalars.select(
-        F.struct(
-            "accuracy",
-            "balanced_accuracy",
-            "jaccard",
-            F.col("auc").alias("roc_score"),
-            lines.scalar().alias("classification_report"),
-            cells.scalar().alias("confusion_matrix"),
-        )
-    ).scalar()
+    cells = counts.groupBy("split").agg(
+        F.array_sort(F.collect_list(F.struct("y", "pred", "count"))).alias("confusion_matrix")
+    )
+    parts = E.class_metrics(counts).join(auc, "split").join(lines, "split").join(cells, "split")
+    block = F.struct(
+        "accuracy",
+        "balanced_accuracy",
+        "jaccard",
+        F.col("auc").alias("roc_score"),
+        "classification_report",
+        "confusion_matrix",
+    )
+    return parts.select("split", block.alias("block"))
 
 
 def evaluation_row(scored: DataFrame, model_name: str, cross_validation: float | None, params: list[tuple[str, str]]):
     """Train and test blocks, cross-validated accuracy and first parameters as one row."""
     counts = materialize(E.confusion_matrix(E.class_counts(scored), [0, 1]), "confusion")
     ordered = E.ordered_scores(scored)
-    auc = E.roc_auc(ordered)
+    blocks = evaluation_blocks(counts, E.roc_auc(ordered))
+
+    def of(split: str):
+        return F.first(F.when(F.col("split") == split, F.col("block")), ignorenulls=True)
+
     pairs = [x for name, value in params for x in (F.lit(name), F.lit(value))]
-    row = scored.sparkSession.range(1).select(
+    row = blocks.agg(
+        of("train").alias("training_result"),
+        of("test").alias("testing_result"),
+    ).select(
         F.lit(model_name).alias("model_name"),
         F.lit("Processed").alias("Status"),
-        evaluation_block(counts, auc, "train").alias("training_result"),
-        evaluation_block(counts, auc, "test").alias("testing_result"),
+        "training_result",
+        "testing_result",
         F.lit(cross_validation).cast("double").alias("cross_validation"),
         (F.create_map(*pairs) if pairs else F.lit(None)).cast("map<string,string>").alias("model_params"),
     )
