@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites of column expressions are for error messages only and slow down plan building
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
