@@ -7,6 +7,7 @@ only one summary row per range crosses between them.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -128,7 +129,9 @@ def values_at_ranks(
     for _ in range(zooms):
         if sum(b.inside for b in open_brackets) <= listed_rows:
             break
-        open_brackets = _settle(_zoom(df, open_brackets), found)
+        finite = [b for b in open_brackets if math.isfinite(b.high - b.low)]
+        endless = [b for b in open_brackets if b not in finite]
+        open_brackets = endless + (_settle(_zoom(df, finite), found) if finite else [])
     short = [b for b in open_brackets if b.inside <= listed_rows]
     long = [b for b in open_brackets if b.inside > listed_rows]
     if short:
