@@ -48,7 +48,7 @@ SELECT l_orderkey, l_linenumber,
 FROM {lineitem}""",
     # order histories as a churn table; customers without orders have no tenure and blank charges
     "churn": """
-SELECT c_custkey, c_mktsegment AS Segment, n_name AS Nation,
+SELECT c_custkey, c_mktsegment AS Segment, r_name AS Region,
   CASE WHEN urgent * 4 > n THEN 1 ELSE 0 END AS UrgentBuyer,
   COALESCE((YEAR(last_day_seen) - YEAR(first_day_seen)) * 12 + MONTH(last_day_seen) - MONTH(first_day_seen), 0) AS tenure,
   COALESCE(total / n, 0) AS MonthlyCharges,
@@ -56,6 +56,7 @@ SELECT c_custkey, c_mktsegment AS Segment, n_name AS Nation,
   CASE WHEN last_day_seen >= TIMESTAMP '2001-01-01 00:00:00' THEN 'No' ELSE 'Yes' END AS Churn
 FROM {customer}
 JOIN {nation} ON c_nationkey = n_nationkey
+JOIN {region} ON n_regionkey = r_regionkey
 LEFT JOIN (
   SELECT o_custkey, COUNT(*) AS n, CAST(ROUND(SUM(o_totalprice)) AS BIGINT) AS total,
     MIN(o_orderdate) AS first_day_seen, MAX(o_orderdate) AS last_day_seen,

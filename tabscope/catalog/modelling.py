@@ -16,7 +16,7 @@ from tabscope.streaming.scoring import arriving_files, score_stream
 from tabscope.workspace import materialize, new_path
 
 KEY = ["c_custkey"]
-CATEGORIES = ["Segment", "Nation", "UrgentBuyer"]
+CATEGORIES = ["Segment", "Region", "UrgentBuyer"]
 ROLES = Roles(numeric=NUMERIC, categorical=CATEGORIES, passthrough=[])
 
 
@@ -42,9 +42,9 @@ def _encoded(rows, roles):
 
 
 def one_hot_encoding(spark, sf_dir):
-    """Width of the encoded nation and the position that is set."""
+    """Width of the encoded region and the position that is set."""
     rows = _rows(spark, sf_dir)
-    encoded = _encoded(rows, Roles([], ["Nation"], []))
+    encoded = _encoded(rows, Roles([], ["Region"], []))
     return encoded.select(
         "c_custkey",
         F.size("values").alias("width"),
@@ -182,9 +182,9 @@ ORACLES = {
     "standard_scaling": f"WITH {_FITTED} SELECT c_custkey, "
     + ", ".join(f"ROUND({z}, 6) AS {c}_scaled" for c, z in _Z.items())
     + " FROM r, k",
-    "one_hot_encoding": f"""WITH {_ROWS}, n AS (SELECT Nation, ROW_NUMBER() OVER (ORDER BY Nation) AS position, COUNT(*) OVER () AS width
-  FROM (SELECT DISTINCT Nation FROM r WHERE split = 'train'))
-SELECT c_custkey, CAST(width AS INTEGER) AS width, position, CAST(1 AS DOUBLE) AS total FROM r JOIN n USING (Nation)""",
+    "one_hot_encoding": f"""WITH {_ROWS}, n AS (SELECT Region, ROW_NUMBER() OVER (ORDER BY Region) AS position, COUNT(*) OVER () AS width
+  FROM (SELECT DISTINCT Region FROM r WHERE split = 'train'))
+SELECT c_custkey, CAST(width AS INTEGER) AS width, position, CAST(1 AS DOUBLE) AS total FROM r JOIN n USING (Region)""",
     "label_encoding": f"""WITH {_ROWS}, l AS (SELECT Churn, ROW_NUMBER() OVER (ORDER BY Churn) - 1 AS label FROM (SELECT DISTINCT Churn FROM r WHERE split = 'train'))
 SELECT c_custkey, CAST(label AS INTEGER) AS label, Churn AS decoded FROM r JOIN l USING (Churn)""",
     "column_transformer": f"""WITH {_FITTED},

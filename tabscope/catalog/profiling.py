@@ -346,7 +346,7 @@ SELECT Churn, COUNT(*) AS labels, (SELECT COUNT(*) FROM c) AS feature_rows, 7 AS
     "column_roles": f"WITH c AS ({sql_of('churn')}) "
     + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", COUNT(DISTINCT {c}) AS distinct_values, '{r}' AS role FROM c"
-        for c, r in [("Segment", "categorical"), ("Nation", "categorical"), ("UrgentBuyer", "categorical"), ("tenure", "numeric"), ("MonthlyCharges", "numeric"), ("TotalCharges", "numeric")]
+        for c, r in [("Segment", "categorical"), ("Region", "categorical"), ("UrgentBuyer", "categorical"), ("tenure", "numeric"), ("MonthlyCharges", "numeric"), ("TotalCharges", "numeric")]
     ),
     "columns_by_type": f"WITH {DIRTY_SQL} "
     + " UNION ALL ".join(

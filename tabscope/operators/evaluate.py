@@ -193,19 +193,14 @@ def roc_curve(ordered: DataFrame) -> DataFrame:
     first = (F.col("before_pos") == 0) & (F.col("before_neg") == 0)
     straight = (F.col("pos") == F.col("next_pos")) & (F.col("neg") == F.col("next_neg"))
     keep = first | F.col("next_pos").isNull() | ~straight
-    points = ordered.filter(keep).select(
-        "split",
+    point = F.struct(
         F.col("score").alias("threshold"),
         F.try_divide(F.col("before_neg") + F.col("neg"), F.col("all_neg")).alias("fpr"),
         F.try_divide(F.col("before_pos") + F.col("pos"), F.col("all_pos")).alias("tpr"),
     )
-    start = ordered.filter(first).select(
-        "split",
-        F.lit(float("inf")).alias("threshold"),
-        F.lit(0.0).alias("fpr"),
-        F.lit(0.0).alias("tpr"),
-    )
-    return points.unionByName(start)
+    start = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    points = F.when(first, F.array(start, point)).otherwise(F.array(point))
+    return ordered.filter(keep).select("split", F.inline(points))
 
 
 def roc_auc(ordered: DataFrame) -> DataFrame:

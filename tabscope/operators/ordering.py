@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabscope.functions.columns import ref
 from tabscope.functions.hashing import POSITION_BITS
@@ -34,11 +34,23 @@ def running_totals(
     ``df`` holds one row per group and order value (collapse copies first).
     ``before_<c>`` is the sum over the earlier rows of the group, ``all_<c>`` the
     sum over the group, ``next_<c>`` the following row's value.
+
+    The windows inside the ranges run once, before the ranges are written; a use
+    of the result reads them and joins one row per range.
     """
     ahead = look_ahead or []
+    groups = [ref(g) for g in group]
     key = F.desc(order) if descending else F.asc(order)
+    inside = Window.partitionBy(*groups, SLICE).orderBy(key)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     ranged = materialize(
-        df.repartitionByRange(*[ref(g) for g in group], key).withColumn(SLICE, F.spark_partition_id()),
+        df.repartitionByRange(*groups, key)
+        .withColumn(SLICE, F.spark_partition_id())
+        .select(
+            "*",
+            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_inner_{c}") for c in totals],
+            *([F.lead(F.struct(*ahead)).over(inside).alias("_next")] if ahead else []),
+        ),
         "ranges",
     )
     keys = [*group, SLICE]
@@ -49,31 +61,21 @@ def running_totals(
         summary.append(first(F.struct(*ahead), F.col(order)).alias("_head"))
     ends = ranged.groupBy(*keys).agg(*summary)
 
-    across = Window.partitionBy(*[ref(g) for g in group]).orderBy(SLICE)
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*groups).orderBy(SLICE)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
     everything = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = ends.select(
         *keys,
-        *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_start_{c}") for c in totals],
+        *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in totals],
         *[F.sum(f"_sum_{c}").over(everything).alias(f"all_{c}") for c in totals],
         *([F.lead("_head").over(across).alias("_next_head")] if ahead else []),
     )
-
-    inside = Window.partitionBy(*[ref(k) for k in keys]).orderBy(key)
-    previous = inside.rowsBetween(Window.unboundedPreceding, -1)
-    joined = null_safe_join(ranged, starts, keys)
-    if ahead:
-        joined = joined.withColumn(
-            "_next", F.coalesce(F.lead(F.struct(*ahead)).over(inside), F.col("_next_head"))
-        )
-    return joined.select(
+    following = F.coalesce(F.col("_next"), F.col("_next_head")) if ahead else None
+    return null_safe_join(ranged, starts, keys).select(
         *df.columns,
-        *[
-            (F.col(f"_start_{c}") + F.coalesce(F.sum(c).over(previous), F.lit(0))).alias(f"before_{c}")
-            for c in totals
-        ],
+        *[(F.col(f"_start_{c}") + F.col(f"_inner_{c}")).alias(f"before_{c}") for c in totals],
         *[F.col(f"all_{c}") for c in totals],
-        *[F.col(f"_next.{c}").alias(f"next_{c}") for c in ahead],
+        *[following[c].alias(f"next_{c}") for c in ahead],
     )
 
 
@@ -166,39 +168,52 @@ def _settle(brackets: list[Bracket], found: dict) -> list[Bracket]:
     return [b for b in brackets if b.low < b.high]
 
 
+def _by_column(brackets: list[Bracket]) -> dict[str, list[int]]:
+    places: dict[str, list[int]] = {}
+    for i, b in enumerate(brackets):
+        places.setdefault(b.column, []).append(i)
+    return places
+
+
+def _choose(brackets: list[Bracket], places: list[int], value) -> Column:
+    """CASE over the brackets of one column, which never overlap."""
+    choice = F
+    for i in places:
+        b = brackets[i]
+        choice = choice.when(ref(b.column).between(b.low, b.high), value(i, b))
+    return choice
+
+
 def _members(df: DataFrame, brackets: list[Bracket]) -> DataFrame:
     """``id, value`` for every value inside a bracket."""
     entries = [
-        F.struct(
-            F.lit(i).alias("id"),
-            F.when(ref(b.column).between(b.low, b.high), ref(b.column)).alias("value"),
-        )
-        for i, b in enumerate(brackets)
+        F.struct(_choose(brackets, places, lambda i, b: F.lit(i)).alias("id"), ref(c).alias("value"))
+        for c, places in _by_column(brackets).items()
     ]
-    return df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+    return df.select(F.inline(F.array(*entries))).filter(F.col("id").isNotNull())
 
 
 def _zoom(df: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
-    entries = []
-    for i, b in enumerate(brackets):
+    def cell(i: int, b: Bracket) -> Column:
         share = (ref(b.column) - b.low) / (b.high - b.low)
-        cell = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
-        inside = ref(b.column).between(b.low, b.high)
-        entries.append(
-            F.struct(F.lit(i).alias("id"), F.when(inside, cell).alias("bin"), ref(b.column).alias("value"))
-        )
+        return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int") + F.lit(i * BINS)
+
+    entries = [
+        F.struct(_choose(brackets, places, cell).alias("cell"), ref(c).alias("value"))
+        for c, places in _by_column(brackets).items()
+    ]
     # at most BINS rows per bracket come back
     rows = (
         df.select(F.inline(F.array(*entries)))
-        .filter(F.col("bin").isNotNull())
-        .groupBy("id", "bin")
+        .filter(F.col("cell").isNotNull())
+        .groupBy("cell")
         .agg(F.count("*").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
         .collect()
     )
     narrowed = []
     for i, b in enumerate(brackets):
         below = b.below
-        for row in sorted((r for r in rows if r["id"] == i), key=lambda r: r["bin"]):
+        for row in sorted((r for r in rows if r["cell"] // BINS == i), key=lambda r: r["cell"]):
             ranks = [r for r in b.ranks if below <= r < below + row["rows"]]
             if ranks:
                 narrowed.append(Bracket(b.column, row["low"], row["high"], below, row["rows"], ranks))

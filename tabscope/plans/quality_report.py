@@ -41,7 +41,11 @@ def quality_report(
     if wants & {"describe", "num_dist", "corr"}:
         values = P.measures(df)
         stats = P.measure_stats(values) if values.columns else {}
-    counts = P.scorecard(df) if "unique" in wants and unique_by == "rows" else None
+    counts = None
+    if "unique" in wants and unique_by == "rows":
+        # one row, taken once for the three metrics that show it
+        scored = P.scorecard(df)
+        counts = df.sparkSession.createDataFrame([tuple(scored.first())], scored.schema)
 
     def describe() -> DataFrame:
         return P.numeric_summary(df, method=quartiles, stats=stats) if stats else P.text_summary(df)

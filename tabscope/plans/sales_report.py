@@ -19,7 +19,8 @@ def sales_report(
     beta: float | None = None,
 ) -> dict[str, DataFrame]:
     """One table per part of the report; percentages are not rounded."""
-    counts = P.scorecard(sales, rounded=False)
+    scored = P.scorecard(sales, rounded=False)
+    counts = sales.sparkSession.createDataFrame([tuple(scored.first())], scored.schema)
     monthly = S.monthly_totals(sales, date, value, series)
     if model == "trend_seasonal":
         forecast = S.forecast_trend_seasonal(S.fit_trend_seasonal(monthly, series), months, series)
