@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, classification as C, regression as R
 from pyspark.ml.feature import Imputer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tabscope.functions.columns import numeric_columns, ref, text_columns
 from tabscope.operators import evaluate as E
@@ -109,14 +109,12 @@ def regression_candidates() -> dict[str, object]:
 
 
 def leaderboard(results: DataFrame, metric: str, ascending: bool = False) -> DataFrame:
-    """Candidates from best to worst, ties by name, the best one marked."""
-    ordered = results.orderBy(F.asc(metric) if ascending else F.desc(metric), "model")
-    return ordered.withColumn("best", F.lit(False)) if results.isEmpty() else _mark_best(ordered)
+    """Candidates from best to worst, ties by name, the best one marked.
 
-
-def _mark_best(ordered: DataFrame) -> DataFrame:
-    best = ordered.first()["model"]
-    return ordered.withColumn("best", F.col("model") == best)
+    ``results`` has one row per candidate, so its order fits one task.
+    """
+    place = F.row_number().over(Window.orderBy(F.asc(metric) if ascending else F.desc(metric), "model"))
+    return results.withColumn("_place", place).orderBy("_place").withColumn("best", F.col("_place") == 1).drop("_place")
 
 
 CLASS_METRICS = ["accuracy", "auc", "recall", "precision", "f1", "kappa", "mcc"]
@@ -139,7 +137,9 @@ def compare_classifiers(
     encoder = label_encoder(experiment.target).fit(train)
     classes = len(encoder.labelsArray[0])
     candidates = candidates or classification_candidates(classes)
-    assigned = stratified_folds(encoder.transform(train), experiment.target, experiment.key, folds)
+    assigned = materialize(
+        stratified_folds(encoder.transform(train), experiment.target, experiment.key, folds), "folds"
+    )
 
     def scored(model, part: DataFrame, fold: int) -> DataFrame:
         out = model.transform(part)
@@ -177,7 +177,7 @@ def compare_regressors(
 ) -> DataFrame:
     """Leaderboard of cross-validated error metrics on the training rows."""
     train = experiment.train.withColumn("label", ref(experiment.target).cast("double")).withColumn("_all", F.lit(0))
-    assigned = stratified_folds(train, "_all", experiment.key, folds)
+    assigned = materialize(stratified_folds(train, "_all", experiment.key, folds), "folds")
 
     def scored(model, part: DataFrame, fold: int) -> DataFrame:
         return model.transform(part).select(

@@ -167,8 +167,11 @@ def numeric_summary(
         row = values.agg(*[F.percentile_approx(ref(c), wanted) for c in values.columns]).first()
         quartiles = {c: row[i] or [None] * 3 for i, c in enumerate(values.columns)}
     else:
-        spans = {c: (stats[c].count, stats[c].min, stats[c].max) for c in values.columns}
-        quartiles = exact_percentiles(values, spans, QUARTILES, **tuning)
+        quartiles = {}
+        for at in range(0, len(values.columns), COLUMNS_PER_SCAN):
+            part = values.columns[at : at + COLUMNS_PER_SCAN]
+            spans = {c: (stats[c].count, stats[c].min, stats[c].max) for c in part}
+            quartiles.update(exact_percentiles(values, spans, QUARTILES, **tuning))
     times = set(time_columns(df))
     rows = [
         (c, m.count, m.mean, None if c in times else m.std, m.min, *quartiles[c], m.max)

@@ -94,7 +94,8 @@ def churn_report(
 ) -> ChurnReport:
     """Clean, split 70/30, fit on the training rows, evaluate both parts, cross-validate."""
     rows, roles = prepare(df, target, key)
-    rows = train_test_split(rows, key)
+    # read by every fit of the model and of its folds
+    rows = materialize(train_test_split(rows, key), "churn")
     fitted = model_pipeline(roles, target, model, **params).fit(rows.filter(F.col("split") == "train"))
     scored = materialize(predictions(fitted, rows, ["split"]), "scored")
     estimator = model_pipeline(roles, target, model, unseen="keep", **params)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,38 +34,44 @@ def quality_report(
 
     The moments of all numeric columns are taken in one scan and shared by the
     summary, the histogram and the correlation. Shape, completeness and
-    uniqueness share one scan when uniqueness is asked for.
+    uniqueness share one scan when uniqueness is asked for. Parts that run jobs
+    of their own while being built do so side by side.
     """
     names = chosen(metrics)
     wants = set(names)
-    stats = None
-    if wants & {"describe", "num_dist", "corr"}:
-        values = P.measures(df)
-        stats = P.measure_stats(values) if values.columns else {}
-    counts = None
-    if "unique" in wants and unique_by == "rows":
+    counted = "unique" in wants and unique_by == "rows"
+
+    def count_rows() -> DataFrame:
         # one row, taken once for the three metrics that show it
         scored = P.scorecard(df)
-        counts = df.sparkSession.createDataFrame([tuple(scored.first())], scored.schema)
-
-    def describe() -> DataFrame:
-        return P.numeric_summary(df, method=quartiles, stats=stats) if stats else P.text_summary(df)
-
-    def one_row(column: str, otherwise: Callable[[], DataFrame]) -> DataFrame:
-        return counts.select(column) if counts is not None else otherwise().select(column)
-
-    build: dict[str, Callable[[], DataFrame]] = {
-        "shape": lambda: counts.select("n_rows", "n_columns") if counts is not None else P.shape(df),
-        "unique": lambda: one_row("unique", lambda: P.uniqueness(df, by=unique_by)),
-        "complete": lambda: one_row("complete", lambda: P.completeness(df)),
-        "num_dist": lambda: P.histogram(df, stats=stats),
-        "corr": lambda: P.correlation(df, missing=missing, stats=stats),
-        "schema": lambda: P.schema_listing(df),
-        "cat_dist": lambda: P.top_values(df),
-        "describe": describe,
-    }
-    return {name: build[name]() for name in names}
-
+        return df.sparkSession.createDataFrame([tuple(scored.first())], scored.schema)
+
+    with ThreadPoolExecutor(PARTS_AT_ONCE) as pool:
+        counts = pool.submit(count_rows) if counted else None
+        stats = None
+        if wants & {"describe", "num_dist", "corr"}:
+            values = P.measures(df)
+            stats = P.measure_stats(values) if values.columns else {}
+
+        def row_metric(columns: list[str], otherwise: Callable[[], DataFrame]) -> DataFrame:
+            return (counts.result() if counted else otherwise()).select(*columns)
+
+        build: dict[str, Callable[[], DataFrame]] = {
+            "shape": lambda: row_metric(["n_rows", "n_columns"], lambda: P.shape(df)),
+            "unique": lambda: row_metric(["unique"], lambda: P.uniqueness(df, by=unique_by)),
+            "complete": lambda: row_metric(["complete"], lambda: P.completeness(df)),
+            "num_dist": lambda: P.histogram(df, stats=stats),
+            "corr": lambda: P.correlation(df, missing=missing, stats=stats),
+            "schema": lambda: P.schema_listing(df),
+            "cat_dist": lambda: P.top_values(df),
+            "describe": lambda: P.numeric_summary(df, method=quartiles, stats=stats) if stats else P.text_summary(df),
+        }
+        eager = ["describe"] + [n for n in names if n != "describe"]
+        parts = {n: pool.submit(build[n]) for n in eager if n in wants}
+        return {n: parts[n].result() for n in names}
+
+
+PARTS_AT_ONCE = 4
 
 LISTED = {"num_dist", "corr", "schema", "cat_dist", "describe"}
 

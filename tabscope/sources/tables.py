@@ -30,6 +30,11 @@ def scan_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
 
 
+def infer_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Types found by one pass, to be kept and passed to ``scan_declared`` from then on."""
+    return scan_inferred(spark, path).schema
+
+
 def scan_declared(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Delimited text with a header and known types; no inference pass."""
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=True)
