@@ -37,9 +37,13 @@ def present(field: T.StructField) -> Column:
 
 def as_measure(field: T.StructField) -> Column:
     """The column as DOUBLE: numbers as they are, timestamps as epoch seconds."""
-    if isinstance(field.dataType, TIMES):
-        column = ref(field.name).cast(T.TimestampType())
+    column = ref(field.name)
+    if isinstance(field.dataType, T.TimestampType):
         return F.unix_micros(column).cast("double") / F.lit(1e6)
+    if isinstance(field.dataType, T.TimestampNTZType):
+        # by its fields, as a wall-clock time has no zone
+        whole = F.unix_date(F.to_date(column)).cast("bigint") * 86400 + F.hour(column) * 3600 + F.minute(column) * 60
+        return whole.cast("double") + F.date_part(F.lit("SECOND"), column).cast("double")
     return present(field).cast("double")
 
 

@@ -109,6 +109,7 @@ def scorecard(df: DataFrame, rounded: bool = True) -> DataFrame:
 class Measure:
     """First moments of one numeric or timestamp column (as epoch seconds)."""
 
+    rows: int
     count: int
     mean: float | None
     std: float | None
@@ -134,9 +135,10 @@ def measure_stats(values: DataFrame) -> dict[str, Measure]:
             *[
                 F.struct(F.count(ref(c)), F.avg(ref(c)), F.stddev_samp(ref(c)), F.min(ref(c)), F.max(ref(c)))
                 for c in names
-            ]
+            ],
+            F.count("*"),
         ).first()
-        stats.update({c: Measure(*row[i]) for i, c in enumerate(names)})
+        stats.update({c: Measure(row[len(names)], *row[i]) for i, c in enumerate(names)})
     return stats
 
 
@@ -321,8 +323,6 @@ def correlation(
         return spark.createDataFrame([], "a string, b string, corr double")
     if missing == "zero" or stats is None:
         stats = measure_stats(values)
-    longest = max(s.count for s in stats.values())
-
     diagonal, sums, masked = [], [], []
     for c in names:
         flat = stats[c].count == 0 or stats[c].min == stats[c].max
@@ -331,7 +331,7 @@ def correlation(
     for a, b in combinations(names, 2):
         if a not in spread or b not in spread:
             diagonal += [(a, b, None), (b, a, None)]
-        elif full(stats, a, longest) and full(stats, b, longest):
+        elif stats[a].count == stats[a].rows and stats[b].count == stats[b].rows:
             sums.append((a, b))
         else:
             masked.append((a, b))
@@ -340,7 +340,7 @@ def correlation(
     for at in range(0, len(sums), PAIRS_PER_SCAN):
         entries = []
         for a, b in sums[at : at + PAIRS_PER_SCAN]:
-            product = F.sum((ref(a) - stats[a].mean) * (ref(b) - stats[b].mean)) / float(longest)
+            product = F.sum((ref(a) - stats[a].mean) * (ref(b) - stats[b].mean)) / float(stats[a].rows)
             value = (product / (spread[a] * spread[b])).alias("corr")
             entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value))
         parts.append(_both_ways(values.agg(F.array(*entries).alias("pairs")).select(F.inline("pairs"))))
@@ -358,10 +358,6 @@ def correlation(
     return reduce(DataFrame.unionByName, parts)
 
 
-def full(stats: dict[str, Measure], column: str, rows: int) -> bool:
-    return stats[column].count == rows
-
-
 def _both_ways(pairs: DataFrame) -> DataFrame:
     swapped = F.array(
         F.struct(F.col("a").alias("a"), F.col("b").alias("b"), "corr"),

@@ -101,6 +101,23 @@ def test_correlation_matches_numpy(spark, missing):
     assert len(got) == 16
 
 
+def test_correlation_with_gaps_on_different_rows(spark):
+    frame = pd.DataFrame({"a": [NAN, 2.0, 5, 4, 1], "b": [2.0, NAN, 5, 1, 3]})
+    got = lookup(P.correlation(spark.createDataFrame(frame)), "a", "b")
+    assert got["a", "b"]["corr"] == pytest.approx(frame.corr().loc["a", "b"])
+
+
+def test_times_are_measured_without_a_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT TIMESTAMP_NTZ '1970-01-02 00:00:01.5' AS t, TIMESTAMP_NTZ '1969-12-31 23:00:00' AS u")
+        row = P.measures(df).first()
+        assert (row.t, row.u) == (86401.5, -3600.0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_correlation_in_several_scans(spark, monkeypatch):
     monkeypatch.setattr(P, "PAIRS_PER_SCAN", 2)
     chance = np.random.default_rng(3)
