@@ -1,4 +1,4 @@
-"""Number parsing and rounding with the reference's results."""
+"""Number parsing, and rounding on exact binary values."""
 
 from __future__ import annotations
 
