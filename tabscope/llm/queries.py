@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabscope.llm.decontaminate import contamination
+from tabscope.llm.licenses import license_scan
 from tabscope.llm.packing import packed, pieces
+from tabscope.llm.simhash import near_duplicates
 from tabscope.llm.tokens import token_counts
 
 
@@ -14,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,6 +64,6 @@ FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 
 QUERIES = {
     q.__name__: q
-    for q in (op4_token_counts, op5_benchmark_decontamination, op9_best_fit_packing)
+    for q in (op1_license_scan, op3_simhash_near_dedup, op4_token_counts, op5_benchmark_decontamination, op9_best_fit_packing)
 }
 ORACLES = {"op5_benchmark_decontamination": OP5_SQL}
