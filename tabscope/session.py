@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,3 +26,13 @@ def get_session(app_name: str = "tabscope", master: str | None = None, **extra:
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Name this checkout on the path of the Python workers. Executors on other machines need the
+    package themselves (``--py-files`` or an installation); there the path is not found and ignored."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
