@@ -6,13 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabscope.llm.decontaminate import contamination
+from tabscope.llm.fingerprints import edited_fingerprints
 from tabscope.llm.licenses import license_scan
 from tabscope.llm.packing import packed, pieces
 from tabscope.llm.simhash import near_duplicates
 from tabscope.llm.tokens import token_counts
+from tabscope.session import let_workers_import
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +40,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -64,6 +71,13 @@ FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_license_scan, op3_simhash_near_dedup, op4_token_counts, op5_benchmark_decontamination, op9_best_fit_packing)
+    for q in (
+        op1_license_scan,
+        op3_simhash_near_dedup,
+        op4_token_counts,
+        op5_benchmark_decontamination,
+        op9_best_fit_packing,
+        op10_document_fingerprints,
+    )
 }
 ORACLES = {"op5_benchmark_decontamination": OP5_SQL}
