@@ -9,6 +9,7 @@ from tabscope.llm.decontaminate import contamination
 from tabscope.llm.fingerprints import edited_fingerprints
 from tabscope.llm.licenses import license_scan
 from tabscope.llm.packing import packed, pieces
+from tabscope.llm.secrets import secret_scan
 from tabscope.llm.simhash import near_duplicates
 from tabscope.llm.tokens import token_counts
 from tabscope.session import let_workers_import
@@ -23,6 +24,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_license_scan,
+        op2_secret_scan,
         op3_simhash_near_dedup,
         op4_token_counts,
         op5_benchmark_decontamination,
