@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabscope.llm.decontaminate import contamination
 from tabscope.llm.fingerprints import edited_fingerprints
+from tabscope.llm.language import identify
 from tabscope.llm.licenses import license_scan
 from tabscope.llm.packing import packed, pieces
 from tabscope.llm.secrets import secret_scan
 from tabscope.llm.simhash import near_duplicates
 from tabscope.llm.tokens import token_counts
+from tabscope.llm.toxicity import toxicity
 from tabscope.session import let_workers_import
 
 
@@ -41,6 +43,14 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("items", "hit_spans")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -82,6 +92,8 @@ QUERIES = {
         op3_simhash_near_dedup,
         op4_token_counts,
         op5_benchmark_decontamination,
+        op6_language_id,
+        op7_toxicity,
         op9_best_fit_packing,
         op10_document_fingerprints,
     )
