@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tabscope.llm.cross_entropy import cross_entropy_difference
 from tabscope.llm.decontaminate import contamination
 from tabscope.llm.fingerprints import edited_fingerprints
 from tabscope.llm.language import identify
@@ -51,6 +52,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -94,6 +99,7 @@ QUERIES = {
         op5_benchmark_decontamination,
         op6_language_id,
         op7_toxicity,
+        op8_lm_scoring,
         op9_best_fit_packing,
         op10_document_fingerprints,
     )

@@ -170,3 +170,16 @@ def toxicity(
     return keyed_text(docs, id_col, text_col).mapInArrow(score, schema).select(
         ref("id").alias(id_col), (bucket_of("id", held_out) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``docs`` less those that ``toxicity`` predicts to be toxic; all columns are kept."""
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, 5, train_rows, id_col, text_col, label_col)))
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = slices([pa.RecordBatch.from_arrays([texts], names=["text"])], max_bytes=4 << 20)
+        scores = [model.value.scores(part["text"].to_pylist()) for part in parts]
+        return pa.array(np.concatenate(scores) if scores else np.empty(0))
+
+    return docs.where(score(F.coalesce(ref(text_col), F.lit(""))) < 0.5)
