@@ -184,6 +184,8 @@ def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     @F.arrow_udf("int")
     def guest_in(ids: pa.Array) -> pa.Array:
         values = ids.to_numpy(zero_copy_only=False)
+        if not len(head_ids):
+            return pa.nulls(len(values), pa.int32())
         at = np.minimum(np.searchsorted(head_ids, values), len(head_ids) - 1)
         return pa.array(earlier[at], mask=head_ids[at] != values)
 

@@ -256,7 +256,7 @@ def identify(
     ``path``: a model file of sentencepiece. Learned from documents of known language whose
     crc32 of the id, modulo ``held_out[0]``, is not ``held_out[1]``. ``score``: the predicted
     language's share of the probability. A text that is null or has no letter is ``und`` with
-    score 0, as are all if no language is known. Repeated rows give a row each, an empty table
+    score 0, as are all if no language is known; a null id is not held out. Repeated rows give a row each, an empty table
     none; other columns are not read.
     """
     divisor, left_out = held_out
@@ -270,5 +270,5 @@ def identify(
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.string()), pa.array(share)], names=[f.name for f in schema])
 
     return keyed_text(docs, id_col, text_col).mapInArrow(predict, schema).select(
-        ref("id").alias(id_col), (bucket_of("id", divisor) == left_out).alias("held_out"), "lang_pred", "score"
+        ref("id").alias(id_col), F.coalesce(bucket_of("id", divisor) == left_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
