@@ -31,6 +31,16 @@ SELECT c_custkey,
        WHEN c_nationkey = 5 THEN '1d'
        WHEN c_nationkey = 6 THEN 'NA'
        ELSE CAST(c_acctbal AS STRING) END AS amount
+FROM {customer}""",
+    # a file's usual troubles, all columns as they are written
+    "messy_customer": """
+SELECT c_custkey,
+  CASE WHEN c_nationkey = 1 THEN c_name || ' "Jim", Jr.' ELSE c_name END AS name,
+  CASE WHEN c_nationkey = 2 THEN ' NA ' WHEN c_nationkey = 3 THEN 'NA' ELSE c_mktsegment END AS token,
+  CAST(9223372036854770000 + c_custkey % 1000 AS BIGINT) AS big,
+  CASE WHEN c_nationkey = 5 THEN 'inf' WHEN c_nationkey = 6 THEN 'NA' ELSE CAST(c_acctbal AS STRING) END AS amount,
+  CASE WHEN c_nationkey = 4 THEN ' ' WHEN c_nationkey = 5 THEN '1d' WHEN c_nationkey = 6 THEN 'NA'
+       ELSE CAST(c_custkey AS STRING) END AS mixed
 FROM {customer}""",
     # two months without any sale
     "gappy_sales": """
@@ -92,5 +102,6 @@ DIRTY_SQL = f"""dirty AS (
 
 def position_sql(seed: str, *keys: str) -> str:
     """The row position of ``functions.hashing`` in the checking engine."""
-    text = " || '|' || ".join([f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
+    marked = [f"COALESCE('|' || CAST(length(CAST({k} AS VARCHAR)) AS VARCHAR) || ':' || CAST({k} AS VARCHAR), '|')" for k in keys]
+    text = " || ".join([f"'{seed}'", *marked])
     return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tabscope.catalog.inputs import derived, position_sql, sql_of
@@ -104,10 +107,9 @@ def stream_matches_batch(spark, sf_dir):
 
 
 def cross_validation(spark, sf_dir):
-    """Six folds, one repeat, of logistic regression."""
+    """Six folds, ten repeats, of logistic regression."""
     rows = _rows(spark, sf_dir)
-    estimator = M.model_pipeline(ROLES, "Churn", "lr", unseen="keep", maxIter=20)
-    return M.cross_validate(rows, estimator, "Churn", KEY, folds=6, repeats=1)
+    return M.cross_validate(rows, M.model_pipeline(ROLES, "Churn", "lr", unseen="keep"), "Churn", KEY)
 
 
 def model_parameters(spark, sf_dir):
@@ -119,7 +121,7 @@ def model_parameters(spark, sf_dir):
 
 def churn_evaluation(spark, sf_dir):
     """The whole train-and-evaluate run of a decision tree, as a flat row."""
-    report = churn_report(derived(spark, sf_dir, "churn"), "dt", KEY, folds=3, repeats=1)
+    report = churn_report(derived(spark, sf_dir, "churn"), "dt", KEY)
     return report.row.select(
         "model_name",
         "training_result.accuracy",
@@ -141,20 +143,45 @@ def experiment_setup(spark, sf_dir):
     experiment = set_up(_experiment(spark, sf_dir), "Churn", KEY)
     rows = experiment.rows
     for stage in experiment.stages[:2]:
-        fitted = stage.fit(experiment.train) if hasattr(stage, "fit") else stage
-        rows = fitted.transform(rows)
+        rows = stage.fit(experiment.train).transform(rows)
     return rows.select("c_custkey", "split", "Segment", F.round("TotalCharges", 4).alias("TotalCharges"))
 
 
 def classifier_comparison(spark, sf_dir):
     experiment = set_up(_experiment(spark, sf_dir), "Churn", KEY)
-    return compare_classifiers(experiment, folds=2)
+    return compare_classifiers(experiment)
 
 
 def regressor_comparison(spark, sf_dir):
+    """Monthly charges from the other columns; the total is left out, as it tells the answer."""
     rows = _experiment(spark, sf_dir).drop("TotalCharges")
     experiment = set_up(rows, "MonthlyCharges", KEY)
-    return compare_regressors(experiment, folds=2)
+    return compare_regressors(experiment)
+
+
+def logistic_mean_probability(spark, sf_dir):
+    """Without a penalty the mean probability on the training rows is the class rate."""
+    train = _train(_rows(spark, sf_dir))
+    fitted = M.model_pipeline(ROLES, "Churn", "lr", maxIter=500, tol=1e-10).fit(train)
+    return M.predictions(fitted, train, []).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_probability"))
+
+
+def naive_bayes_means(spark, sf_dir):
+    """The class means that Gaussian naive Bayes is made of."""
+    train = X.label_encoder("Churn").fit(_train(_rows(spark, sf_dir))).transform(_train(_rows(spark, sf_dir)))
+    points = VectorAssembler(inputCols=NUMERIC, outputCol="features").transform(train)
+    theta = NaiveBayes(modelType="gaussian").fit(points).theta.toArray()
+    lines = [(k, name, float(theta[k][i])) for k in range(len(theta)) for i, name in enumerate(NUMERIC)]
+    means = spark.createDataFrame(lines, "label int, feature string, mean double")
+    return means.withColumn("mean", F.round("mean", 4))
+
+
+def regression_line(spark, sf_dir):
+    """Least squares on one feature."""
+    points = VectorAssembler(inputCols=["tenure"], outputCol="features").transform(_rows(spark, sf_dir))
+    fitted = LinearRegression(solver="normal", labelCol="TotalCharges").fit(points)
+    line = spark.createDataFrame([(float(fitted.coefficients[0]), float(fitted.intercept))], "slope double, intercept double")
+    return line.select(*[F.round(c, 3).alias(c) for c in line.columns])
 
 
 QUERIES = {
@@ -162,7 +189,7 @@ QUERIES = {
     for f in [
         standard_scaling, one_hot_encoding, label_encoding, column_transformer,
         *[_scored_by(k) for k in ("lr", "dt")],
-        _scored_by("rf", numTrees=20), _scored_by("gb", maxIter=10), _scored_by("xgb", maxIter=5), _scored_by("ada", maxIter=6),
+        *[_scored_by(k) for k in ("rf", "gb", "xgb", "ada")], logistic_mean_probability, naive_bayes_means, regression_line,
         stream_scoring, stream_matches_batch, cross_validation, model_parameters, churn_evaluation,
         experiment_setup, classifier_comparison, regressor_comparison,
     ]
@@ -193,6 +220,14 @@ u AS (SELECT UrgentBuyer, ROW_NUMBER() OVER (ORDER BY UrgentBuyer) AS q, COUNT(*
 SELECT c_custkey, CAST(3 + w + v + 1 AS INTEGER) AS width,
   ROUND({_Z['tenure']} + 2 * ({_Z['MonthlyCharges']}) + 3 * ({_Z['TotalCharges']}) + (3 + p) + (3 + w + q) + (3 + w + v + 1) * c_custkey, 4) AS checksum
 FROM r, k, n, u WHERE r.Segment = n.Segment AND r.UrgentBuyer = u.UrgentBuyer""",
+    "logistic_mean_probability": f"""WITH {_ROWS} SELECT COUNT(*) AS n,
+  ROUND(CAST(COUNT(*) FILTER (WHERE Churn = 'Yes') AS DOUBLE) / COUNT(*), 4) AS mean_probability FROM r WHERE split = 'train'""",
+    "naive_bayes_means": f"WITH {_ROWS} "
+    + " UNION ALL ".join(
+        f"SELECT CAST(CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS INTEGER) AS label, '{c}' AS feature, ROUND(AVG({c}), 4) AS mean FROM r WHERE split = 'train' GROUP BY Churn"
+        for c in NUMERIC
+    ),
+    "regression_line": f"WITH {_ROWS} SELECT ROUND(regr_slope(TotalCharges, tenure), 3) AS slope, ROUND(regr_intercept(TotalCharges, tenure), 3) AS intercept FROM r",
     "stream_matches_batch": f"WITH {_ROWS} SELECT COUNT(*) AS scored, CAST(0 AS BIGINT) AS different FROM r",
     "experiment_setup": f"""WITH raw AS ({sql_of('churn')}),
 r AS (SELECT c_custkey, Segment, TRY_CAST(TotalCharges AS DOUBLE) AS t,

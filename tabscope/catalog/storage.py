@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabscope.catalog.inputs import DIRTY_SQL, derived, sql_of, table
 from tabscope.catalog.evaluation import ORACLES as EVALUATION_SQL
 from tabscope.operators import cleaning as C, profile as P, series as S
-from tabscope.plans.churn_report import evaluation_row
+from tabscope.plans.churn_report import evaluation_row, record_run
 from tabscope.plans.quality_report import quality_report, report_row
 from tabscope.sources import history as H, landing as L, tables as T
 from tabscope.workspace import new_path
@@ -24,7 +24,7 @@ def _as_csv(df, label):
 
 
 def csv_text_scan(spark, sf_dir):
-    return T.scan_text_columns(spark, _as_csv(table(spark, sf_dir, "customer").drop("c_acctbal"), "csv"))
+    return T.scan_text_columns(spark, _as_csv(table(spark, sf_dir, "customer"), "csv"))
 
 
 def csv_inferred_scan(spark, sf_dir):
@@ -45,7 +45,12 @@ def csv_declared_scan(spark, sf_dir):
 
 
 def csv_scan_with_missing(spark, sf_dir):
-    return T.scan_with_missing(spark, _as_csv(derived(spark, sf_dir, "text_numbers").filter(F.col("amount") != "1d"), "csv"))
+    """Quotes and commas inside names, tokens with and without blanks, infinity, 19-digit keys, a text among numbers."""
+    path = new_path(spark, "csv")
+    messy = derived(spark, sf_dir, "messy_customer")
+    plain = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    messy.write.csv(path, header=True, escape='"', **plain)
+    return T.scan_with_missing(spark, path)
 
 
 def frame_with_inferred_types(spark, sf_dir):
@@ -103,6 +108,16 @@ def quality_history_lookup(spark, sf_dir):
     return H.find_run(spark, path, wanted, ["data"]).select("data.shape.n_rows", "data.complete", "data.unique")
 
 
+def churn_run_recorded(spark, sf_dir):
+    """The first run: nothing listed before it, then the run in the history and in the export that is read back."""
+    path, export = new_path(spark, "history"), new_path(spark, "export")
+    row, _, _ = evaluation_row(derived(spark, sf_dir, "scored"), "rule", 0.5, [("threshold", "1.25")])
+    earlier = record_run(row, path, export).count()
+    flat = T.scan_inferred(spark, export)
+    metrics = ["training_accuracy", "testing_accuracy", "training_roc_score", "testing_roc_score"]
+    return flat.select(F.lit(earlier).alias("earlier"), "model_name", "cross_validation", *[F.round(m, 9).alias(m) for m in metrics])
+
+
 def evaluation_history_flat(spark, sf_dir):
     path = new_path(spark, "history")
     row, _, _ = evaluation_row(derived(spark, sf_dir, "scored"), "rule", 0.5, [("threshold", "1.25")])
@@ -117,6 +132,7 @@ QUERIES = {
     for f in [
         csv_text_scan, csv_inferred_scan, csv_declared_scan, csv_scan_with_missing, frame_with_inferred_types,
         collection_scan, landing_once, csv_export, quality_history, quality_history_lookup, evaluation_history_flat,
+        churn_run_recorded,
     ]
 }
 
@@ -124,13 +140,14 @@ _COUNTS = """SELECT COUNT(*) AS n_rows, ROUND(CAST(COUNT(*) FILTER (WHERE c_acct
   ROUND(CAST((SELECT COUNT(*) FROM (SELECT DISTINCT * FROM dirty)) AS DOUBLE) / COUNT(*) * 100, 2) AS "unique" FROM dirty"""
 
 ORACLES = {
-    "csv_text_scan": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer",
+    "csv_text_scan": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
+  CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer""",
     "csv_inferred_scan": """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, o_totalprice,
   CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders""",
     "csv_declared_scan": """SELECT CAST(o_orderdate AS DATE) AS datesold, o_custkey AS postcode, CAST(ROUND(o_totalprice) AS BIGINT) AS price,
   o_orderpriority AS propertyType, CAST(MONTH(o_orderdate) AS INTEGER) AS bedrooms FROM orders""",
-    "csv_scan_with_missing": f"""SELECT c_custkey, TRY_CAST(NULLIF(trim(amount), '') AS DOUBLE) AS amount
-FROM ({sql_of('text_numbers')}) WHERE amount <> '1d'""",
+    "csv_scan_with_missing": f"""SELECT c_custkey, name, NULLIF(token, 'NA') AS token, big,
+  CAST(NULLIF(amount, 'NA') AS DOUBLE) AS amount, NULLIF(mixed, 'NA') AS mixed FROM ({sql_of('messy_customer')})""",
     "frame_with_inferred_types": "SELECT c_mktsegment, COUNT(*) AS customers, MAX(c_acctbal) AS highest FROM customer GROUP BY c_mktsegment",
     "collection_scan": "SELECT * FROM supplier",
     "landing_once": "SELECT * FROM customer",
@@ -143,6 +160,8 @@ SELECT series, last_day(m) AS ds, ROUND(COALESCE(y, 0), 2) AS y FROM spine LEFT
 SELECT 'dirty_customer' AS "fileName", *, TRUE AS has_id FROM ({_COUNTS})
 UNION ALL SELECT 'supplier', COUNT(*), CAST(100 AS DOUBLE), CAST(100 AS DOUBLE), TRUE FROM supplier""",
     "quality_history_lookup": f"WITH {DIRTY_SQL} {_COUNTS}",
+    "churn_run_recorded": f"""SELECT CAST(0 AS BIGINT) AS earlier, model_name, cross_validation, training_accuracy, testing_accuracy, training_roc_score, testing_roc_score
+FROM ({EVALUATION_SQL['evaluation_report']})""",
     "evaluation_history_flat": f"""SELECT model_name, cross_validation, training_accuracy, testing_accuracy, training_roc_score, testing_roc_score
 FROM ({EVALUATION_SQL['evaluation_report']})""",
 }

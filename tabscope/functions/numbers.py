@@ -12,7 +12,7 @@ NA_TOKENS = [
 ]
 
 # Fixed value: text that counts as a number once trimmed.
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER_PATTERN = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
 
 def to_number(text: Column) -> Column:
@@ -22,8 +22,8 @@ def to_number(text: Column) -> Column:
 
 
 def null_tokens(text: Column) -> Column:
-    """NULL for any missing-value spelling, the text otherwise."""
-    return F.when(~F.trim(text).isin(NA_TOKENS), text)
+    """NULL for any missing-value spelling, the text otherwise; `` NA `` with blanks is a text."""
+    return F.when(~text.isin(NA_TOKENS), text)
 
 
 _UNITS = 2.0**46

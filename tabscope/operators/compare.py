@@ -7,22 +7,18 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, classification as C, regression as R
-from pyspark.ml.feature import Imputer, SQLTransformer
+from pyspark.ml import Pipeline, PipelineModel, classification as C, regression as R
+from pyspark.ml.feature import Imputer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tabscope.functions.columns import numeric_columns, ref, text_columns
+from tabscope.functions.columns import TIMES, as_measure, ref
 from tabscope.operators import evaluate as E
 from tabscope.operators.cleaning import Roles
-from tabscope.operators.features import _sql_name, _sql_text, column_transformer, label_encoder
-from tabscope.operators.profile import top_values
+from tabscope.operators.features import ModeImputer, column_transformer, label_encoder
 from tabscope.operators.splitting import stratified_folds, train_test_split
 from tabscope.workspace import materialize
 
-MAX_CATEGORIES = 25
-
-
 @dataclass
 class Experiment:
     """Feature stages chosen from the column types, and the rows with their split."""
@@ -47,32 +43,34 @@ class Experiment:
         return self.rows.sparkSession.createDataFrame(lines, "column string, role string")
 
 
-def set_up(df: DataFrame, target: str, key: list[str], test_share: float = 0.3, seed: str = "40") -> Experiment:
+def _as_number(field: T.StructField) -> Column | None:
+    """Numbers as they are, truth values as 0 and 1, dates as days and timestamps as seconds; None for texts and others."""
+    if isinstance(field.dataType, T.DateType):
+        return F.unix_date(ref(field.name)).cast("double")
+    if isinstance(field.dataType, (T.BooleanType, T.NumericType)):
+        return ref(field.name).cast("double")
+    return as_measure(field) if isinstance(field.dataType, TIMES) else None
+
+
+def set_up(
+    df: DataFrame, target: str, key: list[str], test_share: float = 0.3, seed: str = "40", hashed: list[str] | None = None
+) -> Experiment:
     """Roles by type, mean and mode imputation, encoding and a train/test split.
 
-    ``key`` names the columns that identify a row; they are not features. Text
-    columns with more than ``MAX_CATEGORIES`` values are hashed, not listed.
+    ``key`` names the columns that identify a row; they are not features. All values
+    of a text column are listed, whatever their number; the columns named in
+    ``hashed`` go through a hashing stage instead.
     """
-    used = [c for c in df.columns if c != target and c not in key]
-    numbers = [c for c in numeric_columns(df) if c in used]
-    texts = [c for c in text_columns(df) if c in used]
-    rows = df.filter(ref(target).isNotNull()).withColumns({c: ref(c).cast("double") for c in numbers})
+    fields = [f for f in df.schema if f.name != target and f.name not in key]
+    measured = {f.name: number for f in fields if (number := _as_number(f)) is not None}
+    numbers, hashed = list(measured), list(hashed or [])
+    texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    rows = df.filter(ref(target).isNotNull()).withColumns(measured)
     rows = train_test_split(rows, key, test_share, seed)
-    train = rows.filter(F.col("split") == "train")
 
-    hashed: list[str] = []
     stages: list = []
     if texts:
-        sizes = train.agg(*[F.approx_count_distinct(ref(c)).alias(c) for c in texts]).first()
-        hashed = [c for c in texts if sizes[c] > MAX_CATEGORIES]
-        present = train.select(*[ref(c) for c in texts])
-        modes = {
-            r["column"]: r["value"]
-            for r in top_values(present, texts, k=2).filter(F.col("value").isNotNull()).orderBy("column", F.desc("rank")).collect()
-        }
-        filled = [f"COALESCE({_sql_name(c)}, {_sql_text(modes.get(c, ''))}) AS {_sql_name(c)}" for c in texts]
-        names = ", ".join(_sql_name(c) for c in texts)
-        stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({names}), {', '.join(filled)} FROM __THIS__"))
+        stages.append(ModeImputer(inputCols=texts))
     if numbers:
         stages.append(Imputer(strategy="mean", inputCols=numbers, outputCols=numbers))
     roles = Roles(numeric=numbers, categorical=texts, passthrough=[])
@@ -111,10 +109,14 @@ def regression_candidates() -> dict[str, object]:
 def leaderboard(results: DataFrame, metric: str, ascending: bool = False) -> DataFrame:
     """Candidates from best to worst, ties by name, the best one marked.
 
+    A candidate whose metric is NULL or NaN comes last and is never the best.
     ``results`` has one row per candidate, so its order fits one task.
     """
-    place = F.row_number().over(Window.orderBy(F.asc(metric) if ascending else F.desc(metric), "model"))
-    return results.withColumn("_place", place).orderBy("_place").withColumn("best", F.col("_place") == 1).drop("_place")
+    value = F.nanvl(ref(metric).cast("double"), F.lit(None))
+    order = value.asc_nulls_last() if ascending else value.desc_nulls_last()
+    place = F.row_number().over(Window.orderBy(order, "model"))
+    ranked = results.withColumn("_place", place).orderBy("_place")
+    return ranked.withColumn("best", (F.col("_place") == 1) & value.isNotNull()).drop("_place")
 
 
 CLASS_METRICS = ["accuracy", "auc", "recall", "precision", "f1", "kappa", "mcc"]
@@ -198,15 +200,35 @@ def compare_regressors(
     )
 
 
+def fit_best(experiment: Experiment, board: DataFrame, candidates: dict | None = None) -> PipelineModel:
+    """The leaderboard's best candidate, refitted with its encoding on all training rows.
+
+    For a classifier the first stage encodes the label, as in ``models.model_pipeline``.
+    """
+    best = board.filter("best").first()
+    if best is None:
+        raise ValueError("no candidate has a metric")
+    if "r2" in board.columns:
+        name = ref(experiment.target).cast("double").alias("label")
+        estimator = (candidates or regression_candidates())[best["model"]]
+        return Pipeline(stages=[*experiment.stages, estimator]).fit(experiment.train.select("*", name))
+    encoder = label_encoder(experiment.target).fit(experiment.train)
+    estimator = (candidates or classification_candidates(len(encoder.labelsArray[0])))[best["model"]]
+    return Pipeline(stages=[encoder, *experiment.stages, estimator]).fit(experiment.train)
+
+
 def _compare(
     experiment, assigned, folds, candidates, scored, metrics, names, sort, ascending, parallelism
 ) -> DataFrame:
     """Encode each fold once, fit every candidate on it, average the metrics over the folds."""
     spark = assigned.sparkSession
-    encoded = []
-    for fold in range(folds):
-        encode = Pipeline(stages=experiment.stages).fit(assigned.filter(F.col("fold") != fold))
-        encoded.append(encode.transform(assigned).select("label", "features", "fold"))
+
+    def encode(fold: int) -> DataFrame:
+        fitted = Pipeline(stages=experiment.stages).fit(assigned.filter(F.col("fold") != fold))
+        return materialize(fitted.transform(assigned).select("label", "features", "fold"), "encoded")
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        encoded = list(pool.map(encode, range(folds)))
 
     def one(candidate: tuple[str, object]) -> tuple:
         name, estimator = candidate

@@ -9,35 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope.functions.columns import ref
+from tabscope.operators.joining import null_safe_join
 from tabscope.operators.ordering import running_totals
 
-MAX_CLASSES = 1_000
-
-
 def class_counts(scored: DataFrame, split: str = "split") -> DataFrame:
     """Rows per ``(split, y, pred)``; every class metric starts from these."""
     return scored.groupBy(ref(split).alias("split"), "y", "pred").agg(F.count("*").alias("count"))
 
 
-def known_labels(counts: DataFrame) -> list:
-    """Actual and predicted labels, ascending. More than ``MAX_CLASSES`` is not a class label."""
-    both = counts.select(F.explode(F.array("y", "pred")).alias("label")).distinct()
-    labels = [r[0] for r in both.limit(MAX_CLASSES + 1).collect()]
-    if len(labels) > MAX_CLASSES:
-        raise ValueError("the label column holds too many different values to be a class")
-    return sorted(labels)
-
-
-def confusion_matrix(counts: DataFrame, labels: list) -> DataFrame:
-    """``split, y, pred, count`` with a row for every pair of labels, 0 where none occurred."""
-    listed = F.array(*[F.lit(v) for v in labels])
-    cells = (
-        counts.select("split")
-        .distinct()
-        .withColumn("y", F.explode(listed))
-        .withColumn("pred", F.explode(listed))
-        .withColumn("count", F.lit(0).cast("bigint"))
-    )
+def confusion_matrix(counts: DataFrame, labels: list | None = None) -> DataFrame:
+    """``split, y, pred, count`` with a row for every pair of labels, 0 where none occurred.
+
+    A split's labels are its actual and predicted ones, NULL among them, and those listed.
+    """
+    seen = F.array("y", "pred", *[F.lit(v) for v in labels or []])
+    known = counts.select("split", F.explode(seen).alias("label")).distinct()
+    pairs = null_safe_join(known.withColumnRenamed("label", "y"), known.withColumnRenamed("label", "pred"), ["split"])
+    cells = pairs.select("split", "y", "pred", F.lit(0).cast("bigint").alias("count"))
     return counts.unionByName(cells).groupBy("split", "y", "pred").agg(F.sum("count").alias("count"))
 
 
@@ -51,7 +39,7 @@ def accuracy(counts: DataFrame) -> DataFrame:
 
 def balanced_accuracy(counts: DataFrame) -> DataFrame:
     """Mean recall over the classes that occur."""
-    recalls = counts.groupBy("split", "y").agg((_right() / F.sum("count")).alias("recall"))
+    recalls = counts.groupBy("split", "y").agg(F.try_divide(_right(), F.sum("count")).alias("recall"))
     return recalls.groupBy("split").agg(F.avg("recall").alias("balanced_accuracy"))
 
 

@@ -9,16 +9,15 @@ from pyspark.ml.feature import (
     IndexToString,
     OneHotEncoder,
     SQLTransformer,
-    StringIndexer,
     StringIndexerModel,
     VectorAssembler,
 )
-from pyspark.ml.param.shared import HasInputCols, HasOutputCols
+from pyspark.ml.param.shared import HasHandleInvalid, HasInputCols, HasOutputCols
 from pyspark.sql import DataFrame, functions as F
 
 from tabscope.functions.columns import ref
 from tabscope.operators.cleaning import Roles
-from tabscope.operators.profile import COLUMNS_PER_SCAN
+from tabscope.operators.profile import COLUMNS_PER_SCAN, top_values
 
 HASH_WIDTH = 1 << 10
 
@@ -61,6 +60,52 @@ class PopulationScaler(Estimator, HasInputCols, HasOutputCols):
         return SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
 
 
+def _indexer_model(spark, labels: list[list[str]], inputs: list[str], outputs: list[str], invalid: str) -> StringIndexerModel:
+    # the constructor that takes lists fills them up to equal length with nulls
+    gateway = spark.sparkContext._gateway
+    arrays = gateway.new_array(gateway.jvm.java.lang.String, len(labels), 0)
+    for i, own in enumerate(labels):
+        arrays[i] = gateway.new_array(gateway.jvm.java.lang.String, len(own))
+        for j, label in enumerate(own):
+            arrays[i][j] = label
+    model = StringIndexerModel._create_from_java_class("org.apache.spark.ml.feature.StringIndexerModel", arrays)
+    return model.setInputCols(inputs).setOutputCols(outputs).setHandleInvalid(invalid)
+
+
+class ValueIndexer(Estimator, HasInputCols, HasOutputCols, HasHandleInvalid):
+    """Places of a column's values in their own order: numbers by value, texts by letter."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None, handleInvalid="error"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> StringIndexerModel:
+        inputs = self.getOrDefault("inputCols")
+        labels = []
+        for c in inputs:
+            values = dataset.select(ref(c).alias("v"), ref(c).cast("string").alias("t")).where("v IS NOT NULL").distinct()
+            labels.append([r["t"] for r in values.orderBy("v").collect()])
+        return _indexer_model(dataset.sparkSession, labels, inputs, self.getOrDefault("outputCols"), self.getOrDefault("handleInvalid"))
+
+
+class ModeImputer(Estimator, HasInputCols):
+    """Fills each text column's missing values with its most frequent one, ties by letter; fits to a projection."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> SQLTransformer:
+        inputs = self.getOrDefault("inputCols")
+        found = top_values(dataset.select(*[ref(c) for c in inputs]), inputs, k=2).filter(F.col("value").isNotNull())
+        modes = {r["column"]: r["value"] for r in found.orderBy("column", F.desc("rank")).collect()}
+        filled = [f"COALESCE({_sql_name(c)}, {_sql_text(modes.get(c, ''))}) AS {_sql_name(c)}" for c in inputs]
+        names = ", ".join(_sql_name(c) for c in inputs)
+        return SQLTransformer(statement=f"SELECT * EXCEPT ({names}), {', '.join(filled)} FROM __THIS__")
+
+
 def column_transformer(
     roles: Roles, output: str = "features", hashed: list[str] | None = None, unseen: str = "error"
 ) -> list:
@@ -81,9 +126,7 @@ def column_transformer(
         indexed = [f"_index_{i}" for i, _ in enumerate(listed)]
         vectors = [f"_onehot_{i}" for i, _ in enumerate(listed)]
         stages.append(
-            StringIndexer(
-                inputCols=listed, outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid=unseen
-            )
+            ValueIndexer(inputCols=listed, outputCols=indexed, handleInvalid=unseen)
         )
         stages.append(OneHotEncoder(inputCols=indexed, outputCols=vectors, dropLast=False))
         parts += vectors
@@ -95,9 +138,9 @@ def column_transformer(
     return stages
 
 
-def label_encoder(column: str, output: str = "label") -> StringIndexer:
+def label_encoder(column: str, output: str = "label") -> ValueIndexer:
     """Classes in ascending order become 0..n-1."""
-    return StringIndexer(inputCol=column, outputCol=output, stringOrderType="alphabetAsc", handleInvalid="error")
+    return ValueIndexer(inputCols=[column], outputCols=[output], handleInvalid="error")
 
 
 def label_decoder(fitted: StringIndexerModel, column: str, output: str) -> IndexToString:

@@ -19,6 +19,7 @@ from tabscope.operators.boosting import StumpBoosting
 from tabscope.operators.cleaning import Roles
 from tabscope.operators.features import column_transformer, label_encoder
 from tabscope.operators.splitting import stratified_folds
+from tabscope.workspace import materialize
 
 # Parameter presets per model key; callers override any of them.
 PRESETS = {
@@ -92,19 +93,25 @@ def cross_validate(
     seed: str = "cv",
     parallelism: int = 4,
 ) -> DataFrame:
-    """``repeat, fold, accuracy`` of repeated stratified folds; the whole estimator is refitted each time."""
+    """``repeat, fold, accuracy`` of repeated stratified folds; the whole estimator is refitted each time.
 
-    def one(job: tuple[int, int, DataFrame]) -> tuple[int, int, float]:
-        repeat, fold, assigned = job
-        model = estimator.fit(assigned.filter(F.col("fold") != fold))
-        held_out = model.transform(assigned.filter(F.col("fold") == fold))
+    The rows are written once, with a fold column for each repeat.
+    """
+    assigned = rows
+    for repeat in range(repeats):
+        assigned = stratified_folds(assigned, target, key, folds, repeat, seed).withColumnRenamed("fold", f"_fold_{repeat}")
+    assigned = materialize(assigned, "folds")
+    names = [f"_fold_{repeat}" for repeat in range(repeats)]
+
+    def one(job: tuple[int, int]) -> tuple[int, int, float]:
+        repeat, fold = job
+        own = assigned.withColumnRenamed(names[repeat], "_own").drop(*names).withColumnRenamed("_own", "fold")
+        model = estimator.fit(own.filter(F.col("fold") != fold))
+        held_out = model.transform(own.filter(F.col("fold") == fold))
         share = held_out.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
         return repeat, fold, share
 
-    jobs = []
-    for repeat in range(repeats):
-        assigned = stratified_folds(rows, target, key, folds, repeat, seed)
-        jobs += [(repeat, fold, assigned) for fold in range(folds)]
+    jobs = [(repeat, fold) for repeat in range(repeats) for fold in range(folds)]
     with ThreadPoolExecutor(parallelism) as pool:
         scores = list(pool.map(one, jobs))
     return rows.sparkSession.createDataFrame(scores, "repeat int, fold int, accuracy double")

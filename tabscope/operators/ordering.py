@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabscope.functions.columns import ref
 from tabscope.functions.hashing import POSITION_BITS
-from tabscope.operators.joining import attach, null_safe_join
+from tabscope.operators.joining import attach
 from tabscope.workspace import materialize
 
 SLICE = "_slice"
@@ -71,7 +71,7 @@ def running_totals(
         *([F.lead("_head").over(across).alias("_next_head")] if ahead else []),
     )
     following = F.coalesce(F.col("_next"), F.col("_next_head")) if ahead else None
-    return null_safe_join(ranged, starts, keys).select(
+    return attach(ranged, starts, keys).select(
         *df.columns,
         *[(F.col(f"_start_{c}") + F.col(f"_inner_{c}")).alias(f"before_{c}") for c in totals],
         *[F.col(f"all_{c}") for c in totals],
@@ -221,9 +221,6 @@ def _zoom(df: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
     return narrowed
 
 
-PREFIX_BITS = 16
-
-
 def position_cutoffs(df: DataFrame, group: list[str], place: str, parts: int, sizes=None) -> DataFrame:
     """Positions that cut each group into consecutive parts of prescribed size.
 
@@ -231,11 +228,13 @@ def position_cutoffs(df: DataFrame, group: list[str], place: str, parts: int, si
     gives, from the group's row count ``n`` and a part number 1..parts-1, how many
     rows precede that part; by default the parts differ by at most one row.
 
-    Rows are counted per leading bits of the position; only the few buckets that
-    hold a cut are looked at row by row. Returns ``group..., cuts`` (ascending).
+    Rows are counted per leading bits of the position, about as many buckets as
+    a bucket has rows; only the few buckets that hold a cut are looked at row by
+    row. Returns ``group..., cuts`` (ascending).
     """
+    bits = min(POSITION_BITS, max(8, (df.count().bit_length() + 1) // 2))
     start_of = sizes or (lambda n, part: F.ceil(n * part / F.lit(parts)).cast("bigint"))
-    bucket = F.shiftright(ref(place), POSITION_BITS - PREFIX_BITS)
+    bucket = F.shiftright(ref(place), POSITION_BITS - bits)
     keys = [ref(g) for g in group]
     slim = df.select(*keys, ref(place), bucket.alias(BUCKET))
 

@@ -6,10 +6,14 @@ shuffles partial results. NaN counts as missing everywhere.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
+from math import isfinite
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabscope.functions.columns import (
@@ -26,6 +30,7 @@ from tabscope.functions.columns import (
 )
 from tabscope.functions.numbers import percent, round_percent
 from tabscope.operators.ordering import exact_percentiles
+from tabscope.session import let_workers_import
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -60,7 +65,9 @@ def row_digest(df: DataFrame):
         (present(f) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else ref(f.name)
         for f in df.schema
     ]
-    text = F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    options = {"ignoreNullFields": "false", "timestampFormat": micros + "XXX", "timestampNTZFormat": micros}
+    text = F.to_json(F.struct(*cells), options)
     return F.unhex(F.sha2(text, 256))
 
 
@@ -73,11 +80,11 @@ def _row_groups(df: DataFrame, by: str, *extra) -> DataFrame:
     raise ValueError(f"unknown comparison: {by}")
 
 
-def uniqueness(df: DataFrame, rounded: bool = True, by: str = "rows") -> DataFrame:
+def uniqueness(df: DataFrame, rounded: bool = True, by: str = "digest") -> DataFrame:
     """One row: share of distinct rows, in percent.
 
-    Copies collapse before the shuffle. ``by='digest'`` shuffles 32 bytes per
-    distinct row in place of the row itself, for tables with wide rows.
+    Copies collapse before the shuffle, which moves 32 bytes per distinct row.
+    ``by='rows'`` compares the rows themselves and moves them whole.
     """
     return (
         _row_groups(df, by)
@@ -87,13 +94,13 @@ def uniqueness(df: DataFrame, rounded: bool = True, by: str = "rows") -> DataFra
 
 
 def scorecard(df: DataFrame, rounded: bool = True) -> DataFrame:
-    """Shape, completeness and uniqueness in one scan and one shuffle of distinct rows."""
-    clean = without_nan(df)
-    groups = clean.groupBy(*[ref(c) for c in clean.columns]).agg(F.count("*").alias("_copies"))
+    """Shape, completeness and uniqueness in one scan and one shuffle of the rows' digests."""
+    marked = df.select(row_digest(df).alias("_digest"), is_complete(df).alias("_complete"))
+    groups = marked.groupBy("_digest", "_complete").agg(F.count("*").alias("_copies"))
     totals = groups.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
         F.count("*").alias("distinct_rows"),
-        F.coalesce(F.sum(F.when(is_complete(clean), F.col("_copies"))), F.lit(0)).alias("complete_rows"),
+        F.coalesce(F.sum(F.when(F.col("_complete"), F.col("_copies"))), F.lit(0)).alias("complete_rows"),
     )
     return totals.select(
         "n_rows",
@@ -260,11 +267,17 @@ def histogram(
     """``column, bin, low, high, count`` over equal-width bins, the last one closed.
 
     A constant column spans half a unit on both sides, an empty one [0, 1].
+    Infinite values lie in no bin; the bins span the finite ones.
     """
     values = measures(df, columns)
     if not values.columns:
         return df.sparkSession.createDataFrame([], HISTOGRAM_SCHEMA)
-    stats = stats or measure_stats(values)
+    stats = dict(stats or measure_stats(values))
+    endless = [c for c in values.columns if stats[c].count and not (isfinite(stats[c].min) and isfinite(stats[c].max))]
+    if endless:
+        finite = [F.when(F.abs(ref(c)) < float("inf"), ref(c)).alias(c) if c in endless else ref(c) for c in values.columns]
+        values = values.select(*finite)
+        stats.update(measure_stats(values.select(*[ref(c) for c in endless])))
     edges = []
     for c in values.columns:
         low, high = (0.0, 1.0) if stats[c].count == 0 else (stats[c].min, stats[c].max)
@@ -309,8 +322,8 @@ def correlation(
 
     ``missing='pairwise'`` uses rows with both values, ``missing='zero'`` reads a
     missing value as 0. A constant column gives NULL. Pairs without missing values
-    are plain sums of products around the means; the others are aggregated per
-    pair, each over its own rows.
+    are plain sums of products around the means; the others take one scan
+    together, each over its own rows.
     """
     if missing not in ("pairwise", "zero"):
         raise ValueError(f"unknown treatment of missing values: {missing}")
@@ -345,19 +358,48 @@ def correlation(
             entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value))
         parts.append(_both_ways(values.agg(F.array(*entries).alias("pairs")).select(F.inline("pairs"))))
     if masked:
-        pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), ref(a).alias("x"), ref(b).alias("y")) for a, b in masked]
-        ratio = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-        grouped = (
-            values.select(F.inline(F.array(*pairs)))
-            .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-            .groupBy("a", "b")
-            .agg(ratio.alias("corr"))
-        )
+        used = [c for c in names if any(c in pair for pair in masked)]
+        found = _pairwise(values.select(*[((ref(c) - stats[c].mean) / spread[c]).alias(c) for c in used]), used, set(masked))
         listed = spark.createDataFrame(masked, "a string, b string")
-        parts.append(_both_ways(listed.join(grouped, ["a", "b"], "left")))
+        parts.append(_both_ways(listed.join(found, ["a", "b"], "left")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _pairwise(scaled: DataFrame, names: list[str], wanted: set[tuple[str, str]]) -> DataFrame:
+    """``a, b, corr`` over the rows that have both values, in one scan for all pairs.
+
+    With a missing value as 0, the sums over the common rows of two columns, of their
+    products and of their squares are entries of the products of three matrices: which
+    values are there, the values, and their squares. Each task adds up its own.
+    """
+    size = len(names)
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, 3, size, size))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            forms = (there.astype(float), x, x * x)
+            for i, j in ((0, 0), (0, 1), (1, 1), (2, 0), (1, 0), (0, 2)):
+                total[i, j] += forms[i].T @ forms[j]
+        a, b = np.divmod(np.arange(size * size), size)
+        sums = [total[i, j].ravel() for i, j in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2))]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *map(pa.array, sums)], names=["i", "j", "n", "x", "y", "xy", "xx", "yy"])
+
+    let_workers_import(scaled.sparkSession)
+    columns = [F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx", "yy")]
+    sums = scaled.mapInArrow(partial, "i long, j long, n double, x double, y double, xy double, xx double, yy double").groupBy("i", "j").agg(*columns)
+    n = F.col("n")
+    spreads = [F.greatest(F.try_divide(F.col(s + s), n) - F.pow(F.try_divide(F.col(s), n), F.lit(2.0)), F.lit(0.0)) for s in "xy"]
+    shared = F.try_divide("xy", n) - F.try_divide("x", n) * F.try_divide("y", n)
+    # a column that is constant over the common rows leaves rounding errors alone
+    corr = F.when((spreads[0] > 1e-12) & (spreads[1] > 1e-12), shared / F.sqrt(spreads[0] * spreads[1]))
+    places = {c: i for i, c in enumerate(names)}
+    pairs = scaled.sparkSession.createDataFrame([(a, b, places[a], places[b]) for a, b in wanted], "a string, b string, i long, j long")
+    return pairs.join(sums, ["i", "j"]).select("a", "b", corr.alias("corr"))
+
+
 def _both_ways(pairs: DataFrame) -> DataFrame:
     swapped = F.array(
         F.struct(F.col("a").alias("a"), F.col("b").alias("b"), "corr"),
@@ -382,4 +424,5 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> D
 
 def category_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per value of ``column``, missing values left out."""
-    return df.filter(ref(column).isNotNull()).groupBy(ref(column).alias(column)).agg(F.count("*").alias("count"))
+    value = present(df.schema[column])
+    return df.filter(value.isNotNull()).groupBy(value.alias(column)).agg(F.count("*").alias("count"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabscope.functions.columns import ref
+from tabscope.functions.columns import present, ref
 
 # Fixed value: standard normal quantile of an 80 % band.
 BAND = 1.2815515655446004
@@ -17,7 +17,7 @@ BAND = 1.2815515655446004
 def monthly_totals(df: DataFrame, date: str, value: str, series: list[str] | None = None) -> DataFrame:
     """``series..., ds, y``: sums per calendar month at the month's last day, 0 for empty months.
 
-    Rows are summed before the shuffle. Gaps are filled from each month to the
+    Missing values, NaN among them, add nothing. Rows are summed before the shuffle. Gaps are filled from each month to the
     following one, which needs no calendar join.
     """
     keys = [ref(s) for s in series or []]
@@ -25,7 +25,7 @@ def monthly_totals(df: DataFrame, date: str, value: str, series: list[str] | Non
     sums = (
         df.filter(ref(date).isNotNull())
         .groupBy(*keys, month.alias("_month"))
-        .agg(F.coalesce(F.sum(ref(value).cast("double")), F.lit(0.0)).alias("_sum"))
+        .agg(F.coalesce(F.sum(present(df.schema[value])).cast("double"), F.lit(0.0)).alias("_sum"))
     )
     following = F.lead("_month").over(Window.partitionBy(*keys).orderBy("_month"))
     span = F.sequence("_month", F.coalesce(F.add_months("_next", -1), F.col("_month")), F.expr("interval 1 month"))

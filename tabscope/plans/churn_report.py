@@ -11,8 +11,11 @@ from tabscope.operators import evaluate as E
 from tabscope.operators.cleaning import Roles, assign_roles, coerce_numbers, drop_where_zero
 from tabscope.operators.models import classifier, cross_validate, first_parameters, model_pipeline, predictions
 from tabscope.operators.splitting import train_test_split
+from tabscope.sources.history import append_run, flatten_runs
+from tabscope.sources.landing import export_csv
 from tabscope.workspace import materialize
 
+# The numeric features of the churn table.
 NUMERIC = ["tenure", "MonthlyCharges", "TotalCharges"]
 
 
@@ -83,6 +86,18 @@ def evaluation_row(scored: DataFrame, model_name: str, cross_validation: float |
     return row, E.roc_curve(ordered), counts
 
 
+def record_run(row: DataFrame, history: str, export: str) -> DataFrame:
+    """Append an evaluation to the history and export all runs, this one among them, as a flat table.
+
+    Returns the runs listed before this one; an empty table before the first.
+    """
+    spark = row.sparkSession
+    earlier = materialize(flatten_runs(spark, history), "earlier")
+    append_run(row, history)
+    export_csv(flatten_runs(spark, history), export)
+    return earlier
+
+
 def churn_report(
     df: DataFrame,
     model: str,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabscope.functions.columns import ref
 from tabscope.functions.numbers import null_tokens, to_number
@@ -40,20 +40,22 @@ def scan_declared(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=True)
 
 
-def scan_with_missing(spark: SparkSession, path: str) -> DataFrame:
+def scan_with_missing(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Delimited text where every usual spelling of "missing" becomes NULL.
 
-    A column whose present values are all numbers becomes BIGINT or DOUBLE, one
-    of truth values BOOLEAN. One aggregate decides for all columns.
+    A quote inside a quoted field is written twice. A column whose present values
+    are all numbers becomes BIGINT or, if one does not fit, DOUBLE; one of truth
+    values BOOLEAN. One aggregate decides for all columns. ``multi_line`` allows
+    line breaks inside quotes; a file is then read by one task.
     """
-    raw = scan_text_columns(spark, path)
+    raw = spark.read.csv(path, header=True, escape='"', multiLine=multi_line)
     clean = raw.select(*[null_tokens(ref(c)).alias(c) for c in raw.columns])
     checks = clean.agg(
         *[
             F.struct(
                 F.count_if(ref(c).isNotNull()),
                 F.count_if(ref(c).isNotNull() & to_number(ref(c)).isNull()),
-                F.count_if(~F.trim(ref(c)).rlike(r"^[+-]?[0-9]{1,18}$")),
+                F.count_if(ref(c).isNotNull() & _whole(ref(c)).isNull()),
                 F.count_if(~ref(c).isin("True", "TRUE", "true", "False", "FALSE", "false")),
             )
             for c in raw.columns
@@ -65,7 +67,7 @@ def scan_with_missing(spark: SparkSession, path: str) -> DataFrame:
         if filled and not no_truth:
             return ref(c).cast("boolean")
         if filled and not no_integer:
-            return F.trim(ref(c)).cast("bigint")
+            return _whole(ref(c))
         if not no_number:
             return to_number(ref(c))
         return ref(c)
@@ -73,6 +75,11 @@ def scan_with_missing(spark: SparkSession, path: str) -> DataFrame:
     return clean.select(*[typed(i, c).alias(c) for i, c in enumerate(raw.columns)])
 
 
+def _whole(text: Column) -> Column:
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike("^[+-]?[0-9]+$"), trimmed.try_cast("bigint"))
+
+
 def from_frame(spark: SparkSession, frame: pd.DataFrame, schema: T.StructType | None = None) -> DataFrame:
     """An in-memory frame as a table, with inferred or declared types."""
     return spark.createDataFrame(frame, schema) if schema is not None else spark.createDataFrame(frame)

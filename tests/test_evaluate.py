@@ -105,7 +105,20 @@ def test_confusion_matrix_fills_absent_cells(spark):
     counts = E.class_counts(scored(spark, [(1, 0.9), (1, 0.8)]))
     cells = {(r.y, r.pred): r["count"] for r in E.confusion_matrix(counts, [0, 1]).collect()}
     assert cells == {(0, 0): 0, (0, 1): 0, (1, 0): 0, (1, 1): 2}
-    assert E.known_labels(counts) == [1]
+    seen = {(r.y, r.pred): r["count"] for r in E.confusion_matrix(counts).collect()}
+    assert seen == {(1, 1): 2}
+
+
+def test_matrix_takes_many_and_missing_labels(spark):
+    rows = [("s", i, i, 1) for i in range(40)] + [("s", None, 0, 2)]
+    counts = spark.createDataFrame(rows, "split string, y int, pred int, count long")
+    matrix = E.confusion_matrix(counts)
+    assert matrix.count() == 41 * 41 and matrix.agg(F.sum("count")).first()[0] == 42
+
+
+def test_balanced_accuracy_of_a_class_never_actual(spark):
+    counts = spark.createDataFrame([("s", 0, 0, 3), ("s", 0, 1, 1)], "split string, y int, pred int, count long")
+    assert E.balanced_accuracy(E.confusion_matrix(counts)).first().balanced_accuracy == pytest.approx(0.75)
 
 
 def test_regression_metrics(spark):

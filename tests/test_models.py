@@ -158,7 +158,8 @@ def test_churn_report(spark, frame):
 def test_set_up_imputes_and_encodes(spark, frame):
     table = frame.assign(Contract=[None if i % 7 == 0 else c for i, c in enumerate(frame.Contract)], name=[f"n{i}" for i in frame.id])
     df = spark.createDataFrame(table).withColumn("TotalCharges", F.col("TotalCharges").try_cast("double"))
-    experiment = set_up(df, "Churn", ["id"])
+    assert set_up(df, "Churn", ["id"]).hashed == []
+    experiment = set_up(df, "Churn", ["id"], hashed=["name"])
     assert experiment.hashed == ["name"] and "id" not in experiment.roles.numeric
     from pyspark.ml import Pipeline
 
@@ -176,10 +177,39 @@ def test_comparisons(spark, frame):
     three = set_up(df.drop("Churn"), "Contract", ["id"])
     wide = compare_classifiers(three, folds=2, candidates={"Tree": C.DecisionTreeClassifier(maxDepth=2)}).first()
     assert wide.auc is None and 0 <= wide.f1 <= 1
-    values = comparison_report(
+    report = comparison_report(
         df.drop("Churn"), "MonthlyCharges", "Regression", ["id"], folds=2, candidates={"Linear": R.LinearRegression(), "Tree": R.DecisionTreeRegressor()}
-    ).collect()
+    )
+    values = report.leaderboard.collect()
     assert values[0].r2 >= values[1].r2 and values[0].best
+    assert report.model.transform(report.experiment.rows).filter("prediction IS NOT NULL").count() == len(frame)
+    winner = comparison_report(df, "Churn", "Classification", ["id"], folds=2, candidates=pair)
+    scored = M.score(winner.model, winner.experiment.rows.drop("Churn"), ["id"])
+    assert {r.prediction_label for r in scored.collect()} == {"No", "Yes"}
+
+
+def test_features_of_every_type_and_size(spark):
+    rows = [(i, i % 2 == 0, f"2020-01-{1 + i % 28:02d}", f"c{i % 27}", float(i), "y" if i % 3 else "n") for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, flag boolean, d string, cat string, v double, target string").withColumn("d", F.to_date("d"))
+    experiment = set_up(df.withColumn("t", F.col("d").cast("timestamp")), "target", ["id"])
+    roles = {r.column: r.role for r in experiment.described().collect()}
+    assert roles == {"flag": "numeric", "d": "numeric", "t": "numeric", "v": "numeric", "cat": "categorical", "target": "target", "id": "key"}
+
+
+def test_numeric_labels_keep_their_order(spark):
+    df = spark.createDataFrame([(10, 1.5), (2, 10.0), (10, 2.5)], "label_in int, v double")
+    fitted = X.label_encoder("label_in").fit(df)
+    assert [int(r.label) for r in fitted.transform(df).collect()] == [1, 0, 1]
+    assert list(X.label_encoder("v").fit(df).labelsArray[0]) == ["1.5", "2.5", "10.0"]
+
+
+def test_leaderboard_never_picks_a_missing_metric(spark):
+    from tabscope.operators.compare import leaderboard
+
+    board = spark.createDataFrame([("a", float("nan")), ("b", 0.5), ("c", None), ("d", 0.7)], "model string, m double")
+    assert [(r.model, r.best) for r in leaderboard(board, "m").collect()] == [("d", True), ("b", False), ("a", False), ("c", False)]
+    assert leaderboard(board, "m", ascending=True).first().model == "b"
+    assert leaderboard(board.where("model IN ('a', 'c')"), "m").where("best").count() == 0
 
 
 def test_stream_equals_batch(spark, rows, tmp_path):

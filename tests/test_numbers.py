@@ -37,4 +37,11 @@ def test_to_number_and_tokens(spark):
     got = [r["n"] for r in rows.select("i", to_number(F.col("t")).alias("n")).orderBy("i").collect()]
     assert got == [7.0, 7.0, None, None, None, 1000.0, -0.5, None, None, None, 5.0, 2.0]
     kept = [r["n"] for r in rows.select("i", null_tokens(F.col("t")).alias("n")).orderBy("i").collect()]
-    assert kept == ["7", " 7 ", "1d", None, None, "1e3", "-.5", "abc", None, None, "5.", "+2"]
+    assert kept == ["7", " 7 ", "1d", None, " ", "1e3", "-.5", "abc", None, None, "5.", "+2"]
+
+
+def test_infinity_is_a_number(spark):
+    texts = ["inf", "-Infinity", " +INF ", "info"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["n"] for r in rows.select("i", to_number(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [float("inf"), float("-inf"), float("inf"), None]

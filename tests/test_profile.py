@@ -177,3 +177,35 @@ def test_cleaning_steps(spark, table):
     assert [r.d for r in dates.select(C.date_from_text(F.col("d"), strict=False).alias("d")).collect()][1] is None
     with pytest.raises(Exception):
         dates.select(C.date_from_text(F.col("d"))).collect()
+
+
+def test_wide_correlation_with_missing_values(spark):
+    """60 columns with gaps: one scan, equal to a frame's pairwise correlation."""
+    chance = np.random.default_rng(3)
+    frame = pd.DataFrame(chance.normal(size=(80, 60)), columns=[f"c{i}" for i in range(60)])
+    frame["c1"] = frame["c0"] * 2 + frame["c1"]
+    frame = frame.mask(chance.random(frame.shape) < 0.2)
+    df = spark.createDataFrame(frame)
+    got = {(r.a, r.b): r["corr"] for r in P.correlation(df).collect()}
+    expected = frame.corr()
+    assert len(got) == 3600
+    for (a, b), value in got.items():
+        assert value == pytest.approx(expected.loc[a, b], abs=1e-9)
+
+
+def test_digest_sees_microseconds(spark):
+    rows = [("2020-01-01 00:00:00.123456",), ("2020-01-01 00:00:00.123457",)]
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame(rows, "t string").select(F.col("t").cast(kind).alias("t"))
+        assert P.uniqueness(df).first().distinct_rows == 2 == P.scorecard(df).first().distinct_rows
+
+
+def test_infinite_values_lie_in_no_bin(spark):
+    df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (0.0,), (10.0,), (float("nan"),)], "v double")
+    bins = P.histogram(df).orderBy("bin").collect()
+    assert (bins[0].low, bins[-1].high, sum(b["count"] for b in bins), bins[0]["count"], bins[-1]["count"]) == (0.0, 10.0, 2, 1, 1)
+
+
+def test_nan_is_no_category(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "v double")
+    assert [(r.v, r["count"]) for r in P.category_counts(df, "v").collect()] == [(1.0, 1)]

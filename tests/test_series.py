@@ -105,3 +105,8 @@ def test_sales_report(table):
     assert sales_report(table, 3, model="smoothing", category="shop")["forecast"].count() == 3
     with pytest.raises(ValueError):
         sales_report(table, 3, model="other", category="shop")
+
+
+def test_nan_adds_nothing_to_a_month(spark):
+    df = spark.createDataFrame([("2020-01-05", 2.0), ("2020-01-06", float("nan"))], "d string, v double")
+    assert [r.y for r in S.monthly_totals(df.withColumn("d", F.to_date("d")), "d", "v").collect()] == [2.0]

@@ -34,6 +34,35 @@ def test_scan_with_missing(spark, csv):
     assert rows[3].city is None and rows[4].city is None and rows[2].city == "Rome, Italy"
 
 
+MESSY = """id,name,sex,big,v
+1,"Smith ""Jim"", Jr.",male,9223372036854775000,inf
+2, NA ,female,-5,2
+3,NA,"a\\b",17,-Infinity
+"""
+
+
+def test_scan_equals_a_frame_reader(spark, tmp_path):
+    path = tmp_path / "messy.csv"
+    path.write_text(MESSY)
+    frame = pd.read_csv(path)
+    df = T.scan_with_missing(spark, str(path))
+    assert dict(df.dtypes) == {"id": "bigint", "name": "string", "sex": "string", "big": "bigint", "v": "double"}
+    expected = [tuple(None if pd.isna(x) else x for x in row) for row in frame.itertuples(index=False)]
+    assert [tuple(r) for r in df.orderBy("id").collect()] == expected
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text('id,t\n1,"a\nb"\n2,c\n')
+    assert [r.t for r in T.scan_with_missing(spark, str(path), multi_line=True).orderBy("id").collect()] == ["a\nb", "c"]
+
+
+def test_history_before_the_first_run(spark, tmp_path):
+    path = str(tmp_path / "none")
+    assert H.list_runs(spark, path).count() == 0 and H.flatten_runs(spark, path).count() == 0
+    assert H.find_run(spark, path, "x", ["data"]).count() == 0
+
+
 def test_declared_frame(spark):
     frame = pd.DataFrame({"datesold": [pd.Timestamp("2020-01-02").date()], "postcode": [7], "price": [10], "propertyType": ["unit"], "bedrooms": [2]})
     assert T.from_frame(spark, frame, T.SALES_SCHEMA).schema == T.SALES_SCHEMA
