@@ -27,39 +27,41 @@ HASH_BITS = 21
 FEATURES = 8192
 TRAIN_ROWS = 20_000
 LEAST_TEXTS = 3
+BLOCK = 1 << 20  # bytes of text whose n-grams are held at a time
 LEAST_CHI = 24.0  # of hundreds of thousands of n-grams, few reach this by chance
 REGULARIZATION = 3e-5
 
 
-def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Begin and end of each text in the joined bytes, and each order's n-gram hash at every place."""
-    parts = [t.lower().encode() for t in texts]
-    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
-    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-    out = []
-    for order in ORDERS:
-        n = max(0, len(data) - order + 1)
-        h = np.full(n, order, np.uint32)
-        for i in range(order):
-            h *= np.uint32(0x01000193)
-            h += data[i : i + n]
-        h *= np.uint32(0x9E3779B1)
-        out.append(h >> np.uint32(32 - HASH_BITS))
-    return np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, out
+def _hashed(data: np.ndarray, order: int) -> np.ndarray:
+    h = np.full(max(0, len(data) - order + 1), order, np.uint32)
+    for i in range(order):
+        h *= np.uint32(0x01000193)
+        h += data[i : i + len(h)]
+    h *= np.uint32(0x9E3779B1)
+    return h >> np.uint32(32 - HASH_BITS)
 
 
 def present(texts: list[str], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row and feature of every n-gram that a text holds; ``table`` numbers the kept ones from 1."""
-    _, ends, found = buckets(texts)
+    """Row and feature of every n-gram that a text holds; ``table`` numbers the kept ones from 1.
+
+    Texts are read in blocks, so one that is very long takes no more room than others.
+    """
+    parts = [t.lower().encode() for t in texts]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
     size = int(table.max()) + 1 if table is not None else 1 << HASH_BITS
-    keys = []
-    for order, h in zip(ORDERS, found):
-        feature = h if table is None else table[h]
-        at = np.arange(len(h)) if table is None else np.flatnonzero(feature)
-        row = np.searchsorted(ends, at, "right")
-        inside = at + order <= ends[row]  # not over the border of two texts
-        keys.append(row[inside] * size + feature[at[inside]].astype(np.int64))
-    key = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+    keys = [np.empty(0, np.int64)]
+    for order in ORDERS:
+        for low in range(0, len(data) - order + 1, BLOCK):
+            feature = _hashed(data[low : low + BLOCK + order - 1], order)
+            at = np.arange(len(feature), dtype=np.int64)
+            if table is not None:
+                feature = table[feature]
+                at = np.flatnonzero(feature)
+            row = np.searchsorted(ends, at + low, "right")
+            inside = at + low + order <= ends[row]  # not over the border of two texts
+            keys.append(np.unique(row[inside] * size + feature[at[inside]].astype(np.int64)))
+    key = np.unique(np.concatenate(keys))
     return key // size, key % size
 
 
@@ -88,12 +90,18 @@ def train(labelled: DataFrame, features: int = FEATURES, smoothing: float = 1.0)
         return Model(np.zeros(1 << HASH_BITS, np.uint16), np.zeros(1), float(np.log(share / (1 - share))))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        both = np.zeros((2, 1 << HASH_BITS), np.int32)  # a task's sums
+        for batch in slices(batches, max_bytes=BLOCK):
             label = batch["label"].to_numpy(zero_copy_only=False)
             row, feature = present(batch["text"].to_pylist())
-            both = [np.bincount(feature[label[row] == k], minlength=1 << HASH_BITS) for k in (1, 0)]
-            kept = np.flatnonzero(both[0] + both[1])
-            yield pa.RecordBatch.from_arrays([pa.array(kept), *(pa.array(b[kept]) for b in both)], names=["feature", "toxic", "other"])
+            for k in (0, 1):
+                np.add.at(both[k], feature[label[row] == k], 1)
+        kept = np.flatnonzero(both.any(0))
+        for i in range(0, len(kept), 1 << 16):
+            part = kept[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part), *(pa.array(both[k][part].astype(np.int64)) for k in (1, 0))], names=["feature", "toxic", "other"]
+            )
 
     counts = labelled.mapInArrow(count, "feature long, toxic long, other long").groupBy("feature").agg(
         F.sum("toxic").cast("double").alias("a"), F.sum("other").cast("double").alias("b")
@@ -114,7 +122,7 @@ def train(labelled: DataFrame, features: int = FEATURES, smoothing: float = 1.0)
     size = len(ratios)
 
     def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=BLOCK):
             row, feature = present(batch["text"].to_pylist(), shared.value)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = [feature[a:b].tolist() for a, b in zip(ends, ends[1:])]
@@ -157,18 +165,18 @@ def toxicity(
 
     Labels are learned from rows whose crc32 of the id, modulo ``held_out``, is not 0. A null
     text is empty; an empty text has no n-grams, its score comes from the intercept. Labels
-    that are null or neither 0 nor 1 are not learned from. Repeated rows give a row each, an
+    that are null or neither 0 nor 1 are not learned from; a null id is not held out. Repeated rows give a row each, an
     empty table none; other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, held_out, train_rows, id_col, text_col, label_col)))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=4 << 20):
+        for batch in slices(batches, max_bytes=2 * BLOCK):
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(model.value.scores(batch["text"].to_pylist()))], names=["id", "score"])
 
     return keyed_text(docs, id_col, text_col).mapInArrow(score, schema).select(
-        ref("id").alias(id_col), (bucket_of("id", held_out) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        ref("id").alias(id_col), F.coalesce(bucket_of("id", held_out) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
@@ -178,7 +186,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        parts = slices([pa.RecordBatch.from_arrays([texts], names=["text"])], max_bytes=4 << 20)
+        parts = slices([pa.RecordBatch.from_arrays([texts], names=["text"])], max_bytes=2 * BLOCK)
         scores = [model.value.scores(part["text"].to_pylist()) for part in parts]
         return pa.array(np.concatenate(scores) if scores else np.empty(0))
 
