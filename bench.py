@@ -13,10 +13,13 @@ from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscope.catalog.inputs import table
-from tabscope.operators import evaluate as E, profile as P, series as S, splitting as X
+from tabscope.catalog.inputs import derived, table
+from tabscope.catalog.modelling import KEY, ROLES
+from tabscope.operators import evaluate as E, models as M, profile as P, series as S, splitting as X
+from tabscope.plans.churn_report import prepare
 from tabscope.plans.quality_report import quality_report, report_row
 from tabscope.session import get_session
+from tabscope.workspace import materialize
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -71,6 +74,14 @@ def queries(spark: SparkSession) -> dict:
         consume(E.roc_curve(ordered))
         consume(E.roc_auc(ordered))
 
+    churn = materialize(X.train_test_split(prepare(derived(spark, SF_DIR, "churn"), "Churn", KEY)[0], KEY), "churn")
+    train = churn.filter("split = 'train'")
+    fitted = M.model_pipeline(ROLES, "Churn", "lr").fit(train)
+    # gaps in ten numeric columns
+    wide = lines.select(
+        *[F.when(F.col("l_linenumber") != i % 7, F.col(c) * (1 + i)).alias(f"{c}_{i}") for i in range(10) for c in ("l_quantity", "l_discount", "l_tax")]
+    )
+
     return {
         "quality_report_orders": lambda: report(orders),
         "quality_report_lineitem": lambda: report(lines),
@@ -86,6 +97,13 @@ def queries(spark: SparkSession) -> dict:
         "stratified_folds": lambda: consume(X.stratified_folds(orders, "o_orderstatus", ["o_orderkey"])),
         "exact_split": lambda: consume(X.train_test_split(orders, ["o_orderkey"], exact=True)),
         "monthly_forecast": forecast,
+        "correlation_wide_with_gaps": lambda: consume(P.correlation(wide)),
+        "fit_logistic": lambda: M.model_pipeline(ROLES, "Churn", "lr").fit(train),
+        "fit_tree": lambda: M.model_pipeline(ROLES, "Churn", "dt").fit(train),
+        "score_batch": lambda: consume(M.score(fitted, churn.drop("Churn"), KEY)),
+        "cross_validation_six_folds": lambda: consume(
+            M.cross_validate(churn, M.model_pipeline(ROLES, "Churn", "dt", unseen="keep"), "Churn", KEY, repeats=1)
+        ),
     }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabscope.operators import profile as P
 
+# The metrics by the names that callers use.
 METRICS = ("shape", "unique", "complete", "num_dist", "corr", "schema", "cat_dist", "describe")
 
 
@@ -28,7 +29,7 @@ def quality_report(
     metrics: dict[str, bool] | list[str] | None = None,
     missing: str = "pairwise",
     quartiles: str = "exact",
-    unique_by: str = "rows",
+    unique_by: str = "digest",
 ) -> dict[str, DataFrame]:
     """One table per chosen metric.
 
@@ -39,7 +40,7 @@ def quality_report(
     """
     names = chosen(metrics)
     wants = set(names)
-    counted = "unique" in wants and unique_by == "rows"
+    counted = "unique" in wants and unique_by == "digest"
 
     def count_rows() -> DataFrame:
         # one row, taken once for the three metrics that show it

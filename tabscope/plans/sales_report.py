@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabscope.functions.columns import ref
 from tabscope.operators import profile as P, series as S
 
 
@@ -42,17 +43,27 @@ def sales_report(
 
 
 def sales_row(report: dict[str, DataFrame], model_name: str) -> DataFrame:
-    """Scalars and the forecast of a single-series report as one history row."""
+    """The whole report as one history row; dates as text, the lines of each part in a fixed order.
+
+    Parts have a line per column, bin, month or category, so a row holds them.
+    """
     spark = report["shape"].sparkSession
-    points = F.array_sort(F.collect_list(F.struct(F.col("ds").cast("string").alias("ds"), "yhat")))
+
+    def lines(part: str):
+        table = report[part]
+        texts = {c: ref(c).cast("string") for c, kind in table.dtypes if kind == "date"}
+        table = table.withColumns(texts)
+        return table.agg(F.array_sort(F.collect_list(F.struct(*[ref(c) for c in table.columns]))).alias("p")).scalar()
+
     return spark.range(1).select(
         F.struct(
             report["shape"].select(F.struct("n_rows", "n_columns")).scalar().alias("shape"),
             report["completeness"].select("complete").scalar().alias("completeness"),
             report["uniqueness"].select("unique").scalar().alias("uniqueness"),
+            *[lines(p).alias(p) for p in ("schema", "describe", "numerical_distribution", "monthly_sales", "categorical_distribution")],
         ).alias("eda"),
         F.struct(
             F.lit(model_name).alias("model_name"),
-            report["forecast"].agg(points.alias("p")).scalar().alias("forecasted_sales"),
+            lines("forecast").alias("forecasted_sales"),
         ).alias("running_results"),
     )
