@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -29,10 +31,16 @@ def get_session(app_name: str = "tabscope", master: str | None = None, **extra:
 
 
 def let_workers_import(spark: SparkSession) -> None:
-    """Name this checkout on the path of the Python workers. Executors on other machines need the
-    package themselves (``--py-files`` or an installation); there the path is not found and ignored."""
+    """Name this checkout on the path of the Python workers, and bound what is sent to them at once.
+
+    Executors on other machines need the package themselves (``--py-files`` or an
+    installation); there the path is not found and ignored. A batch of rows is cut by its
+    bytes, as texts may be long; a session's own setting stays.
+    """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    if spark.sparkContext.getConf().get(BATCH_BYTES) is None:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
