@@ -12,6 +12,7 @@ one task; a group leaves at most about one bin that is not full.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -25,11 +26,11 @@ from tokenizers import Tokenizer
 
 from tabscope.functions.columns import ref
 from tabscope.llm import transducer
-from tabscope.llm.texts import keyed_text, slices
+from tabscope.llm.texts import kept_model, keyed_text, slices
 from tabscope.workspace import materialize
 
 GROUP_PIECES = 4096
-KEPT_WORDS = 300_000
+KEPT_WORDS = 120_000  # of each of two generations
 SPACE, LETTER, NUMBER, SIGN = range(4)
 
 
@@ -59,13 +60,17 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words that come again move on to the next generation
 
     def _word(self, word: str) -> bytes:
+        found = self.known.get(word) or self.older.get(word)
+        if found is None:
+            symbols = word.encode().decode("latin-1")
+            ids = self.model.encode(symbols[:-1] + chr(ord(symbols[-1]) + transducer.END))
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self.known) >= KEPT_WORDS:
-            self.known.clear()
-        symbols = word.encode().decode("latin-1")
-        ids = self.model.encode(symbols[:-1] + chr(ord(symbols[-1]) + transducer.END))
-        found = self.known[word] = np.asarray(ids, "<u4").tobytes()
+            self.older, self.known = self.known, {}
+        self.known[word] = found
         return found
 
     def plain(self, text: str) -> bool:
@@ -97,8 +102,9 @@ class WordEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out, get = [], self.known.get
+        out = []
         for text in texts:
+            get = self.known.get
             if not text:
                 out.append(b"")
             elif self.plain(text):
@@ -112,9 +118,8 @@ class WordEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return kept_model(("words", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +138,7 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_c
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, keep=True):
             rows, at = [], []
             for row, ids in enumerate(words.ids(batch["text"].to_pylist())):
                 ids += last

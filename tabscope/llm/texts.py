@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope.functions.columns import ref
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -19,8 +20,34 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(ref(id_col).alias("id"), F.coalesce(ref(text_col), F.lit("")).alias("text"))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds ``max_bytes`` of text at most, or a single row."""
+_models: dict[tuple, object] = {}
+
+
+def kept_model(key: tuple, build: Callable[[], object]) -> object:
+    """A large model that a worker keeps from task to task; it keeps one."""
+    if key not in _models:
+        let_go()
+        _models[key] = build()
+    return _models[key]
+
+
+def let_go() -> None:
+    """Free the model that an operator before has left in this worker."""
+    if _models:
+        _models.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = SLICE_BYTES, keep: bool = False
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds ``max_bytes`` of text at most, or a single row.
+
+    Unless told to ``keep`` it, the worker lets go of another operator's model.
+    """
+    if not keep:
+        let_go()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -71,10 +98,19 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first ``n`` powers; those for slices of the usual size are kept."""
+    known = _known.get(int(base))
+    if known is None or len(known) < n:
+        out = np.full(max(n, SLICE_BYTES + 2), base, np.uint64)
+        out[0] = 1
+        known = np.multiply.accumulate(out)
+        if len(known) <= SLICE_BYTES + 2:
+            _known[int(base)] = known
+    return known[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabscope.functions.columns import ref
 from tabscope.llm import transducer
-from tabscope.llm.texts import flat, keyed_text, slices
+from tabscope.llm.texts import flat, kept_model, keyed_text, slices
 
 CHUNK = 256
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000  # of each of two generations
 
 # classes of characters; R, V, L and the one-letter endings S matter only after an apostrophe
 LETTER, END_S, LETTER_R, LETTER_V, LETTER_L, LETTER_E, NUMBER, BLANK, SPACE, APOSTROPHE, OTHER, STOP = range(12)
@@ -115,11 +115,13 @@ class Counter:
         self.model = transducer.load(path)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}  # pieces that come again move on to the next generation
 
     def _piece(self, piece: str) -> int:
+        found = self.known.get(piece) or self.older.get(piece) or self.model.count(piece.encode().decode("latin-1"))
         if len(self.known) >= KEPT_PIECES:
-            self.known.clear()
-        found = self.known[piece] = self.model.count(piece.encode().decode("latin-1"))
+            self.older, self.known = self.known, {}
+        self.known[piece] = found
         return found
 
     def counts(self, texts: list[str]) -> np.ndarray:
@@ -154,9 +156,8 @@ class Counter:
         return extra + np.asarray(totals).astype(np.int64)
 
 
-@lru_cache(maxsize=4)
 def counter(path: str, special: tuple[str, ...]) -> Counter:
-    return Counter(path, special)
+    return kept_model(("tokens", path, special), lambda: Counter(path, special))
 
 
 def token_counts(
@@ -175,7 +176,7 @@ def token_counts(
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = counter(path, special)
-        for batch in slices(batches):
+        for batch in slices(batches, keep=True):
             totals = model.counts(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], pa.array(np.diff(flat(batch["text"])[1])), pa.array(totals)], names=["id", "n_bytes", "n_tokens"]

@@ -16,7 +16,6 @@ States and transitions are made when a text first needs them and kept; beyond
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 BEGIN = ""  # the last token of an empty prefix
 END = 256  # added to a word's last byte where the vocabulary marks word ends
@@ -33,7 +32,7 @@ class Transducer:
     """Symbols are the characters of a string: bytes as chr(0) to chr(255), and the last byte
     of a word moved up by ``END`` where the vocabulary has a word-end suffix."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], max_states: int = 250_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], max_states: int = 200_000):
         self.ids = vocab
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.made: dict[str, tuple[int, str, str]] = {}
@@ -47,14 +46,14 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.step: dict[int, tuple[int, int]] = {}
+        self.step: dict[int, int] = {}  # state << 9 | symbol: next state << 8 | change + 128
         self.last: list[str] = []
-        self._open: list[tuple[tuple[str, str, int], ...]] = []
+        self._open: list[tuple] = []
         self._number: dict[tuple, int] = {}
-        self._state((("", BEGIN, 0),), BEGIN)
+        self._state(("", BEGIN, 0), BEGIN)
 
-    def _state(self, open_suffixes: tuple[tuple[str, str, int], ...], last: str) -> int:
-        """open_suffixes: (suffix, last token before it, tokens before it less tokens so far), longest first."""
+    def _state(self, open_suffixes: tuple, last: str) -> int:
+        """open_suffixes: suffix, last token before it, tokens before it less tokens so far; and so on, longest first."""
         number = self._number.setdefault(open_suffixes, len(self.last))
         if number == len(self.last):
             self.last.append(last)
@@ -111,22 +110,23 @@ class Transducer:
             else:
                 j += 1
 
-    def compile(self, state: int, symbol: str) -> tuple[int, int]:
+    def compile(self, state: int, symbol: str) -> int:
         """The transition for ``symbol``: next state and change in the number of tokens."""
-        found = None
-        kept = []
-        for suffix, before, fewer in self._open[state]:
+        found, kept = None, []
+        parts = iter(self._open[state])
+        for suffix, before, fewer in zip(parts, parts, parts):
             grown = suffix + symbol
             if found is None and grown in self.ids and self.fits(before, grown):
-                found = (self.own[grown], fewer + 1)
+                found = self.own[grown], fewer + 1
             if grown in self.longer:
-                kept.append((self.longer[grown], before, fewer))
+                kept += (self.longer[grown], before, fewer)
         if found is None:
             raise ValueError(f"no token fits at symbol {ord(symbol)}")
         last, change = found
-        target = self._state((*((s, b, f - change) for s, b, f in kept), ("", last, 0)), last)
-        self.step[state << 9 | ord(symbol)] = target, change
-        return target, change
+        kept[2::3] = [fewer - change for fewer in kept[2::3]]
+        target = self._state((*kept, "", last, 0), last)
+        known = self.step[state << 9 | ord(symbol)] = target << 8 | change + 128
+        return known
 
     def _room(self) -> None:
         if len(self.last) > self.max_states:
@@ -137,9 +137,9 @@ class Transducer:
         self._room()
         step, state, total = self.step, 0, 0
         for symbol in symbols:
-            known = step.get(state << 9 | ord(symbol))
-            state, change = known or self.compile(state, symbol)
-            total += change
+            known = step.get(state << 9 | ord(symbol)) or self.compile(state, symbol)
+            state = known >> 8
+            total += (known & 255) - 128
         return total
 
     def encode(self, symbols: str) -> list[int]:
@@ -147,8 +147,7 @@ class Transducer:
         self._room()
         step, last, state, ends = self.step, self.last, 0, []
         for symbol in symbols:
-            known = step.get(state << 9 | ord(symbol))
-            state = (known or self.compile(state, symbol))[0]
+            state = (step.get(state << 9 | ord(symbol)) or self.compile(state, symbol)) >> 8
             ends.append(last[state])
         out, at = [], len(symbols)
         while at:
@@ -158,8 +157,7 @@ class Transducer:
         return out[::-1]
 
 
-@lru_cache(maxsize=4)
-def load(path: str, max_states: int = 250_000) -> Transducer:
+def load(path: str, max_states: int = 200_000) -> Transducer:
     """The transducer of a vocabulary file of the tokenizers library with a byte-level BPE model."""
     with open(path, encoding="utf-8") as file:
         model = json.load(file)["model"]
