@@ -128,7 +128,7 @@ def compare_classifiers(
     folds: int = 10,
     candidates: dict | None = None,
     sort: str = "accuracy",
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Leaderboard of cross-validated class metrics on the training rows.
 
@@ -175,7 +175,7 @@ def compare_regressors(
     folds: int = 10,
     candidates: dict | None = None,
     sort: str = "r2",
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Leaderboard of cross-validated error metrics on the training rows."""
     train = experiment.train.withColumn("label", ref(experiment.target).cast("double")).withColumn("_all", F.lit(0))

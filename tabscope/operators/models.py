@@ -91,7 +91,7 @@ def cross_validate(
     folds: int = 6,
     repeats: int = 10,
     seed: str = "cv",
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """``repeat, fold, accuracy`` of repeated stratified folds; the whole estimator is refitted each time.
 
