@@ -1,16 +1,23 @@
 """Toxicity by a linear classifier over character n-grams.
 
-A feature is the presence of an n-gram of the lower-cased text's bytes, hashed; its value is the
-naive Bayes log-count ratio of the n-gram in toxic and other texts (Wang and Manning,
-"Baselines and bigrams", 2012). The n-grams that tell the labels apart most, by the
-chi-square of their presence, are kept; a logistic regression on their scaled values is
-fitted on a bounded sample of labelled rows. Every text is scored whole.
+A feature is the presence of an n-gram of the lower-cased text's characters; white space is one
+mark, which is also set where a word begins or ends. Its value is the naive Bayes
+log-count ratio of the n-gram in toxic and other texts (Wang and Manning, "Baselines and
+bigrams", 2012). The n-grams that tell the labels apart most, by the chi-square of their presence,
+are kept; a logistic regression on their scaled values is fitted on a bounded sample of
+labelled rows. Every text is scored whole.
+
+Short n-grams are hashed to a table. Long ones are many and each rare, so they have hashes
+of 43 bits; they are counted in toxic texts first, and in the others where they could reach the
+chi-square needed.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,59 +29,122 @@ from tabscope.functions.columns import ref
 from tabscope.llm.texts import bucket_of, keyed_text, slices
 from tabscope.workspace import materialize
 
-ORDERS = (4, 5)
+SHORT, LONG = (2, 3, 4, 5), (6, 8, 10)
 HASH_BITS = 21
-FEATURES = 8192
+LONG_BITS, ROW_BITS = 43, 20
+FILTER_BITS = 24
+FEATURES = 32_768
 TRAIN_ROWS = 20_000
 LEAST_TEXTS = 3
-BLOCK = 1 << 20  # bytes of text whose n-grams are held at a time
+BLOCK = 1 << 19  # characters of text whose n-grams are held at a time
 LEAST_CHI = 24.0  # of hundreds of thousands of n-grams, few reach this by chance
 REGULARIZATION = 3e-5
 
 
-def _hashed(data: np.ndarray, order: int) -> np.ndarray:
-    h = np.full(max(0, len(data) - order + 1), order, np.uint32)
-    for i in range(order):
-        h *= np.uint32(0x01000193)
-        h += data[i : i + len(h)]
-    h *= np.uint32(0x9E3779B1)
-    return h >> np.uint32(32 - HASH_BITS)
+@cache
+def _classes() -> np.ndarray:
+    """Of each code point: 1 in words (letters, digits and their marks), 2 white space, 0 other."""
+    return np.frombuffer(bytes(1 if unicodedata.category(c)[0] in "LNM" else 2 * c.isspace() for c in map(chr, range(0x110000))), np.uint8)
+
+
+def _coded(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Characters and their rows, in blocks; each begins with the last characters of the one before."""
+    parts = [f"\n{t.lower()}\n" for t in texts]
+    begins = np.cumsum([0, *map(len, parts)], dtype=np.int64)
+    whole, classes, mark = "".join(parts), _classes(), np.uint32(32)
+    codes, rows, last = np.empty(0, np.uint32), np.empty(0, np.int64), 2
+    for low in range(0, len(whole), BLOCK):
+        code = np.frombuffer(whole[low : low + BLOCK].encode("utf-32-le"), np.uint32)
+        row = np.searchsorted(begins, np.arange(low, low + len(code)), "right") - 1
+        kind = classes[code]
+        before = np.concatenate([[np.uint8(last)], kind[:-1]])
+        last = kind[-1]
+        edge = (kind != before) & (kind != 2) & (before != 2)
+        code, row = np.repeat(np.where(kind == 2, mark, code), 1 + edge), np.repeat(row, 1 + edge)
+        at = np.flatnonzero(edge)
+        code[at + np.arange(len(at))] = mark
+        code, row = np.concatenate([codes, code]), np.concatenate([rows, row])
+        again = np.zeros(len(code), bool)
+        again[1:] = (code[1:] == mark) & (code[:-1] == mark) & (row[1:] == row[:-1])
+        code, row = code[~again], row[~again]
+        yield code, row
+        codes, rows = code[1 - LONG[-1] :], row[1 - LONG[-1] :]
+
+
+def _hashed(codes: np.ndarray, rows: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each order, 64-bit hashes of the n-grams within a row, and their rows."""
+    h = np.zeros(len(codes), np.uint64)
+    for i in range(min(orders[-1], len(codes))):
+        h = (h[: len(codes) - i] + codes[i:]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        if i + 1 in orders:
+            inside = rows[: len(h)] == rows[i:]  # not over the border of two texts
+            yield (h[inside] + np.uint64(i)) * np.uint64(0xBF58476D1CE4E5B9), rows[: len(h)][inside]
+
+
+def short_present(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every short n-gram that a text holds."""
+    keys = [np.empty(0, np.int64)]
+    for block in _coded(texts):
+        for h, row in _hashed(*block, SHORT):
+            keys.append(np.unique(row << HASH_BITS | (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)))
+    key = np.unique(np.concatenate(keys))
+    return key >> HASH_BITS, key & ((1 << HASH_BITS) - 1)
 
 
-def present(texts: list[str], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row and feature of every n-gram that a text holds; ``table`` numbers the kept ones from 1.
+def long_counts(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every long n-gram and the number of texts that hold it; ``wanted`` tells by the first bits which to count."""
+    keys = [np.empty(0, np.uint64)]
+    for at in range(0, len(texts), 1 << ROW_BITS):
+        for block in _coded(texts[at : at + (1 << ROW_BITS)]):
+            for h, row in _hashed(*block, LONG):
+                if wanted is not None:
+                    own = wanted[h >> np.uint64(64 - FILTER_BITS)]
+                    h, row = h[own], row[own]
+                keys.append(_once(h >> np.uint64(64 - LONG_BITS) << np.uint64(ROW_BITS) | row.astype(np.uint64)))
+    return np.unique(_once(np.concatenate(keys)) >> np.uint64(ROW_BITS), return_counts=True)
 
-    Texts are read in blocks, so one that is very long takes no more room than others.
-    """
-    parts = [t.lower().encode() for t in texts]
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-    size = int(table.max()) + 1 if table is not None else 1 << HASH_BITS
-    keys = [np.empty(0, np.int64)]
-    for order in ORDERS:
-        for low in range(0, len(data) - order + 1, BLOCK):
-            feature = _hashed(data[low : low + BLOCK + order - 1], order)
-            at = np.arange(len(feature), dtype=np.int64)
-            if table is not None:
-                feature = table[feature]
-                at = np.flatnonzero(feature)
-            row = np.searchsorted(ends, at + low, "right")
-            inside = at + low + order <= ends[row]  # not over the border of two texts
-            keys.append(np.unique(row[inside] * size + feature[at[inside]].astype(np.int64)))
-    key = np.unique(np.concatenate(keys))
-    return key // size, key % size
+
+def _once(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
 
 @dataclass
 class Model:
-    table: np.ndarray  # of all hashes: the feature's number from 1, or 0
+    table: np.ndarray  # of all hashes of short n-grams: the feature's number from 1, or 0
     weights: np.ndarray  # by number; 0 for number 0
     bias: float
+    long: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # sorted hashes of long n-grams
+    numbers: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # and the features' numbers
+
+    def present(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Row and number of every feature that a text holds.
+
+        Texts are read in blocks, so one that is very long takes no more room than others.
+        """
+        size = len(self.weights)
+        keys = [np.empty(0, np.int64)]
+        near = np.zeros(1 << HASH_BITS, bool)
+        near[self.long >> np.uint64(LONG_BITS - HASH_BITS)] = True
+        for codes, rows in _coded(texts):
+            for h, row in _hashed(codes, rows, SHORT):
+                number = self.table[h >> np.uint64(64 - HASH_BITS)]
+                at = np.flatnonzero(number)
+                keys.append(np.unique(row[at] * size + number[at]))
+            for h, row in _hashed(codes, rows, LONG) if len(self.long) else ():
+                at = np.flatnonzero(near[h >> np.uint64(64 - HASH_BITS)])
+                h = h[at] >> np.uint64(64 - LONG_BITS)
+                place = np.minimum(np.searchsorted(self.long, h), len(self.long) - 1)
+                own = self.long[place] == h
+                keys.append(np.unique(row[at[own]] * size + self.numbers[place[own]]))
+        key = np.unique(np.concatenate(keys))
+        return key // size, key % size
 
     def scores(self, texts: list[str]) -> np.ndarray:
         total = np.full(len(texts), self.bias)
-        if self.table.any():
-            row, feature = present(texts, self.table)
+        if len(self.weights) > 1:
+            row, feature = self.present(texts)
             total += np.bincount(row, self.weights[feature], len(texts))
         return 1.0 / (1.0 + np.exp(-np.clip(total, -700, 700)))
 
@@ -93,7 +163,7 @@ def train(labelled: DataFrame, features: int = FEATURES, smoothing: float = 1.0)
         both = np.zeros((2, 1 << HASH_BITS), np.int32)  # a task's sums
         for batch in slices(batches, max_bytes=BLOCK):
             label = batch["label"].to_numpy(zero_copy_only=False)
-            row, feature = present(batch["text"].to_pylist())
+            row, feature = short_present(batch["text"].to_pylist())
             for k in (0, 1):
                 np.add.at(both[k], feature[label[row] == k], 1)
         kept = np.flatnonzero(both.any(0))
@@ -107,23 +177,45 @@ def train(labelled: DataFrame, features: int = FEATURES, smoothing: float = 1.0)
         F.sum("toxic").cast("double").alias("a"), F.sum("other").cast("double").alias("b")
     )
     all_rows, a, b = float(toxic + other), F.col("a"), F.col("b")
+
+    def count_long(batches: Iterable[pa.RecordBatch], wanted=None) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, max_bytes=BLOCK):
+            found, n = long_counts(batch["text"].to_pylist(), wanted.value if wanted else None)
+            for i in range(0, len(found), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], names=["feature", "n"])
+
+    def long_sums(label: int, wanted=None) -> DataFrame:
+        own = labelled.where(F.col("label") == label).mapInArrow(lambda batches: count_long(batches, wanted), "feature long, n long")
+        return own.groupBy("feature").agg(F.sum("n").cast("double").alias("b" if wanted else "a"))
+
+    # with no other text that holds it, an n-gram's chi-square is the greatest it can be
+    reach = F.try_divide(all_rows * a * other, (all_rows - a) * toxic)
+    often = materialize(long_sums(1).where((a >= LEAST_TEXTS) & (reach >= LEAST_CHI)), "ngrams")
+    first = often.select(F.shiftrightunsigned("feature", LONG_BITS - FILTER_BITS).cast("int").alias("first")).distinct().toArrow()
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[first["first"].to_numpy()] = True
+    both = often.join(long_sums(0, spark.sparkContext.broadcast(bits)), "feature", "left").fillna(0.0, ["b"])
+    counts = counts.withColumn("long", F.lit(False)).unionByName(both.withColumn("long", F.lit(True)))
     spread = (a + b) * (all_rows - a - b)
     chi = F.try_divide(all_rows * F.pow(a * (other - b) - b * (toxic - a), F.lit(2.0)), spread * float(toxic) * float(other))
     chosen = (
-        counts.where(a + b >= LEAST_TEXTS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "feature").limit(features).collect()
+        counts.where(a + b >= LEAST_TEXTS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "long", "feature").limit(features).collect()
     )
     table = np.zeros(1 << HASH_BITS, np.uint16)
     ratios = np.zeros(len(chosen) + 1)
     toxic_all, other_all = sum(r.a + smoothing for r in chosen), sum(r.b + smoothing for r in chosen)
     for i, r in enumerate(chosen, 1):
-        table[r.feature] = i
+        if not r.long:
+            table[r.feature] = i
         ratios[i] = np.log((r.a + smoothing) / toxic_all) - np.log((r.b + smoothing) / other_all)
-    shared = spark.sparkContext.broadcast(table)
+    long = sorted((r.feature, i) for i, r in enumerate(chosen, 1) if r.long)
+    model = Model(table, ratios, 0.0, np.array([h for h, _ in long], np.uint64), np.array([i for _, i in long], np.int64))
+    shared = spark.sparkContext.broadcast(model)
     size = len(ratios)
 
     def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=BLOCK):
-            row, feature = present(batch["text"].to_pylist(), shared.value)
+            row, feature = shared.value.present(batch["text"].to_pylist())
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = [feature[a:b].tolist() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch["label"], pa.array(lists, pa.list_(pa.int64()))], names=["label", "features"])
@@ -134,7 +226,7 @@ def train(labelled: DataFrame, features: int = FEATURES, smoothing: float = 1.0)
 
     points = labelled.mapInArrow(held, "label int, features array<long>").select(F.col("label").cast("double").alias("label"), scaled("features").alias("features"))
     fitted = LogisticRegression(regParam=REGULARIZATION, standardization=False, maxIter=50).fit(points)
-    return Model(table, fitted.coefficients.toArray() * ratios, float(fitted.intercept))
+    return Model(table, fitted.coefficients.toArray() * ratios, float(fitted.intercept), model.long, model.numbers)
 
 
 def sample(

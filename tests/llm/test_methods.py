@@ -14,7 +14,7 @@ from conftest import SF_DIR
 from edges import BYTES, PIECES, WORDS
 from tokenizers import Tokenizer
 
-from tabscope.llm import components, cross_entropy, decontaminate, fingerprints, language, licenses, packing, queries, secrets, simhash, tokens, transducer
+from tabscope.llm import components, cross_entropy, decontaminate, fingerprints, language, licenses, packing, queries, secrets, simhash, tokens, toxicity, transducer
 from tabscope.llm.license_rules import BASE, rules
 from tabscope.session import let_workers_import
 from tabscope.workspace import materialize
@@ -320,6 +320,34 @@ def test_toxicity_accuracy(spark):
     assert sum(r.predicted == label[r.doc_id] for r in held) >= 0.9 * len(held)
 
 
+def test_toxicity_of_words_told_apart_by_long_ngrams(spark):
+    let_workers_import(spark)
+    source, docs = random.Random(5), []
+    for doc in range(400):
+        own = ["réeumé", "paréeuxal", *(["réeuxal"] if doc % 2 else []), *source.choices(["de", "la", "que", "pour"], k=8)]
+        source.shuffle(own)
+        docs.append((doc, " ".join(own)))
+    label = spark.createDataFrame([(doc, doc % 2) for doc, _ in docs], "doc_id long, toxic int")
+    found = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), label).where("held_out").collect()
+    assert len(found) > 50 and all(r.predicted == r.doc_id % 2 for r in found)
+
+
+def test_toxicity_ngrams_over_blocks(monkeypatch):
+    texts = ["", "Ab,c  d\n", "абвгдежзик", "x" * 30, "один два, три"]
+
+    def coded(text):
+        return re.sub(r"\s+", " ", re.sub(r"(?<=\w)(?=[^\w\s])|(?<=[^\w\s])(?=\w)", " ", f" {text.lower()} "))
+
+    for block in (1, 3, 1 << 19):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        row, _ = toxicity.short_present(texts)
+        grams = [{c[i : i + k] for k in toxicity.SHORT for i in range(len(c) - k + 1)} for c in map(coded, texts)]
+        assert np.bincount(row, minlength=len(texts)).tolist() == list(map(len, grams))
+        _, n = toxicity.long_counts(texts)
+        held = Counter(g for c in map(coded, texts) for g in {c[i : i + k] for k in toxicity.LONG for i in range(len(c) - k + 1)})
+        assert sorted(n.tolist()) == sorted(held.values())
+
+
 # cross-entropy difference
 
 
