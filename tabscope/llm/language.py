@@ -28,6 +28,7 @@ MARK = "▁"
 LONGEST = 16  # characters of a piece
 RUN = 64  # longer words are scored in runs of so many characters, whose probabilities a double can hold
 TRAIN_ROWS = 8_000
+LEAST_TEXTS = 100  # of a language that has as many
 ROUNDS = 4
 KEPT_WORDS = 250_000
 _FILTER_BITS = 20
@@ -186,11 +187,19 @@ class Model:
 
 
 def train(docs: DataFrame, path: str, rows: int = TRAIN_ROWS, rounds: int = ROUNDS, smoothing: float = 0.1) -> Model:
-    """``docs``: ``id, text, lang`` to learn from. Every n-th id by its hash is taken, n being such that
-    about ``rows`` are; the words of these texts are counted whole."""
+    """``docs``: ``id, text, lang`` to learn from. Of each language every n-th id by its hash is taken, n being
+    such that about ``rows`` are in all; languages of few texts are taken whole, and of none are
+    fewer than about ``LEAST_TEXTS`` asked for. The words of these texts are counted whole; the prior is of all texts."""
     known = docs.where("lang IS NOT NULL")
-    nth = max(1, -(-known.count() // rows))
-    taken = known.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(nth)) == 0)
+    spark = docs.sparkSession
+    texts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    left, rates = rows, []
+    for i, (lang, n) in enumerate(sorted(texts.items(), key=lambda kv: (kv[1], kv[0]))):
+        share = max(LEAST_TEXTS, left // (len(texts) - i))
+        rates.append((lang, max(1, -(-n // share))))
+        left = max(0, left - min(n, share))
+    nth = spark.createDataFrame(rates, "lang string, nth long")
+    taken = known.join(F.broadcast(nth), "lang").where(F.expr("pmod(xxhash64(CAST(id AS STRING)), nth) = 0"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -209,13 +218,11 @@ def train(docs: DataFrame, path: str, rows: int = TRAIN_ROWS, rounds: int = ROUN
     counted = materialize(
         taken.select("id", "text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words"
     )
-    texts = {r.lang: r.n for r in counted.where("word = ''").collect()}
-    languages = sorted(texts)
+    languages = sorted(r.lang for r in counted.where("word = ''").select("lang").collect())
     pieces = vocabulary(path)
-    model = Model(path, languages, np.array([texts[k] for k in languages], float) / max(1, sum(texts.values())), np.full((pieces.size, len(languages)), 1.0 / pieces.size))
+    model = Model(path, languages, np.array([texts[k] for k in languages], float) / max(1, sum(texts[k] for k in languages)), np.full((pieces.size, len(languages)), 1.0 / pieces.size))
     if not languages:
         return model
-    spark = docs.sparkSession
 
     def expected(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
         chances = shared.value

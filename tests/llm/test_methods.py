@@ -320,6 +320,13 @@ def test_language_accuracy(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_language_of_few_texts_is_learned(spark):
+    let_workers_import(spark)
+    docs = [(i, "the house is here", "en") for i in range(900)] + [(i, "das haus ist hier", "de") for i in range(900, 903)]
+    model = language.train(spark.createDataFrame(docs, "id long, text string, lang string"), PIECES, rows=10, rounds=1)
+    assert model.languages == ["de", "en"] and model.prior.tolist() == [3 / 903, 900 / 903]
+
+
 # toxicity
 
 
