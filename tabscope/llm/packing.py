@@ -206,19 +206,19 @@ def packed(
     An empty table gives no rows. ``pieces`` is written once, since it is counted and packed.
     """
     capacity = (float(length), float(documents or length), float(attention or length**2))
-    stored = materialize(pieces, "pieces")
+    stored = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     full = (F.col("length") >= length) | (F.col("length") * F.col("length") >= capacity[2])
     groups = max(1, -(-stored.filter(~full).count() // group_pieces))
-    schema = T.StructType([*stored.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         number = int(group.pop("group").iloc[0])
         bins, offsets = best_fit(group["length"].to_numpy(), capacity, weights, select)
-        return group.assign(sequence_id=np.int64(2) * (number + np.int64(groups) * bins), offset=offsets)
+        return group.drop(columns="_row").assign(sequence_id=np.int64(2) * (number + np.int64(groups) * bins), offset=offsets)
 
-    rest = stored.filter(~full).withColumn("group", F.pmod(F.xxhash64(*stored.columns), F.lit(groups)))
+    rest = stored.filter(~full).withColumn("group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
     fitted = rest.groupBy("group").applyInPandas(pack, schema)
-    alone = stored.filter(full).withColumns(
+    alone = stored.filter(full).drop("_row").withColumns(
         {"sequence_id": F.monotonically_increasing_id() * 2 + 1, "offset": F.lit(0).cast("long")}
     )
     return fitted.unionByName(alone)

@@ -450,6 +450,14 @@ def test_packing_under_every_capacity(select):
         assert sorted(offsets[bins == b].tolist()) == np.concatenate([[0], np.cumsum(own[np.argsort(offsets[bins == b])])[:-1]]).tolist()
 
 
+def test_repeated_pieces_spread_over_groups(spark):
+    let_workers_import(spark)
+    same = spark.createDataFrame([(None, 0, 0, 10, 7)] * 3000, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    found = packing.packed(same, length=100, group_pieces=100).collect()
+    assert len(found) == 3000 and found[0].__fields__ == [*same.columns, "sequence_id", "offset"]
+    assert max(Counter(r.sequence_id // 2 % 30 for r in found).values()) < 300
+
+
 # fingerprints
 
 
