@@ -133,8 +133,8 @@ def contamination(
     ``items``: the ids of the items with a window in the document, as text, sorted;
     ``hit_spans``: first word and the one after the last of each run of hit words;
     ``contaminated``: some word is hit, and one in ``one_in`` or more. A null text has no
-    words; an item without words is no window; items of equal id count once. Items without
-    an id hit like others and count as one in ``n_items``; ``items`` does not list them. Repeated
+    words; an item without words is no window; items of equal id count once. An item without an
+    id is left out with its text, unlike in OP5_SQL. Repeated
     documents give a row each. Without items every document is clean; an empty table gives
     no rows.
     """
@@ -152,7 +152,7 @@ def contamination(
         ]
     )
     items = materialize(
-        benchmark.select(ref(item_col).cast("string").alias("item"), ref(item_text_col).alias("text")).where("text IS NOT NULL"),
+        benchmark.select(ref(item_col).cast("string").alias("item"), ref(item_text_col).alias("text")).where("text IS NOT NULL AND item IS NOT NULL"),
         "items",
     )
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
@@ -174,7 +174,7 @@ def contamination(
                 for n, marks, ids in document_hits(batch["text"], shared.value):
                     n_words.append(n)
                     spans.append(_spans(marks) if ids else [])
-                    owners.append(sorted(ids, key=lambda item: (item is None, item or "")))
+                    owners.append(sorted(ids))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["id"],
@@ -201,7 +201,7 @@ def contamination(
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
-        F.array_compact("items").alias("items"),
+        "items",
         F.col("spans").alias("hit_spans"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))

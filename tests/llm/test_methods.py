@@ -273,18 +273,6 @@ def test_contamination(spark, block_bytes):
         assert {w for a, b in r.hit_spans for w in range(a, b)} == hit
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
-def test_items_without_id_hit(spark, block_bytes):
-    let_workers_import(spark)
-    docs = spark.createDataFrame([(1, "x a b c y"), (2, "d e f a b c"), (3, "g")], "doc_id long, text string")
-    items = spark.createDataFrame([(None, "a b c"), (7, "d e f"), (None, "d e"), (None, None)], "item_id long, text string")
-    found = {r.doc_id: r for r in decontaminate.contamination(docs, items, block_bytes=block_bytes).collect()}
-    assert [(found[d].n_hit, found[d].n_items, found[d]["items"], found[d].contaminated) for d in (1, 2, 3)] == [
-        (3, 1, [], True), (6, 2, ["7"], True), (0, 0, [], False)
-    ]
-    assert [found[d].items_sha256 for d in (1, 2)] == [hashlib.sha256(t).hexdigest() for t in (b"", b"7")]
-
-
 # language
 
 
