@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabscope.functions.columns import ref
-from tabscope.llm.texts import LOWER, flat, slices
+from tabscope.llm.texts import LOWER, flat, runs, slices
 from tabscope.operators.joining import attach
 from tabscope.workspace import materialize
 
@@ -41,18 +41,11 @@ def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All terms of the rows, one after the other, and the row of each."""
     data, offsets = flat(texts)
     lower = LOWER[data]
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = _LETTER[lower]
-    starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
-    ends = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-    joints = np.unique(offsets[1:-1])  # a term does not go on from one row to the next
-    joints = joints[(joints > 0) & (joints < len(data))]
-    joints = joints[inside[joints] & inside[joints + 1]]
-    if len(joints):
-        starts, ends = np.union1d(starts, joints), np.union1d(ends, joints)
+    inside = _LETTER[lower]
+    starts, ends = runs(inside, offsets)
     sizes = ends - starts
     places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    letters = lower[inside[1:-1]]  # the terms follow each other without gaps
+    letters = lower[inside]  # the terms follow each other without gaps
     found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(letters)))
     return found, np.searchsorted(offsets, starts, "right") - 1
 
@@ -70,10 +63,13 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
             lang, source = (batch[c].dictionary_encode() for c in ("lang", "source"))
             group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-            in_row = np.unique(row * len(words) + code)
-            key, n = np.unique(group[row] * len(words) + code, return_counts=True)
-            held, n_docs = np.unique(group[in_row // len(words)] * len(words) + in_row % len(words), return_counts=True)
-            assert np.array_equal(key, held)
+            in_row, times = np.unique(row * len(words) + code, return_counts=True)
+            row, code = np.divmod(in_row, len(words))
+            in_group = group[row] * len(words) + code
+            order = np.argsort(in_group, kind="stable")
+            in_group = in_group[order]
+            first = np.flatnonzero(np.append(True, np.diff(in_group) != 0))
+            key, n, n_docs = in_group[first], np.add.reduceat(times[order], first), np.diff(np.append(first, len(order)))
             own, word = np.divmod(key, len(words))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -12,11 +12,11 @@ listed if it is large:
 1. *Stars.* In each bucket every set is verified against one centre, the set that meets most
    others in all its buckets; then, among what is left, against a second. Links give components.
 2. *Rest.* Only buckets that still hold several components are looked at. Small ones list their
-   pairs between components. In large ones every set is described by its difference from the
-   centre: what it adds and what it lacks. Two sets whose added shingles are disjoint
-   differ in ``added_a + added_b + |lacking_a - lacking_b|`` shingles or more, so two sets can be
-   linked only if they share an added shingle or that sum is within the limit of the threshold.
-   These candidates, found by a join on the shingles of the differences, are verified too.
+   pairs between components. In large ones every set is described by its difference from a
+   centre of its family: what it adds and what it lacks. If two sets are linked, and one of them is not
+   linked to the centre, their differences share so much that the first shared shingle, in
+   an order that puts rare ones first, stands early in both. A join on the shingles of the differences
+   finds these candidates, and they are verified too.
 
 No pair of a bucket that could be a link is left out, and no bucket is cut.
 """
@@ -28,11 +28,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabscope.functions.columns import ref
 from tabscope.llm.components import components
-from tabscope.llm.texts import LOWER, flat, gram_hashes, keyed_text, mixed, slices, span_hashes
+from tabscope.llm.texts import LOWER, flat, gram_hashes, keyed_text, mixed, runs, slices, span_hashes
 from tabscope.workspace import materialize
 
 BANDS, ROWS = 8, 2
@@ -52,15 +52,7 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
     """
     data, offsets = flat(texts)
     lower = LOWER[data]
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[lower]
-    starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
-    ends = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-    joints = np.unique(offsets[1:-1])  # a word does not go on from one row to the next
-    joints = joints[(joints > 0) & (joints < len(data))]
-    joints = joints[inside[joints] & inside[joints + 1]]
-    if len(joints):
-        starts, ends = np.union1d(starts, joints), np.union1d(ends, joints)
+    starts, ends = runs(~_SPACE[lower], offsets)
     first = np.searchsorted(starts, offsets)
     own = span_hashes(lower, starts, ends)
     count = np.diff(first)
@@ -214,8 +206,9 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def _differences(spokes: DataFrame, members: DataFrame) -> DataFrame:
-    """``a`` (centre), ``b``, ``added``, ``lacking`` and one row per ``element`` of the difference, ``new`` if added."""
-    schema = "a long, b long, added long, lacking long, element long, new boolean"
+    """``spokes`` (``centre, centre_comp, node, n, comp``) with ``added, lacking`` and one row for
+    each ``element`` of the difference from the centre, ``new`` if it is added."""
+    schema = "centre long, node long, added long, lacking long, element long, new boolean"
 
     def differ(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,29 +222,78 @@ def _differences(spokes: DataFrame, members: DataFrame) -> DataFrame:
                         pa.array(np.concatenate([added, lacking]).view(np.int64)),
                         pa.array(np.arange(total) < len(added)),
                     ],
-                    names=["a", "b", "added", "lacking", "element", "new"],
+                    names=["centre", "node", "added", "lacking", "element", "new"],
                 )
 
-    return _both_sets(spokes, members).select("a", "b", "set_a", "set_b").mapInArrow(differ, schema)
+    pairs = spokes.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    found = _both_sets(pairs, members).select("a", "b", "set_a", "set_b").mapInArrow(differ, schema)
+    return materialize(found.join(spokes, ["centre", "node"]), "differences")
+
+
+def _spokes(rows: DataFrame) -> DataFrame:
+    """``centre, centre_comp, node, n, comp``: what the sets of large buckets are described by.
+
+    A bucket takes the heaviest centre that any of its sets has in any bucket, so that the buckets
+    of one family of copies are described by the same set, though it is not in all.
+    """
+    rows = rows.select("key", "node", "n", "weight", "comp")
+    top = F.max("top").alias("top")
+    of_key = rows.groupBy("key").agg(F.max(F.struct("weight", "node", "comp")).alias("top"))
+    of_node = rows.join(of_key, "key").groupBy("node").agg(top)
+    of_key = rows.join(of_node, "node").groupBy("key").agg(top)
+    spokes = rows.join(of_key, "key").select(F.col("top.node").alias("centre"), F.col("top.comp").alias("centre_comp"), "node", "n", "comp")
+    return materialize(spokes.distinct(), "spokes")
+
+
+def _middle(spokes: DataFrame, found: DataFrame) -> DataFrame:
+    """``spokes`` with the centre of each family moved to the set nearest to what most of the family have.
+
+    ``found`` has the differences from the first centre. Those that most of the family share are the
+    centre's own edits; a set that shares them all and has few others is the least edited.
+    """
+    sizes = spokes.groupBy("centre").agg(F.count("*").alias("family"))
+    usual = found.groupBy("centre", "element").agg(F.count("*").alias("times")).join(sizes, "centre").where("2 * times > family")
+    usual = usual.select("centre", "element", F.lit(1).alias("usual"))
+    score = found.join(usual, ["centre", "element"], "left").groupBy("centre", "node").agg(
+        (F.first("added") + F.first("lacking") - 2 * F.count("usual")).alias("far")
+    )
+    score = spokes.join(score, ["centre", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0)))  # the centre itself
+    best = score.groupBy("centre").agg(F.min(F.struct("far", "node", "comp")).alias("best"))
+    moved = spokes.drop("centre_comp").join(best, "centre").withColumn("centre", F.col("best.node")).withColumn("centre_comp", F.col("best.comp"))
+    return materialize(moved.drop("best").distinct(), "spokes")
 
 
 def _crowded_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Candidates ``a, b`` between the components of large buckets (``rows``: ``centre, node, n, comp, centre_comp``)."""
-    spokes = materialize(rows.where("node <> centre").select("centre", "node", "n", "comp", "centre_comp").distinct(), "spokes")
-    found = _differences(spokes.select(F.col("centre").alias("a"), F.col("node").alias("b")), members)
-    found = found.select(F.col("a").alias("centre"), F.col("b").alias("node"), "added", "lacking", "element", "new")
-    found = materialize(found.join(spokes, ["centre", "node"]), "differences")
+    """Candidates ``a, b`` between the components of large buckets (``rows``: ``key, node, n, weight, comp``).
+
+    The shingles of a difference are put in order: added ones first, then lacking ones, rare ones of the
+    family before frequent ones. The first that two differences share leaves room for as many shared
+    ones as come after it in the shorter rest; a link needs half of what the differences have beyond the limit.
+    """
+    spokes = _spokes(rows)
+    apart = F.col("node") != F.col("centre")
+    spokes = _middle(spokes, _differences(spokes.where(apart), members)).where(apart)
+    found = _differences(spokes, members)
+    times = found.groupBy("centre", "element").agg(F.count("*").alias("times"))
+    within = Window.partitionBy("centre", "node").orderBy(F.desc("new"), "times", "element")
+    found = found.join(times, ["centre", "element"]).withColumn("room", F.col("added") + F.col("lacking") + 1 - F.row_number().over(within))
+    found = materialize(found.drop("times"), "ordered")
     away = found.where("comp <> centre_comp").select(*[F.col(c).alias(f"a_{c}") for c in found.columns])
     other = found.select(*[F.col(c).alias(f"b_{c}") for c in found.columns])
     same = (F.col("a_centre") == F.col("b_centre")) & (F.col("a_element") == F.col("b_element")) & (F.col("a_comp") != F.col("b_comp"))
     # |a - b| + |b - a| <= (100 - percent) / (100 + percent) * (|a| + |b|) for every link
     limit = (100 - percent) * (F.col("a_n") + F.col("b_n"))
-    apart = F.abs(F.col("a_lacking") - F.col("b_lacking"))
-    met = F.abs(F.col("a_added") - F.col("b_added")) + apart
-    disjoint = F.col("a_added") + F.col("b_added") + apart
+    lacking = F.abs(F.col("a_lacking") - F.col("b_lacking"))
+    met = F.abs(F.col("a_added") - F.col("b_added")) + lacking
+    disjoint = F.col("a_added") + F.col("b_added") + lacking  # if the first that is shared is lacking, none that is added is shared
+    beyond = (100 + percent) * (F.col("a_added") + F.col("a_lacking") + F.col("b_added") + F.col("b_lacking")) - limit
     possible = ((100 + percent) * F.when(F.col("a_new"), met).otherwise(disjoint) <= limit) & _sizes_agree("a_n", "b_n", percent)
-    pairs = away.join(other, same & possible)
-    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    enough = 2 * (100 + percent) * F.least("a_room", "b_room") >= beyond
+    pairs = away.join(other, same & possible & enough).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    # a set that is linked to its centre without having met it in a bucket
+    linked = (100 + percent) * (F.col("added") + F.col("lacking")) * percent <= (100 - percent) * F.col("n") * (100 + percent)
+    unmet = found.where((F.col("comp") != F.col("centre_comp")) & linked).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    return pairs.unionByName(unmet).distinct()
 
 
 def _listed_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -282,10 +324,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, shingle: int, percent: int, id
     _, more = _stars(left, members, percent)
     links = links.unionByName(more)
 
-    rows = _open(_labelled(rows, links))
-    best = rows.groupBy("key").agg(F.max(F.struct("weight", "node", "comp")).alias("best"))
-    best = best.select("key", F.col("best.node").alias("centre"), F.col("best.comp").alias("centre_comp"))
-    rows = materialize(rows.join(best, "key"), "rest")
+    rows = materialize(_open(_labelled(rows, links)), "rest")
     rest = _listed_pairs(rows.where(F.col("held") <= small), percent).unionByName(
         _crowded_pairs(rows.where(F.col("held") > small), members, percent)
     )

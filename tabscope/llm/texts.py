@@ -94,6 +94,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return lower, starts, ends, np.searchsorted(starts, offsets)
 
 
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of marked bytes start and end; a run does not go on from one row to the next."""
+    framed = np.zeros(len(inside) + 2, bool)
+    framed[1:-1] = inside
+    starts = np.flatnonzero(framed[1:-1] & ~framed[:-2])
+    ends = np.flatnonzero(framed[1:-1] & ~framed[2:]) + 1
+    joints = offsets[1:-1]
+    joints = joints[(joints > 0) & (joints < len(inside))]
+    joints = joints[framed[joints] & framed[joints + 1]]
+    joints = joints[np.append(True, np.diff(joints) > 0)] if len(joints) else joints  # empty rows repeat an offset
+    if len(joints):
+        starts, ends = (np.sort(np.concatenate([a, joints]), kind="stable") for a in (starts, ends))
+    return starts, ends
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
