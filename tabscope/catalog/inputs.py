@@ -42,6 +42,21 @@ SELECT c_custkey,
   CASE WHEN c_nationkey = 4 THEN ' ' WHEN c_nationkey = 5 THEN '1d' WHEN c_nationkey = 6 THEN 'NA'
        ELSE CAST(c_custkey AS STRING) END AS mixed
 FROM {customer}""",
+    # lines of a file with three columns: a separator inside quotes, a field too many, a field too few
+    "ragged_lines": """
+SELECT CASE WHEN c_nationkey = 1 THEN CAST(c_custkey AS STRING) || ',"' || c_name || '",' || c_mktsegment || ',extra'
+            WHEN c_nationkey = 2 THEN CAST(c_custkey AS STRING) || ',"' || c_name || ', Jr."'
+            WHEN c_nationkey = 3 THEN CAST(c_custkey AS STRING) || ',"' || c_name || ', Jr.",' || c_mktsegment
+            ELSE CAST(c_custkey AS STRING) || ',"' || c_name || '",' || c_mktsegment END AS line
+FROM {customer}""",
+    # measures with gaps, one row far out, and an offset that only some rows have
+    "outlier_lines": """
+SELECT CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END AS quantity,
+  CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice END AS price, l_tax AS tax,
+  CASE WHEN l_linenumber = 1 THEN 1000000 + l_discount * 100 WHEN l_linenumber = 4 THEN l_discount END AS far
+FROM {lineitem}
+UNION ALL
+SELECT CAST(1e12 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(1e9 AS DOUBLE), CAST(NULL AS DOUBLE) FROM {region} WHERE r_regionkey = 0""",
     # two months without any sale
     "gappy_sales": """
 SELECT CAST(o_orderdate AS DATE) AS datesold, o_totalprice AS price, o_orderstatus AS series

@@ -91,6 +91,15 @@ def correlation_lineitem(spark, sf_dir):
     return _rounded(P.correlation(table(spark, sf_dir, "lineitem")), ["corr"])
 
 
+def _outlier_lines(spark, sf_dir):
+    return derived(spark, sf_dir, "outlier_lines")
+
+
+def correlation_with_outlier(spark, sf_dir):
+    """Gaps on different rows; an outlier and a far offset in rows that not all pairs share."""
+    return _rounded(P.correlation(_outlier_lines(spark, sf_dir)), ["corr"])
+
+
 def top_values(spark, sf_dir):
     return P.top_values(_dirty(spark, sf_dir), ["c_name", "c_mktsegment"])
 
@@ -209,7 +218,7 @@ QUERIES = {
         scorecard, shape_and_schema, completeness, completeness_unrounded, uniqueness, uniqueness_by_digest,
         numeric_summary, numeric_summary_with_dates, numeric_summary_lineitem, text_summary, full_summary,
         histogram, histogram_with_dates, correlation, correlation_missing_as_zero, correlation_lineitem,
-        top_values, category_counts, metric_selection, quality_report_sizes,
+        correlation_with_outlier, top_values, category_counts, metric_selection, quality_report_sizes,
         column_projection, date_from_text, numeric_coercion, drop_where_zero, mean_imputation, drop_incomplete,
         drop_copies, feature_label_split, column_roles, columns_by_type, rounded_percentages, stamped_strings,
     ]
@@ -319,6 +328,7 @@ FROM texts WHERE value IS NOT NULL GROUP BY "column" """,
     "correlation": _correlation_sql(_DIRTY_NUMBERS, "dirty", DIRTY_SQL + " "),
     "correlation_missing_as_zero": _correlation_sql(_DIRTY_NUMBERS, "dirty", DIRTY_SQL + " ", zero=True),
     "correlation_lineitem": _correlation_sql(_LINE_NUMBERS, "lineitem"),
+    "correlation_with_outlier": _correlation_sql(["quantity", "price", "tax", "far"], "lines", f"lines AS ({sql_of('outlier_lines')}) "),
     "top_values": f"""WITH {DIRTY_SQL}, {_TEXTS}
 SELECT "column", CAST(r AS INTEGER) AS rank, value, n AS count
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY n DESC, value NULLS LAST) AS r FROM texts) WHERE r <= 5""",

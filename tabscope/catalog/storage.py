@@ -6,13 +6,14 @@ read back, so the results equal those of the tables themselves.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tabscope.catalog.inputs import DIRTY_SQL, derived, sql_of, table
 from tabscope.catalog.evaluation import ORACLES as EVALUATION_SQL
 from tabscope.operators import cleaning as C, profile as P, series as S
 from tabscope.plans.churn_report import evaluation_row, record_run
-from tabscope.plans.quality_report import quality_report, report_row
+from tabscope.plans.quality_report import quality_run
 from tabscope.sources import history as H, landing as L, tables as T
 from tabscope.workspace import new_path
 
@@ -86,26 +87,63 @@ def csv_export(spark, sf_dir):
     return back.select("series", F.col("ds").cast("date").alias("ds"), F.round(F.col("y").cast("double"), 2).alias("y"))
 
 
+def landing_after_failure(spark, sf_dir):
+    """A first landing that fails in one row leaves nothing; the next one stores the table."""
+    stored = new_path(spark, "landing")
+    customer = table(spark, sf_dir, "customer")
+    worst = customer.agg(F.max("c_custkey")).first()[0]
+    broken = customer.withColumn("c_name", F.when(F.col("c_custkey") == worst, F.raise_error(F.lit("broken row"))).otherwise(F.col("c_name")))
+    try:
+        L.land_once(broken, stored)
+    except PySparkException:
+        L.land_once(customer, stored)
+    return spark.read.parquet(stored)
+
+
+def csv_ragged_lines(spark, sf_dir):
+    """Whole lines, and lines with a field too many or too few, of one file."""
+    path = new_path(spark, "csv")
+    lines = derived(spark, sf_dir, "ragged_lines")
+    spark.createDataFrame([("key,name,segment",)], "line string").unionByName(lines).coalesce(1).write.text(path)
+    whole, others = T.split_lines(spark, path)
+    text = F.concat_ws(",", "key", F.concat(F.lit('"'), "name", F.lit('"')), "segment").alias("line")
+    return whole.select(F.lit(3).cast("long").alias("fields"), text).unionByName(others.select(F.col("fields").cast("long"), "line"))
+
+
 def _quality_run(spark, sf_dir, name, path):
+    """All eight metrics of a table that has been a file and was landed once."""
     source = derived(spark, sf_dir, name) if name == "dirty_customer" else table(spark, sf_dir, name)
-    row = report_row(quality_report(source, ["shape", "complete", "unique"]))
-    return H.append_run(row.select(F.lit(name).alias("fileName"), F.lit("csv").alias("fileType"), "data"), path)
+    typed = T.scan_declared(spark, _as_csv(source, "csv"), source.schema)
+    return quality_run(typed, new_path(spark, "landing"), path, name, "csv")
+
+
+def _run_columns():
+    return [
+        "data.shape.n_rows",
+        "data.complete",
+        "data.unique",
+        F.size("data.num_dist").alias("bins"),
+        F.size("data.corr").alias("pairs"),
+        F.size("data.cat_dist").alias("top_values"),
+        F.size("data.describe").alias("summaries"),
+        F.size("data.schema").alias("columns"),
+        F.round(F.aggregate("data.describe", F.lit(0.0), lambda a, x: a + F.coalesce(x["mean"], F.lit(0.0))), 4).alias("means"),
+        F.aggregate("data.cat_dist", F.lit(0).cast("bigint"), lambda a, x: a + x["count"]).alias("top_counts"),
+    ]
 
 
 def quality_history(spark, sf_dir):
     path = new_path(spark, "history")
     for name in ("dirty_customer", "supplier"):
         _quality_run(spark, sf_dir, name, path)
-    return H.list_runs(spark, path).select(
-        "fileName", "data.shape.n_rows", "data.complete", "data.unique", (F.length("_id") == 36).alias("has_id")
-    )
+    return H.list_runs(spark, path).select("fileName", *_run_columns(), (F.length("_id") == 36).alias("has_id"))
 
 
 def quality_history_lookup(spark, sf_dir):
     path = new_path(spark, "history")
     _quality_run(spark, sf_dir, "supplier", path)
     wanted = _quality_run(spark, sf_dir, "dirty_customer", path)
-    return H.find_run(spark, path, wanted, ["data"]).select("data.shape.n_rows", "data.complete", "data.unique")
+    return H.find_run(spark, path, wanted, ["data"]).select(*_run_columns())
 
 
 def churn_run_recorded(spark, sf_dir):
@@ -131,7 +169,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         csv_text_scan, csv_inferred_scan, csv_declared_scan, csv_scan_with_missing, frame_with_inferred_types,
-        collection_scan, landing_once, csv_export, quality_history, quality_history_lookup, evaluation_history_flat,
+        collection_scan, landing_once, landing_after_failure, csv_ragged_lines, csv_export, quality_history, quality_history_lookup, evaluation_history_flat,
         churn_run_recorded,
     ]
 }
@@ -139,6 +177,25 @@ QUERIES = {
 _COUNTS = """SELECT COUNT(*) AS n_rows, ROUND(CAST(COUNT(*) FILTER (WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL) AS DOUBLE) / COUNT(*) * 100, 2) AS complete,
   ROUND(CAST((SELECT COUNT(*) FROM (SELECT DISTINCT * FROM dirty)) AS DOUBLE) / COUNT(*) * 100, 2) AS "unique" FROM dirty"""
 
+
+def _top(column: str, source: str) -> str:
+    return f"(SELECT COALESCE(SUM(n), 0) AS n, COUNT(*) AS k FROM (SELECT COUNT(*) AS n FROM {source} GROUP BY {column} ORDER BY 1 DESC LIMIT 5))"
+
+
+def _run_sql(counts: str, source: str, numbers: list[str], texts: list[str]) -> str:
+    tops = [_top(t, source) for t in texts]
+    means = " + ".join(f"AVG(CAST({c} AS DOUBLE))" for c in numbers)
+    return f"""SELECT c.*, {10 * len(numbers)} AS bins, {len(numbers) ** 2} AS pairs,
+  CAST({' + '.join(f'(SELECT k FROM {t})' for t in tops)} AS INTEGER) AS top_values, {len(numbers)} AS summaries, {len(numbers) + len(texts)} AS columns,
+  (SELECT ROUND({means}, 4) FROM {source}) AS means, CAST({' + '.join(f'(SELECT n FROM {t})' for t in tops)} AS BIGINT) AS top_counts FROM ({counts}) AS c"""
+
+
+_DIRTY_RUN = _run_sql(_COUNTS, "dirty", ["c_custkey", "c_acctbal", "c_nationkey", "c_const"], ["c_name", "c_mktsegment"])
+_SUPPLIER_RUN = _run_sql(
+    'SELECT COUNT(*) AS n_rows, CAST(100 AS DOUBLE) AS complete, CAST(100 AS DOUBLE) AS "unique" FROM supplier', "supplier",
+    ["s_suppkey", "s_nationkey", "s_acctbal"], ["s_name"],
+)
+
 ORACLES = {
     "csv_text_scan": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
   CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer""",
@@ -157,9 +214,12 @@ spine AS (SELECT series, CAST(UNNEST(generate_series(CAST(a AS TIMESTAMP), CAST(
 sums AS (SELECT series, CAST(date_trunc('month', datesold) AS DATE) AS m, SUM(price) AS y FROM sales GROUP BY 1, 2)
 SELECT series, last_day(m) AS ds, ROUND(COALESCE(y, 0), 2) AS y FROM spine LEFT JOIN sums USING (series, m)""",
     "quality_history": f"""WITH {DIRTY_SQL}
-SELECT 'dirty_customer' AS "fileName", *, TRUE AS has_id FROM ({_COUNTS})
-UNION ALL SELECT 'supplier', COUNT(*), CAST(100 AS DOUBLE), CAST(100 AS DOUBLE), TRUE FROM supplier""",
-    "quality_history_lookup": f"WITH {DIRTY_SQL} {_COUNTS}",
+SELECT 'dirty_customer' AS "fileName", *, TRUE AS has_id FROM ({_DIRTY_RUN})
+UNION ALL SELECT 'supplier', *, TRUE FROM ({_SUPPLIER_RUN})""",
+    "quality_history_lookup": f"WITH {DIRTY_SQL} {_DIRTY_RUN}",
+    "landing_after_failure": "SELECT * FROM customer",
+    "csv_ragged_lines": f"""SELECT CAST(fields AS BIGINT) AS fields, line FROM (
+  SELECT line, len(string_split(regexp_replace(line, '"[^"]*"', '', 'g'), ',')) AS fields FROM ({sql_of('ragged_lines')}))""",
     "churn_run_recorded": f"""SELECT CAST(0 AS BIGINT) AS earlier, model_name, cross_validation, training_accuracy, testing_accuracy, training_roc_score, testing_roc_score
 FROM ({EVALUATION_SQL['evaluation_report']})""",
     "evaluation_history_flat": f"""SELECT model_name, cross_validation, training_accuracy, testing_accuracy, training_roc_score, testing_roc_score

@@ -8,19 +8,77 @@ only one summary row per range crosses between them.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabscope.functions.columns import ref
 from tabscope.functions.hashing import POSITION_BITS
 from tabscope.operators.joining import attach
+from tabscope.session import let_workers_import
 from tabscope.workspace import materialize
 
 SLICE = "_slice"
 BUCKET = "_bucket"
 
 
+def _carry(group: list[str], totals: list[str], ahead: list[str]):
+    """Sums before each row and the row after it, within the groups of one sorted range."""
+
+    def tables(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+        held = None  # the last row waits for the one that follows it
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                rows = rows if held is None else pa.concat_tables([held, rows])
+                held = rows.slice(rows.num_rows - 1)
+                yield rows.combine_chunks(), False
+        if held is not None:
+            yield held.combine_chunks(), True
+
+    def carry(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId()
+        carried = np.zeros(len(totals), np.int64)
+        for rows, last in tables(batches):
+            n = rows.num_rows
+            same = np.ones(n, bool)  # the row after belongs to the same group
+            same[-1] = False
+            for g in group:
+                code = rows[g].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+                same[:-1] &= code[1:] == code[:-1]
+            begins = np.flatnonzero(~np.append(True, same[:-1]))
+            out = n if last else n - 1
+            values = [pc.fill_null(rows[c], 0).to_numpy().astype(np.int64) for c in totals]
+            inner = []
+            for i, own in enumerate(values):
+                before = np.concatenate([[0], np.cumsum(own)[:-1]])
+                start = np.zeros(n, np.int64)
+                start[begins] = np.diff(before[begins], prepend=0) if len(begins) else 0
+                before = before - np.cumsum(start)
+                before[: begins[0] if len(begins) else n] += carried[i]
+                inner.append(before)
+                carried[i] = before[-1]  # what stands before the row that is held
+            columns = [*(rows[c].combine_chunks().slice(0, out) for c in rows.column_names), pa.array(np.full(out, place, np.int32))]
+            columns += [pa.array(x[:out]) for x in inner]
+            names = [*rows.column_names, SLICE, *(f"_inner_{c}" for c in totals)]
+            if ahead:
+                after = pa.array(np.where(same, np.arange(1, n + 1), -1))
+                after = pc.if_else(pc.less(after, 0), None, after)
+                following = [rows[c].combine_chunks().take(after) for c in ahead]
+                struct = pa.StructArray.from_arrays(following, names=ahead, mask=pa.array(~same))
+                columns.append(struct.slice(0, out))
+                names.append("_next")
+            if out:
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return carry
+
+
 def running_totals(
     df: DataFrame,
     group: list[str],
@@ -33,26 +91,21 @@ def running_totals(
 
     ``df`` holds one row per group and order value (collapse copies first).
     ``before_<c>`` is the sum over the earlier rows of the group, ``all_<c>`` the
-    sum over the group, ``next_<c>`` the following row's value.
+    sum over the group, ``next_<c>`` the following row's value. Totals are whole
+    numbers.
 
-    The windows inside the ranges run once, before the ranges are written; a use
-    of the result reads them and joins one row per range.
+    The rows are shuffled once, into ranges; each task sorts its range and carries the sums
+    from row to row. The ranges are written, and a use of the result joins one row per range.
     """
     ahead = look_ahead or []
     groups = [ref(g) for g in group]
     key = F.desc(order) if descending else F.asc(order)
-    inside = Window.partitionBy(*groups, SLICE).orderBy(key)
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    ranged = materialize(
-        df.repartitionByRange(*groups, key)
-        .withColumn(SLICE, F.spark_partition_id())
-        .select(
-            "*",
-            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_inner_{c}") for c in totals],
-            *([F.lead(F.struct(*ahead)).over(inside).alias("_next")] if ahead else []),
-        ),
-        "ranges",
-    )
+    dealt = df.repartitionByRange(*groups, key).sortWithinPartitions(*groups, key)
+    fields = [*df.schema.fields, T.StructField(SLICE, T.IntegerType()), *(T.StructField(f"_inner_{c}", T.LongType()) for c in totals)]
+    if ahead:
+        fields.append(T.StructField("_next", T.StructType([df.schema[c] for c in ahead])))
+    let_workers_import(df.sparkSession)
+    ranged = materialize(dealt.mapInArrow(_carry(group, totals, ahead), T.StructType(fields)), "ranges")
     keys = [*group, SLICE]
 
     first = F.max_by if descending else F.min_by

@@ -6,14 +6,11 @@ shuffles partial results. NaN counts as missing everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 from math import isfinite
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabscope.functions.columns import (
@@ -29,8 +26,9 @@ from tabscope.functions.columns import (
     without_nan,
 )
 from tabscope.functions.numbers import percent, round_percent
+from tabscope.operators.moments import pair_correlations
 from tabscope.operators.ordering import exact_percentiles
-from tabscope.session import let_workers_import
+from tabscope.workspace import materialize
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -60,15 +58,26 @@ def completeness(df: DataFrame, rounded: bool = True) -> DataFrame:
 
 
 def row_digest(df: DataFrame):
-    """SHA-256 of the row; 0.0 and -0.0, and NaN and NULL, count as equal."""
-    cells = [
-        (present(f) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else ref(f.name)
-        for f in df.schema
-    ]
-    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-    options = {"ignoreNullFields": "false", "timestampFormat": micros + "XXX", "timestampNTZFormat": micros}
-    text = F.to_json(F.struct(*cells), options)
-    return F.unhex(F.sha2(text, 256))
+    """Two 64-bit hashes of the row's typed cells; 0.0 and -0.0, and NaN and NULL, count as equal.
+
+    They are computed in compiled code and are 16 bytes a row. A hash passes over NULL, so which
+    cells are NULL is hashed too. For n different rows the chance that any two have equal
+    digests is about n^2 / 2^129: 10^-17 for 10^11 rows. ``by="rows"`` compares the rows themselves.
+    """
+    cells, gone = [], []
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
+            cell = F.to_json(F.struct(ref(f.name).alias("c")), {"ignoreNullFields": "false"})  # NULLs inside it count
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            cell = present(f) + F.lit(0.0)
+        else:
+            cell = ref(f.name)
+        cells.append(cell)
+        gone.append(F.when(cell.isNull(), "1").otherwise("0"))
+    if not cells:
+        return F.struct(F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"))
+    marks = F.concat(*gone)
+    return F.struct(F.xxhash64(marks, *cells).alias("one"), F.xxhash64(F.lit(1), *cells, marks).alias("two"))
 
 
 def _row_groups(df: DataFrame, by: str, *extra) -> DataFrame:
@@ -83,7 +92,7 @@ def _row_groups(df: DataFrame, by: str, *extra) -> DataFrame:
 def uniqueness(df: DataFrame, rounded: bool = True, by: str = "digest") -> DataFrame:
     """One row: share of distinct rows, in percent.
 
-    Copies collapse before the shuffle, which moves 32 bytes per distinct row.
+    Copies collapse before the shuffle, which moves 16 bytes per distinct row.
     ``by='rows'`` compares the rows themselves and moves them whole.
     """
     return (
@@ -321,9 +330,10 @@ def correlation(
     """Pearson correlation of every ordered pair of numeric columns: ``a, b, corr``.
 
     ``missing='pairwise'`` uses rows with both values, ``missing='zero'`` reads a
-    missing value as 0. A constant column gives NULL. Pairs without missing values
-    are plain sums of products around the means; the others take one scan
-    together, each over its own rows.
+    missing value as 0. A column that is constant over the pair's rows, or infinite in
+    one of them, gives NULL. Pairs without missing values are plain sums of products
+    around the means; the others take one scan together, each over its own rows, by
+    mergeable co-moments (``operators.moments``).
     """
     if missing not in ("pairwise", "zero"):
         raise ValueError(f"unknown treatment of missing values: {missing}")
@@ -337,14 +347,15 @@ def correlation(
     if missing == "zero" or stats is None:
         stats = measure_stats(values)
     diagonal, sums, masked = [], [], []
+    endless = {c for c, s in stats.items() if s.count and not (isfinite(s.min) and isfinite(s.max))}
     for c in names:
-        flat = stats[c].count == 0 or stats[c].min == stats[c].max
+        flat = stats[c].count == 0 or stats[c].min == stats[c].max or c in endless
         diagonal.append((c, c, None if flat else 1.0))
     spread = {c: s.std * ((s.count - 1) / s.count) ** 0.5 for c, s in stats.items() if s.count > 1 and s.min < s.max}
     for a, b in combinations(names, 2):
         if a not in spread or b not in spread:
             diagonal += [(a, b, None), (b, a, None)]
-        elif stats[a].count == stats[a].rows and stats[b].count == stats[b].rows:
+        elif stats[a].count == stats[a].rows and stats[b].count == stats[b].rows and not {a, b} & endless:
             sums.append((a, b))
         else:
             masked.append((a, b))
@@ -359,47 +370,13 @@ def correlation(
         parts.append(_both_ways(values.agg(F.array(*entries).alias("pairs")).select(F.inline("pairs"))))
     if masked:
         used = [c for c in names if any(c in pair for pair in masked)]
-        found = _pairwise(values.select(*[((ref(c) - stats[c].mean) / spread[c]).alias(c) for c in used]), used, set(masked))
-        listed = spark.createDataFrame(masked, "a string, b string")
-        parts.append(_both_ways(listed.join(found, ["a", "b"], "left")))
+        places = {c: i for i, c in enumerate(used)}
+        listed = spark.createDataFrame([(a, b, places[a], places[b]) for a, b in masked], "a string, b string, i int, j int")
+        found = pair_correlations(values.select(*[ref(c) for c in used]))
+        parts.append(_both_ways(listed.join(found, ["i", "j"], "left").select("a", "b", "corr")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _pairwise(scaled: DataFrame, names: list[str], wanted: set[tuple[str, str]]) -> DataFrame:
-    """``a, b, corr`` over the rows that have both values, in one scan for all pairs.
-
-    With a missing value as 0, the sums over the common rows of two columns, of their
-    products and of their squares are entries of the products of three matrices: which
-    values are there, the values, and their squares. Each task adds up its own.
-    """
-    size = len(names)
-
-    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, 3, size, size))
-        for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
-            there = ~np.isnan(x)
-            x = np.where(there, x, 0.0)
-            forms = (there.astype(float), x, x * x)
-            for i, j in ((0, 0), (0, 1), (1, 1), (2, 0), (1, 0), (0, 2)):
-                total[i, j] += forms[i].T @ forms[j]
-        a, b = np.divmod(np.arange(size * size), size)
-        sums = [total[i, j].ravel() for i, j in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2))]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *map(pa.array, sums)], names=["i", "j", "n", "x", "y", "xy", "xx", "yy"])
-
-    let_workers_import(scaled.sparkSession)
-    columns = [F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx", "yy")]
-    sums = scaled.mapInArrow(partial, "i long, j long, n double, x double, y double, xy double, xx double, yy double").groupBy("i", "j").agg(*columns)
-    n = F.col("n")
-    spreads = [F.greatest(F.try_divide(F.col(s + s), n) - F.pow(F.try_divide(F.col(s), n), F.lit(2.0)), F.lit(0.0)) for s in "xy"]
-    shared = F.try_divide("xy", n) - F.try_divide("x", n) * F.try_divide("y", n)
-    # a column that is constant over the common rows leaves rounding errors alone
-    corr = F.when((spreads[0] > 1e-12) & (spreads[1] > 1e-12), shared / F.sqrt(spreads[0] * spreads[1]))
-    places = {c: i for i, c in enumerate(names)}
-    pairs = scaled.sparkSession.createDataFrame([(a, b, places[a], places[b]) for a, b in wanted], "a string, b string, i long, j long")
-    return pairs.join(sums, ["i", "j"]).select("a", "b", corr.alias("corr"))
-
-
 def _both_ways(pairs: DataFrame) -> DataFrame:
     swapped = F.array(
         F.struct(F.col("a").alias("a"), F.col("b").alias("b"), "corr"),
@@ -408,18 +385,35 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.inline(swapped))
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
-    """The ``k`` most frequent values per text column, NULL included, ties by value."""
+SENT_VALUES = 100_000
+
+
+def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5, sent: int = SENT_VALUES) -> DataFrame:
+    """The ``k`` most frequent values per text column, NULL included, ties by value.
+
+    Values are counted by a 128-bit digest, so no text crosses the first shuffle. The k-th largest
+    count of a column is the certificate of its list: values with fewer rows cannot be in it. Only for
+    the others, ties at that count included, are the texts fetched.
+    """
     names = text_columns(df) if columns is None else columns
     if not names:
         return df.sparkSession.createDataFrame([], "column string, rank int, value string, count bigint")
+    texts = melt(df.select(*[present(df.schema[n]).cast("string").alias(n) for n in names]), names)
+    digest = ["_one", "_two", "_null"]
+    marked = texts.select("column", "value", F.xxhash64("value").alias("_one"), F.xxhash64(F.lit(1), "value").alias("_two"), F.col("value").isNull().alias("_null"))
+    counts = materialize(marked.groupBy("column", *digest).agg(F.count("*").alias("count")), "counts")
+    largest = Window.partitionBy("column").orderBy(F.desc("count"))
+    least = counts.withColumn("_place", F.row_number().over(largest)).filter(F.col("_place") <= k).groupBy("column").agg(F.min("count").alias("_least"))
+    leading = materialize(counts.join(F.broadcast(least), "column").filter("count >= _least").drop("_least"), "leading")
+    few = leading.count() <= sent
+    rows = marked.join(F.broadcast(leading) if few else leading, ["column", *digest])
+    if few:
+        found = rows.groupBy("column", *digest, "count").agg(F.first("value").alias("value"))
+    else:  # many ties: of the values with one count, the first k are enough
+        alike = Window.partitionBy("column", "count").orderBy(F.asc_nulls_last("value"))
+        found = rows.withColumn("_place", F.dense_rank().over(alike)).filter(F.col("_place") <= k).select("column", "value", "count").distinct()
     order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("value"))
-    return (
-        _value_counts(df, names)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("column", "rank", "value", "count")
-    )
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("column", "rank", "value", "count")
 
 
 def category_counts(df: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, functions as F
 
 from tabscope.operators import profile as P
+from tabscope.sources.history import append_run
+from tabscope.sources.landing import land_once
 
 # The metrics by the names that callers use.
 METRICS = ("shape", "unique", "complete", "num_dist", "corr", "schema", "cat_dist", "describe")
@@ -94,3 +96,11 @@ def report_row(report: dict[str, DataFrame]) -> DataFrame:
             cell = table.select(name).scalar()
         cells.append(cell.alias(name))
     return spark.range(1).select(F.struct(*cells).alias("data"))
+
+
+def quality_run(source: DataFrame, landing: str, history: str, file_name: str, file_type: str, metrics: dict[str, bool] | list[str] | None = None) -> str:
+    """One run from end to end: the table is landed unless it is there, the report is made of what
+    is landed, and appended to the history. Returns the run's id."""
+    land_once(source, landing)
+    row = report_row(quality_report(source.sparkSession.read.parquet(landing), metrics))
+    return append_run(row.select(F.lit(file_name).alias("fileName"), F.lit(file_type).alias("fileType"), "data"), history)

@@ -94,3 +94,26 @@ def test_attach_beyond_the_broadcast_limit(spark):
     for limit in (0, 10):
         got = {(r.k, r.v, r.w) for r in joining.attach(rows, values, ["k"], "left", limit).collect()}
         assert got == {(None, 1, "none"), ("a", 2, "A"), ("a", 3, "A"), ("b", 4, None)}
+
+
+def test_running_totals_over_batches_and_groups(spark):
+    """Groups that end inside a batch, single rows, null keys, and rows held from batch to batch."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "7")
+        chance = np.random.default_rng(6)
+        rows = [(None if g == 3 else f"g{g}", float(o), int(chance.integers(0, 9)), int(o % 5)) for g in range(9) for o in range([1, 40, 2, 23, 7, 8, 14, 100, 1][g])]
+        df = spark.createDataFrame(rows, "g string, o double, n long, m int")
+        for descending in (False, True):
+            found = {(r.g, r.o): r for r in O.running_totals(df, ["g"], "o", ["n", "m"], descending, ["m"]).collect()}
+            assert len(found) == len(rows)
+            for g in {r[0] for r in rows}:
+                own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1], reverse=descending)
+                for i, (_, o, n, m) in enumerate(own):
+                    r = found[g, o]
+                    assert (r.before_n, r.before_m) == (sum(x[2] for x in own[:i]), sum(x[3] for x in own[:i]))
+                    assert (r.all_n, r.all_m) == (sum(x[2] for x in own), sum(x[3] for x in own))
+                    assert r.next_m == (own[i + 1][3] if i + 1 < len(own) else None)
+    finally:
+        spark.conf.set(size, before)

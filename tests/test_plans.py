@@ -51,6 +51,15 @@ def test_running_totals_leave_no_window_over_rows(lines):
     assert "SinglePartition" not in text and "_inner_count" in text
 
 
+def test_running_totals_shuffle_the_rows_once(lines, monkeypatch):
+    """After the counts per key there is one exchange, into ranges."""
+    seen = []
+    monkeypatch.setattr(O, "materialize", lambda df, label: seen.append(plan(df)) or df)
+    O.running_totals(lines.groupBy("l_linestatus", "l_extendedprice").count(), ["l_linestatus"], "l_extendedprice", ["count"])
+    ranges = seen[0]
+    assert ranges.count("Exchange") == 2 and ranges.count("Exchange rangepartitioning") == 1 and "Window" not in ranges
+
+
 @pytest.mark.parametrize("name", ["roc_curve", "roc_auc", "top_values", "correlation", "histogram", "classification_report", "trend_seasonal_forecast", "scorecard", "drop_copies"])
 def test_no_product_of_tables(spark, name):
     text = plan(entry.queries()[name](spark, SF_DIR))

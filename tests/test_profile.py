@@ -209,3 +209,82 @@ def test_infinite_values_lie_in_no_bin(spark):
 def test_nan_is_no_category(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "v double")
     assert [(r.v, r["count"]) for r in P.category_counts(df, "v").collect()] == [(1.0, 1)]
+
+
+def _common(spark, frame, a, b):
+    df = spark.createDataFrame(frame)
+    there = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))
+    return there.select(F.corr(a, b)).first()[0]
+
+
+def test_correlation_of_rows_without_the_outlier(spark):
+    """An outlier in a row that a pair does not share, and one that it shares."""
+    chance = np.random.default_rng(4)
+    x = chance.normal(size=1000)
+    frame = pd.DataFrame({"x": np.append(x, 1e15), "y": np.append(2 * x + 0.1 * chance.normal(size=1000), NAN), "z": np.append(chance.normal(size=1000), 1.0)})
+    frame.loc[5, "z"] = NAN
+    got = lookup(P.correlation(spark.createDataFrame(frame).repartition(5)), "a", "b")
+    for a, b in (("x", "y"), ("y", "z"), ("x", "z")):
+        assert got[a, b]["corr"] == pytest.approx(_common(spark, frame, a, b), abs=1e-9)
+    assert got["x", "y"]["corr"] > 0.99
+
+
+def test_correlation_with_a_large_offset(spark):
+    """Common rows far from the others: nothing is left of the digits if sums are subtracted."""
+    chance = np.random.default_rng(5)
+    far, near = 1e9 + chance.normal(size=400), chance.normal(size=600)
+    frame = pd.DataFrame({"x": np.concatenate([far, near]), "y": np.concatenate([3 * (far - 1e9) + chance.normal(size=400), np.full(600, NAN)])})
+    got = lookup(P.correlation(spark.createDataFrame(frame).repartition(7)), "a", "b")
+    exact = np.corrcoef(far - 1e9, frame["y"][:400])[0, 1]
+    assert got["x", "y"]["corr"] == pytest.approx(exact, abs=1e-7)  # 1e9 leaves 7 digits in the values themselves
+    assert got["x", "y"]["corr"] == pytest.approx(_common(spark, frame, "x", "y"), abs=1e-7)
+
+
+def test_correlation_of_constants_and_infinity(spark):
+    frame = pd.DataFrame({"c": [5.1, 5.1, 5.1, 9.0, 2.0], "v": [1.0, 2.0, 4.0, NAN, NAN], "i": [1.0, float("inf"), 2.0, 3.0, 5.0], "w": [NAN, NAN, 1.0, 7.0, 2.0]})
+    for parts in (1, 4):
+        got = lookup(P.correlation(spark.createDataFrame(frame).repartition(parts)), "a", "b")
+        assert got["c", "v"]["corr"] is None  # constant over the common rows only
+        assert got["i", "v"]["corr"] is None and got["i", "c"]["corr"] is None and got["i", "i"]["corr"] is None
+        assert got["i", "w"]["corr"] == pytest.approx(np.corrcoef([2, 3, 5], [1, 7, 2])[0, 1])
+
+
+def test_co_moments_merge_like_whole(spark):
+    from tabscope.operators.moments import CoMoments
+
+    chance = np.random.default_rng(6)
+    x = chance.normal(size=(500, 6)) * 10.0 ** np.arange(6) + 10.0 ** np.arange(6, 12)
+    x[chance.random(x.shape) < 0.3] = NAN
+    whole, merged = CoMoments.of(x), CoMoments.none(6)
+    for part in np.array_split(x, 17):
+        merged = merged.merged(CoMoments.of(part))
+    for name in ("n", "mean", "square", "product"):
+        assert getattr(merged, name) == pytest.approx(getattr(whole, name), rel=1e-7, abs=1e-6)
+
+
+def test_digest_of_rows_with_missing_and_nested_cells(spark):
+    rows = [(None, "x", [1, None], None), ("x", None, [1, None], None), (None, "x", [None, 1], None), (None, "x", None, {"a": 1}), (None, "x", None, {"a": 2}), (None, "x", None, None)]
+    df = spark.createDataFrame(rows + rows[:2], "a string, b string, c array<int>, d map<string,int>")
+    assert P.uniqueness(df).first().distinct_rows == 6 == P.scorecard(df).first().distinct_rows
+    numbers = spark.createDataFrame([(0.0, 1), (-0.0, 1), (NAN, 1), (None, 1), (0.0, None)], "v double, n int")
+    assert P.scorecard(numbers).first().distinct_rows == 3
+
+
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_top_values_among_many_ties(spark, sent):
+    """All different, hot, and null values; with and without sending the candidates to all tasks."""
+    rows = [(f"v{i:04d}", "hot" if i % 3 else f"w{i:04d}", None if i % 2 else "z") for i in range(900)]
+    df = spark.createDataFrame(rows, "a string, b string, c string").repartition(7)
+    got = {}
+    for r in P.top_values(df, k=3, sent=sent).orderBy("column", "rank").collect():
+        got.setdefault(r["column"], []).append((r["value"], r["count"]))
+    assert got == {"a": [("v0000", 1), ("v0001", 1), ("v0002", 1)], "b": [("hot", 600), ("w0000", 1), ("w0003", 1)], "c": [("z", 450), (None, 450)]}
+
+
+def test_no_text_in_the_first_shuffle_of_top_values(spark, monkeypatch):
+    seen, store = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, label: seen.append(df) or store(df, label))
+    P.top_values(spark.createDataFrame([("a", 1), ("b", 2)], "t string, n int"))
+    shown = seen[0]._jdf.queryExecution().executedPlan().toString()
+    exchange = shown[shown.index("Exchange") :]
+    assert "keys=[column#" in shown and "value#" not in shown.split("Exchange")[0] and "Exchange hashpartitioning(column" in exchange

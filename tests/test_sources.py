@@ -101,3 +101,73 @@ def test_workspace(spark):
     stored = workspace.materialize(spark.range(4))
     assert stored.count() == 4 and stored.dtypes == spark.range(4).dtypes
     assert workspace.shared_folder(spark)
+
+
+def test_failed_landing_is_repaired(spark, tmp_path):
+    """The first landing fails in one row, some parts written; the next stores all of its rows."""
+    path = str(tmp_path / "landed")
+    broken = spark.range(0, 100, 1, 8).select(F.when(F.col("id") == 77, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        L.land_once(broken, path)
+    assert not L.is_landed(spark, path) and list(tmp_path.iterdir()) == []
+    assert L.land_once(spark.range(100), path) and L.is_landed(spark, path)
+    assert not L.land_once(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 100
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["landed"]
+
+
+def test_landing_over_what_another_tool_left(spark, tmp_path):
+    path = tmp_path / "landed"
+    spark.range(3).write.parquet(str(path))
+    (path / "_SUCCESS").unlink()
+    assert L.land_once(spark.range(9), str(path) + "/")
+    assert spark.read.parquet(str(path)).count() == 9
+    aside = [p for p in tmp_path.iterdir() if ".incomplete-" in p.name and not p.name.startswith(".")]
+    assert len(aside) == 1 and spark.read.parquet(str(aside[0])).count() == 3
+
+
+def test_two_landings_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "landed")
+    with ThreadPoolExecutor(4) as pool:
+        stored = list(pool.map(lambda n: L.land_once(spark.range(n), path), [10, 20, 30, 40]))
+    assert sum(stored) == 1
+    assert spark.read.parquet(path).count() == [10, 20, 30, 40][stored.index(True)]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["landed"]
+
+
+RAGGED = ["a,b,c", "1,2,3", "4,5", "6,7,8,9", "", '"x, ""y""",2,"p,q"', '"one, two",3', "7,8,9", ""]
+
+
+def test_ragged_lines_are_reported(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.csv").write_text("\n".join(RAGGED))
+    (tmp_path / "in" / "two.csv").write_text("a,b,c\n,,\n1,2,3,4,5\n")
+    path = str(tmp_path / "in")
+    rows, others = T.split_lines(spark, path)
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([("1", "2", "3"), ('x, "y"', "2", "p,q"), ("7", "8", "9"), (None, None, None)], key=str)
+    assert rows.select("b").count() == 4 and rows.select(F.count("a")).first()[0] == 3
+    found = sorted((r.file.rsplit("/", 1)[-1], r.place, r.fields, r.expected, r.line) for r in others.collect())
+    assert found == [
+        ("one.csv", 1, 2, 3, "4,5"),
+        ("one.csv", 2, 4, 3, "6,7,8,9"),
+        ("one.csv", 4, 2, 3, '"one, two",3'),
+        ("two.csv", 1, 5, 3, "1,2,3,4,5"),
+    ]
+    with pytest.raises(ValueError, match="expected 3 fields, saw 4 .*one.csv"):
+        T.scan_with_missing(spark, path)
+    assert T.scan_with_missing(spark, path, ragged="drop").count() == rows.count() == 4
+
+
+def test_short_lines_are_filled_up_as_by_a_frame_reader(spark, tmp_path):
+    path = tmp_path / "short.csv"
+    path.write_text("a,b,c\n1,2,3\n4,5\n")
+    frame = pd.read_csv(path)
+    got = [tuple(r) for r in T.scan_with_missing(spark, str(path)).orderBy("a").collect()]
+    assert got == [tuple(None if pd.isna(x) else x for x in row) for row in frame.itertuples(index=False)]
+    path.write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(pd.errors.ParserError):
+        pd.read_csv(path)
+    with pytest.raises(ValueError, match="expected 2 fields, saw 3"):
+        T.scan_with_missing(spark, str(path))
