@@ -12,7 +12,7 @@ one task; a group leaves at most about one bin that is not full.
 
 from __future__ import annotations
 
-import struct
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
 from tabscope.functions.columns import ref
-from tabscope.llm import transducer
 from tabscope.llm.texts import kept_model, keyed_text, slices
 from tabscope.workspace import materialize
 
@@ -56,31 +55,56 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.path = path
-        self.model = transducer.load(path)
         self.library = Tokenizer.from_file(path)
+        settings = json.loads(self.library.to_str())
+        # words that are cut and lower-cased already need no normalizer
+        self.bare = Tokenizer.from_str(json.dumps(settings | {"normalizer": None}))
+        suffix = settings["model"].get("end_of_word_suffix")
+        self.word_end: np.ndarray | None = None
+        if suffix:
+            vocab = self.library.get_vocab()
+            self.word_end = np.zeros(max(vocab.values()) + 1, bool)
+            self.word_end[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # words that come again move on to the next generation
 
-    def _word(self, word: str) -> bytes:
-        found = self.known.get(word) or self.older.get(word)
-        if found is None:
-            symbols = word.encode().decode("latin-1")
-            ids = self.model.encode(symbols[:-1] + chr(ord(symbols[-1]) + transducer.END))
-            found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.known) >= KEPT_WORDS:
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of different words; those that no recent slice had are encoded in one call, blanks between them."""
+        if len(self.known) + len(words) > KEPT_WORDS:
             self.older, self.known = self.known, {}
-        self.known[word] = found
+        known, older = self.known, self.older
+        found = [known.get(w) or older.get(w) for w in words]
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        if missing:
+            fresh = iter(self._together(missing))
+            found = [next(fresh) if f is None else f for f in found]
+        known.update(zip(words, found))
         return found
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        joined = " ".join(words)
+        if self.word_end is None:
+            made = self.bare.encode(joined, add_special_tokens=False)
+            ends = np.diff(np.asarray(made.word_ids, np.int64), append=-1) != 0
+        else:  # leaves out the offsets
+            (made,) = self.bare.encode_batch_fast([joined], add_special_tokens=False)
+        ids = np.asarray(made.ids, "<u4")
+        cuts = np.flatnonzero(ends if self.word_end is None else self.word_end[ids]) + 1
+        if len(cuts) != len(words):
+            raise ValueError("the tokenizer cuts words another way")
+        held, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [held[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def plain(self, text: str) -> bool:
         # U+0130 lower-cases to a letter and a combining mark; no other of these characters grows or composes
         return bool(_PLAIN.fullmatch(text)) and "İ" not in text and not any(s in text for s in self.special)
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """Words of a lower-cased plain text: runs of letters, single numbers, runs of signs, and
-        the endings 's 't 're 've 'm 'll 'd where an apostrophe does not stand in a run of signs."""
+    def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the words of a lower-cased plain text start and stop, and its code points: runs of
+        letters, single numbers, runs of signs, and the endings 's 't 're 've 'm 'll 'd where an
+        apostrophe does not stand in a run of signs."""
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         kinds = _classes()[codes]
         n = len(kinds)
@@ -98,23 +122,44 @@ class WordEncoder:
         starts = np.flatnonzero(begins)
         stops = np.append(starts[1:], n)
         kept = kinds[starts] != SPACE
-        return [text[a:b] for a, b in zip(starts[kept].tolist(), stops[kept].tolist())]
+        return starts[kept], stops[kept], codes
+
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
+        """All texts are cut together, a line break between them; different words are encoded once."""
+        lowered = [t.lower() for t in texts]
+        ends = np.cumsum([len(t) + 1 for t in lowered])
+        whole = "\n".join(lowered)
+        starts, stops, codes = self.words(whole)
+        if not len(starts):
+            return [b""] * len(texts)
+        size = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800)  # bytes of each character
+        at = np.concatenate([[0], np.cumsum(size)])
+        inside = np.zeros(len(codes) + 1, np.int8)
+        inside[starts] += 1
+        inside[stops] -= 1
+        letters = np.frombuffer(whole.encode(), np.uint8)[np.repeat(np.cumsum(inside[:-1], dtype=np.int8) > 0, size)]
+        places = np.concatenate([[0], np.cumsum(at[stops] - at[starts])]).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(letters))).dictionary_encode()
+        word = coded.indices.to_numpy()
+        encoded = self._encoded(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        flat = np.frombuffer(b"".join(encoded), "<u4")
+        first = np.cumsum(sizes) - sizes
+        counts = sizes[word]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(first[word] - upto[:-1], counts) + np.arange(upto[-1])].tobytes()
+        cuts = 4 * upto[np.searchsorted(starts, ends)]
+        return [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            get = self.known.get
-            if not text:
-                out.append(b"")
-            elif self.plain(text):
-                words = self.words(text.lower())
-                found = list(map(get, words))
-                if None in found:
-                    found = [get(w) or self._word(w) for w in words]
-                out.append(b"".join(found))
-            else:
-                out.append(np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        out = [b""] * len(texts)
+        plain = [i for i, text in enumerate(texts) if text and self.plain(text)]
+        for i, own in zip(plain, self._plain_ids([texts[i] for i in plain]) if plain else []):
+            out[i] = own
+        for i in set(range(len(texts))).difference(plain):
+            if texts[i]:
+                out[i] = np.asarray(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
@@ -195,14 +240,15 @@ def packed(
     length: int = 2048,
     documents: int | None = None,
     attention: float | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
     select: str = "dot",
     group_pieces: int = GROUP_PIECES,
 ) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.
 
     A sequence holds ``length`` tokens, ``documents`` pieces and ``attention`` summed squared
-    lengths at most; the last two do not bind by default. Repeated rows are packed each.
+    lengths at most. By default the last two do not bind, but their residuals weigh as much as
+    that of the tokens when a bin is selected. Repeated rows are packed each.
     An empty table gives no rows. ``pieces`` is written once, since it is counted and packed.
     """
     capacity = (float(length), float(documents or length), float(attention or length**2))

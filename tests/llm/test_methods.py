@@ -438,6 +438,33 @@ def test_packing_under_every_capacity(select):
         assert sorted(offsets[bins == b].tolist()) == np.concatenate([[0], np.cumsum(own[np.argsort(offsets[bins == b])])[:-1]]).tolist()
 
 
+def test_weights_take_part_in_the_query(spark, texts):
+    """Documents and attention cost weigh in the selection: without them other rows come out."""
+    let_workers_import(spark)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    found = {(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in GOOD["op9_best_fit_packing"](spark, SF_DIR).collect()}
+    stored = materialize(packing.pieces(docs, WORDS).coalesce(1))
+    own, alone = (
+        {(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in packing.packed(stored, weights=w).collect()} for w in ((1.0, 1.0, 1.0), (1.0, 0.0, 0.0))
+    )
+    assert own.keys() == found.keys() and own != alone
+
+
+def test_a_slice_of_texts_is_cut_like_each_text():
+    """Quotes, numbers, signs and empty texts at the borders of texts that are cut together."""
+    library, own = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS)
+    cases = ["'s", "a'", "s 't", "", "12", "3a", "..", "!'re", "'", "ll", "É'VE", " ", "\n", "x\n'd y", "don't", "''s"] * 3
+    for turn in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in own.ids(cases)] == [e.ids for e in library.encode_batch(cases, add_special_tokens=False)]
+    kept = packing.KEPT_WORDS
+    packing.KEPT_WORDS = 5
+    try:
+        small = packing.WordEncoder(WORDS)
+        assert [small.ids(cases) for _ in range(3)] == [own.ids(cases)] * 3 and len(small.known) <= 2 * len(cases)
+    finally:
+        packing.KEPT_WORDS = kept
+
+
 def test_repeated_pieces_spread_over_groups(spark):
     let_workers_import(spark)
     same = spark.createDataFrame([(None, 0, 0, 10, 7)] * 3000, "doc_id long, piece int, start long, length long, ids_crc32 long")
