@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -45,13 +46,14 @@ def _encoded(rows, roles):
 
 
 def one_hot_encoding(spark, sf_dir):
-    """Width of the encoded region and the position that is set."""
+    """Width of the encoded categories, their sum, and the positions that are set as a sum of powers."""
     rows = _rows(spark, sf_dir)
-    encoded = _encoded(rows, Roles([], ["Region"], []))
+    encoded = _encoded(rows, Roles([], CATEGORIES, []))
+    powers = F.transform("values", lambda v, i: v * F.pow(F.lit(2.0), i.cast("double")))
     return encoded.select(
         "c_custkey",
         F.size("values").alias("width"),
-        F.array_position("values", F.lit(1.0)).alias("position"),
+        F.aggregate(powers, F.lit(0.0), lambda a, v: a + v).alias("positions"),
         F.aggregate("values", F.lit(0.0), lambda a, v: a + v).alias("total"),
     )
 
@@ -66,7 +68,7 @@ def label_encoding(spark, sf_dir):
 def column_transformer(spark, sf_dir):
     """Scaled numbers, then one-hot categories, then the untouched key, checked by position."""
     rows = _rows(spark, sf_dir)
-    encoded = _encoded(rows, Roles(NUMERIC, ["Segment", "UrgentBuyer"], ["c_custkey"]))
+    encoded = _encoded(rows, Roles(NUMERIC, CATEGORIES, ["c_custkey"]))
     weighted = F.transform("values", lambda v, i: v * (i + 1))
     return encoded.select(
         "c_custkey",
@@ -139,12 +141,18 @@ def _experiment(spark, sf_dir):
 
 
 def experiment_setup(spark, sf_dir):
-    """Rows after type detection, imputation and split."""
+    """Rows after type detection, split, and all stages: imputation, scaling and one-hot encoding, checked by position."""
     experiment = set_up(_experiment(spark, sf_dir), "Churn", KEY)
-    rows = experiment.rows
-    for stage in experiment.stages[:2]:
-        rows = stage.fit(experiment.train).transform(rows)
-    return rows.select("c_custkey", "split", "Segment", F.round("TotalCharges", 4).alias("TotalCharges"))
+    rows = Pipeline(stages=experiment.stages).fit(experiment.train).transform(experiment.rows)
+    weighted = F.transform(vector_to_array("features"), lambda v, i: v * (i + 1))
+    return rows.select(
+        "c_custkey",
+        "split",
+        "Segment",
+        F.round("TotalCharges", 4).alias("TotalCharges"),
+        F.size(weighted).alias("width"),
+        F.round(F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v), 4).alias("checksum"),
+    )
 
 
 def classifier_comparison(spark, sf_dir):
@@ -204,22 +212,31 @@ r AS (
 _MOMENTS = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in NUMERIC)
 _FITTED = f"{_ROWS}, k AS (SELECT {_MOMENTS} FROM r WHERE split = 'train')"
 _Z = {c: f"({c} - m_{c}) / s_{c}" for c in NUMERIC}
+_EXPERIMENT = ["UrgentBuyer", "tenure", "MonthlyCharges", "TotalCharges"]
+_EXPERIMENT_MOMENTS = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in _EXPERIMENT)
+_EXPERIMENT_SUM = " + ".join(f"{i} * (({c} - m_{c}) / s_{c})" for i, c in enumerate(_EXPERIMENT, 1))
+#: Places of the fitted categories, from 1, and how many each column has.
+_PLACES = ", ".join(
+    f"""{p}s AS (SELECT {c} AS {p}v, ROW_NUMBER() OVER (ORDER BY {c}) AS {p}, COUNT(*) OVER () AS {p}w
+  FROM (SELECT DISTINCT {c} FROM r WHERE split = 'train'))"""
+    for p, c in zip("sru", CATEGORIES)
+)
+_PLACED = " ".join(f"JOIN {p}s ON {p}v = x.{c}" for p, c in zip("sru", CATEGORIES))
 
 ORACLES = {
     "standard_scaling": f"WITH {_FITTED} SELECT c_custkey, "
     + ", ".join(f"ROUND({z}, 6) AS {c}_scaled" for c, z in _Z.items())
     + " FROM r, k",
-    "one_hot_encoding": f"""WITH {_ROWS}, n AS (SELECT Region, ROW_NUMBER() OVER (ORDER BY Region) AS position, COUNT(*) OVER () AS width
-  FROM (SELECT DISTINCT Region FROM r WHERE split = 'train'))
-SELECT c_custkey, CAST(width AS INTEGER) AS width, position, CAST(1 AS DOUBLE) AS total FROM r JOIN n USING (Region)""",
+    "one_hot_encoding": f"""WITH {_ROWS}, {_PLACES}
+SELECT c_custkey, CAST(sw + rw + uw AS INTEGER) AS width, CAST(POWER(2, s - 1) + POWER(2, sw + r - 1) + POWER(2, sw + rw + u - 1) AS DOUBLE) AS positions,
+  CAST(3 AS DOUBLE) AS total FROM r AS x {_PLACED}""",
     "label_encoding": f"""WITH {_ROWS}, l AS (SELECT Churn, ROW_NUMBER() OVER (ORDER BY Churn) - 1 AS label FROM (SELECT DISTINCT Churn FROM r WHERE split = 'train'))
 SELECT c_custkey, CAST(label AS INTEGER) AS label, Churn AS decoded FROM r JOIN l USING (Churn)""",
-    "column_transformer": f"""WITH {_FITTED},
-n AS (SELECT Segment, ROW_NUMBER() OVER (ORDER BY Segment) AS p, COUNT(*) OVER () AS w FROM (SELECT DISTINCT Segment FROM r WHERE split = 'train')),
-u AS (SELECT UrgentBuyer, ROW_NUMBER() OVER (ORDER BY UrgentBuyer) AS q, COUNT(*) OVER () AS v FROM (SELECT DISTINCT UrgentBuyer FROM r WHERE split = 'train'))
-SELECT c_custkey, CAST(3 + w + v + 1 AS INTEGER) AS width,
-  ROUND({_Z['tenure']} + 2 * ({_Z['MonthlyCharges']}) + 3 * ({_Z['TotalCharges']}) + (3 + p) + (3 + w + q) + (3 + w + v + 1) * c_custkey, 4) AS checksum
-FROM r, k, n, u WHERE r.Segment = n.Segment AND r.UrgentBuyer = u.UrgentBuyer""",
+    "column_transformer": f"""WITH {_FITTED}, {_PLACES}
+SELECT c_custkey, CAST(3 + sw + rw + uw + 1 AS INTEGER) AS width,
+  ROUND({_Z['tenure']} + 2 * ({_Z['MonthlyCharges']}) + 3 * ({_Z['TotalCharges']}) + (3 + s) + (3 + sw + r) + (3 + sw + rw + u)
+    + (3 + sw + rw + uw + 1) * c_custkey, 4) AS checksum
+FROM r AS x CROSS JOIN k {_PLACED}""",
     "logistic_mean_probability": f"""WITH {_ROWS} SELECT COUNT(*) AS n,
   ROUND(CAST(COUNT(*) FILTER (WHERE Churn = 'Yes') AS DOUBLE) / COUNT(*), 4) AS mean_probability FROM r WHERE split = 'train'""",
     "naive_bayes_means": f"WITH {_ROWS} "
@@ -230,7 +247,11 @@ FROM r, k, n, u WHERE r.Segment = n.Segment AND r.UrgentBuyer = u.UrgentBuyer"""
     "regression_line": f"WITH {_ROWS} SELECT ROUND(regr_slope(TotalCharges, tenure), 3) AS slope, ROUND(regr_intercept(TotalCharges, tenure), 3) AS intercept FROM r",
     "stream_matches_batch": f"WITH {_ROWS} SELECT COUNT(*) AS scored, CAST(0 AS BIGINT) AS different FROM r",
     "experiment_setup": f"""WITH raw AS ({sql_of('churn')}),
-r AS (SELECT c_custkey, Segment, TRY_CAST(TotalCharges AS DOUBLE) AS t,
-  CASE WHEN {position_sql('40', 'c_custkey')} < {_CUT} THEN 'test' ELSE 'train' END AS split FROM raw)
-SELECT c_custkey, split, Segment, ROUND(COALESCE(t, (SELECT AVG(t) FROM r WHERE split = 'train')), 4) AS TotalCharges FROM r""",
+i AS (SELECT *, TRY_CAST(TotalCharges AS DOUBLE) AS t, CASE WHEN {position_sql('40', 'c_custkey')} < {_CUT} THEN 'test' ELSE 'train' END AS split FROM raw),
+r AS (SELECT c_custkey, split, Segment, Region, UrgentBuyer, tenure, MonthlyCharges, COALESCE(t, (SELECT AVG(t) FROM i WHERE split = 'train')) AS TotalCharges FROM i),
+k AS (SELECT {_EXPERIMENT_MOMENTS} FROM r WHERE split = 'train'),
+{_PLACES}
+SELECT c_custkey, split, Segment, ROUND(TotalCharges, 4) AS TotalCharges, CAST({len(_EXPERIMENT)} + sw + 1 + rw + 1 AS INTEGER) AS width,
+  ROUND({_EXPERIMENT_SUM} + ({len(_EXPERIMENT)} + s) + ({len(_EXPERIMENT)} + sw + 1 + r), 4) AS checksum
+FROM r AS x CROSS JOIN k JOIN ss ON sv = x.Segment JOIN rs ON rv = x.Region""",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import (
     FeatureHasher,
     IndexToString,
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabscope.functions.columns import ref
 from tabscope.operators.cleaning import Roles
+from tabscope.operators.dictionary import ValueDictionaryModel, distinct_values, store_dictionary
 from tabscope.operators.profile import COLUMNS_PER_SCAN, top_values
 
 HASH_WIDTH = 1 << 10
@@ -72,21 +73,37 @@ def _indexer_model(spark, labels: list[list[str]], inputs: list[str], outputs: l
     return model.setInputCols(inputs).setOutputCols(outputs).setHandleInvalid(invalid)
 
 
+LISTED_VALUES = 10_000
+
+
 class ValueIndexer(Estimator, HasInputCols, HasOutputCols, HasHandleInvalid):
-    """Places of a column's values in their own order: numbers by value, texts by letter."""
+    """Places of a column's values in their own order: numbers by value, texts by letter.
+
+    Columns of up to ``LISTED_VALUES`` values, which are counted on Spark first, become a list in the
+    model; the others are numbered on Spark and stay a table (``operators.dictionary``).
+    """
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCols=None, handleInvalid="error"):
         super().__init__()
+        self._setDefault(handleInvalid="error")
         self._set(**self._input_kwargs)
 
-    def _fit(self, dataset: DataFrame) -> StringIndexerModel:
-        inputs = self.getOrDefault("inputCols")
-        labels = []
-        for c in inputs:
-            values = dataset.select(ref(c).alias("v"), ref(c).cast("string").alias("t")).where("v IS NOT NULL").distinct()
-            labels.append([r["t"] for r in values.orderBy("v").collect()])
-        return _indexer_model(dataset.sparkSession, labels, inputs, self.getOrDefault("outputCols"), self.getOrDefault("handleInvalid"))
+    def _fit(self, dataset: DataFrame) -> StringIndexerModel | ValueDictionaryModel | PipelineModel:
+        inputs, outputs = self.getOrDefault("inputCols"), self.getOrDefault("outputCols")
+        spark, invalid = dataset.sparkSession, self.getOrDefault("handleInvalid")
+        values = {c: distinct_values(dataset, c) for c in inputs}
+        short = [c for c in inputs if values[c].count() <= LISTED_VALUES]
+        long = [c for c in inputs if c not in short]
+        output = dict(zip(inputs, outputs))
+        stages: list = []
+        if short:
+            labels = [[r["t"] for r in values[c].orderBy("v").collect()] for c in short]
+            stages.append(_indexer_model(spark, labels, short, [output[c] for c in short], invalid))
+        if long:
+            folder, sizes = store_dictionary(spark, [values[c] for c in long])
+            stages.append(ValueDictionaryModel(inputCols=long, outputCols=[output[c] for c in long], handleInvalid=invalid, folder=folder, sizes=sizes))
+        return stages[0] if len(stages) == 1 else PipelineModel(stages=stages)
 
 
 class ModeImputer(Estimator, HasInputCols):

@@ -228,3 +228,49 @@ def test_stream_equals_batch(spark, rows, tmp_path):
     fields.limit(5).withColumn("id", F.col("id") + 10_000).write.mode("append").parquet(source)
     assert len(run()) == len(batch) + 5
     assert spark.read.parquet(target).count() == len(batch) + 5
+
+
+def _many(spark, n):
+    return spark.range(n).select(
+        F.col("id"), F.concat(F.lit("v"), F.col("id") % (n // 2)).alias("t"), ((F.col("id") * 7) % (n // 3) - 5).cast("double").alias("d"), F.lit("x").alias("few")
+    )
+
+
+def test_values_beyond_a_list_are_a_table(spark, monkeypatch, tmp_path):
+    """A dictionary gives the places that a list gives, also after saving, and each treatment of other values."""
+    df = _many(spark, 600)
+    columns = {"inputCols": ["t", "few", "d"], "outputCols": ["a", "b", "c"]}
+    listed = {r.id: (r.a, r.b, r.c) for r in X.ValueIndexer(**columns).fit(df).transform(df).collect()}
+    monkeypatch.setattr(X, "LISTED_VALUES", 50)
+    fitted = X.ValueIndexer(**columns).fit(df)
+    assert [type(s).__name__ for s in fitted.stages] == ["StringIndexerModel", "ValueDictionaryModel"]
+    assert {r.id: (r.a, r.b, r.c) for r in fitted.transform(df).collect()} == listed
+    fitted.write().save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    assert {r.id: (r.a, r.b, r.c) for r in again.transform(df).collect()} == listed
+    other = df.limit(3).union(spark.createDataFrame([(900, "unknown", 1.0, "x"), (901, None, 1.0, "x")], df.schema))
+    with pytest.raises(Exception, match="not fitted"):
+        fitted.transform(other).collect()
+    kept = X.ValueIndexer(**columns, handleInvalid="keep").fit(df).transform(other).filter("id >= 900").collect()
+    assert [r.a for r in kept] == [300.0, 300.0]
+    assert X.ValueIndexer(**columns, handleInvalid="skip").fit(df).transform(other).count() == 3
+
+
+def test_many_values_without_a_driver_list(spark, monkeypatch):
+    """A million values: nothing of the dictionary is collected, and it is joined by a shuffle."""
+    import pyspark.sql.classic.dataframe as classic
+
+    sizes, collect = [], classic.DataFrame.collect
+    monkeypatch.setattr(classic.DataFrame, "collect", lambda df: sizes.append(len(out := collect(df))) or out)
+    df = spark.range(1_000_000).select(F.concat(F.lit("v"), F.lpad("id", 7, "0")).alias("t"), "id")
+    fitted = X.ValueIndexer(inputCols=["t"], outputCols=["place"]).fit(df)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "-1")  # the library itself asks for no broadcast of so many
+        out = fitted.transform(df)
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.filter(F.col("place") == F.col("id")).count() == 1_000_000
+    finally:
+        spark.conf.set(limit, before)
+    assert max(sizes, default=0) <= 1000
