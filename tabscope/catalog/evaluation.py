@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from tabscope.catalog.inputs import derived, position_sql, sql_of, table
 from tabscope.functions.hashing import POSITION_BITS
@@ -106,11 +104,9 @@ def train_test_split_exact(spark, sf_dir):
 def stratified_folds(spark, sf_dir):
     """Six folds, ten repeats."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    parts = [
-        S.stratified_folds(orders, "o_orderstatus", ["o_orderkey"], 6, r).select("o_orderkey", F.lit(r).alias("repeat"), "fold")
-        for r in range(10)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    folded = S.repeated_folds(orders, "o_orderstatus", ["o_orderkey"], 6, 10)
+    each = F.inline(F.array(*[F.struct(F.lit(r).alias("repeat"), F.col(f"_fold_{r}").alias("fold")) for r in range(10)]))
+    return folded.select("o_orderkey", each)
 
 
 def mean_fold_accuracy(spark, sf_dir):

@@ -14,6 +14,7 @@ from tabscope.functions.hashing import POSITION_BITS
 from tabscope.operators import features as X, models as M
 from tabscope.operators.cleaning import Roles
 from tabscope.operators.compare import compare_classifiers, compare_regressors, set_up
+from tabscope.operators.leave_out import cross_validate_gaussian_bayes, cross_validate_linear
 from tabscope.operators.splitting import train_test_split
 from tabscope.plans.churn_report import NUMERIC, churn_report, prepare
 from tabscope.streaming.scoring import arriving_files, score_stream
@@ -174,6 +175,19 @@ def logistic_mean_probability(spark, sf_dir):
     return M.predictions(fitted, train, []).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_probability"))
 
 
+def linear_folds(spark, sf_dir):
+    """Least squares on sixty folds from the sums of one scan."""
+    board = cross_validate_linear(_rows(spark, sf_dir), "TotalCharges", ["tenure"], KEY)
+    shown = {"intercept": 1, "slope_0": 2, "rmse": 1, "r2": 6}
+    return board.select("repeat", "fold", F.col("n").cast("bigint").alias("n"), *[F.round(c, d).alias(c) for c, d in shown.items()])
+
+
+def gaussian_bayes_folds(spark, sf_dir):
+    """Gaussian naive Bayes on sixty stratified folds, fitted from the sums of one scan."""
+    board = cross_validate_gaussian_bayes(_rows(spark, sf_dir), "Churn", NUMERIC, KEY)
+    return board.select("repeat", "fold", F.col("n").cast("bigint").alias("n"), F.round("accuracy", 9).alias("accuracy"))
+
+
 def naive_bayes_means(spark, sf_dir):
     """The class means that Gaussian naive Bayes is made of."""
     train = X.label_encoder("Churn").fit(_train(_rows(spark, sf_dir))).transform(_train(_rows(spark, sf_dir)))
@@ -197,7 +211,8 @@ QUERIES = {
     for f in [
         standard_scaling, one_hot_encoding, label_encoding, column_transformer,
         *[_scored_by(k) for k in ("lr", "dt")],
-        *[_scored_by(k) for k in ("rf", "gb", "xgb", "ada")], logistic_mean_probability, naive_bayes_means, regression_line,
+        *[_scored_by(k) for k in ("rf", "gb", "xgb", "ada")], logistic_mean_probability, linear_folds, gaussian_bayes_folds,
+        naive_bayes_means, regression_line,
         stream_scoring, stream_matches_batch, cross_validation, model_parameters, churn_evaluation,
         experiment_setup, classifier_comparison, regressor_comparison,
     ]
@@ -212,6 +227,17 @@ r AS (
 _MOMENTS = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in NUMERIC)
 _FITTED = f"{_ROWS}, k AS (SELECT {_MOMENTS} FROM r WHERE split = 'train')"
 _Z = {c: f"({c} - m_{c}) / s_{c}" for c in NUMERIC}
+
+
+def _folds_sql(stratum: str, repeats: int = 10, folds: int = 6) -> str:
+    """``c_custkey, repeat, fold`` of the cleaned rows, as ``splitting.stratified_folds`` deals them."""
+    placed = " UNION ALL ".join(
+        f"SELECT c_custkey, {r} AS repeat, {stratum} AS stratum, {position_sql(f'cv:{r}', 'c_custkey')} AS place FROM r" for r in range(repeats)
+    )
+    window = "PARTITION BY repeat, stratum"
+    return f"""SELECT c_custkey, repeat, CAST(((ROW_NUMBER() OVER ({window} ORDER BY place) - 1) * {folds}) // COUNT(*) OVER ({window}) AS INTEGER) AS fold FROM ({placed})"""
+
+
 _EXPERIMENT = ["UrgentBuyer", "tenure", "MonthlyCharges", "TotalCharges"]
 _EXPERIMENT_MOMENTS = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in _EXPERIMENT)
 _EXPERIMENT_SUM = " + ".join(f"{i} * (({c} - m_{c}) / s_{c})" for i, c in enumerate(_EXPERIMENT, 1))
@@ -239,6 +265,30 @@ SELECT c_custkey, CAST(3 + sw + rw + uw + 1 AS INTEGER) AS width,
 FROM r AS x CROSS JOIN k {_PLACED}""",
     "logistic_mean_probability": f"""WITH {_ROWS} SELECT COUNT(*) AS n,
   ROUND(CAST(COUNT(*) FILTER (WHERE Churn = 'Yes') AS DOUBLE) / COUNT(*), 4) AS mean_probability FROM r WHERE split = 'train'""",
+    "linear_folds": f"""WITH {_ROWS}, a AS (SELECT repeat, fold, tenure AS x, TotalCharges AS y FROM ({_folds_sql("'0'")}) JOIN r USING (c_custkey)),
+f AS (
+  SELECT t.repeat, h.fold, regr_slope(t.y, t.x) AS slope, regr_intercept(t.y, t.x) AS intercept
+  FROM a AS t JOIN (SELECT UNNEST(range(6)) AS fold) AS h ON t.fold <> h.fold GROUP BY t.repeat, h.fold)
+SELECT repeat, CAST(fold AS INTEGER) AS fold, COUNT(*) AS n, ROUND(ANY_VALUE(intercept), 1) AS intercept, ROUND(ANY_VALUE(slope), 2) AS slope_0,
+  ROUND(SQRT(AVG((y - intercept - slope * x) ** 2)), 1) AS rmse, ROUND(1 - AVG((y - intercept - slope * x) ** 2) / VAR_POP(y), 6) AS r2
+FROM a JOIN f USING (repeat, fold) GROUP BY repeat, fold""",
+    "gaussian_bayes_folds": f"""WITH {_ROWS}, a AS (
+  SELECT c_custkey, repeat, fold, CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS k, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in NUMERIC)}
+  FROM ({_folds_sql('Churn')}) JOIN r USING (c_custkey)),
+d AS (SELECT {', '.join(f'STDDEV_POP({c}) AS s_{c}' for c in NUMERIC)} FROM r),
+h AS (SELECT UNNEST(range(6)) AS own),
+e AS (SELECT repeat, own, 1e-9 * MAX(v) AS eps FROM (
+  {' UNION ALL '.join(f"SELECT repeat, own, VAR_POP({c} / d.s_{c}) AS v FROM a JOIN h ON fold <> own, d GROUP BY repeat, own" for c in NUMERIC)}) GROUP BY repeat, own),
+m AS (
+  SELECT repeat, own, k, COUNT(*) AS c, SUM(COUNT(*)) OVER (PARTITION BY repeat, own) AS total,
+    {', '.join(f'AVG({c}) AS m_{c}, VAR_POP({c} / d.s_{c}) AS v_{c}' for c in NUMERIC)}
+  FROM a JOIN h ON fold <> own, d GROUP BY repeat, own, k),
+o AS (
+  SELECT a.repeat, a.fold, a.k AS truth, m.k, a.c_custkey, LN(c / total)
+    - {' - '.join(f'0.5 * (LN(v_{c} + eps) + ((a.{c} - m_{c}) / d.s_{c}) ** 2 / (v_{c} + eps))' for c in NUMERIC)} AS odds
+  FROM a JOIN m ON m.repeat = a.repeat AND m.own = a.fold JOIN e ON e.repeat = a.repeat AND e.own = a.fold, d)
+SELECT repeat, CAST(fold AS INTEGER) AS fold, COUNT(*) AS n, ROUND(AVG(CASE WHEN k = truth THEN 1.0 ELSE 0.0 END), 9) AS accuracy
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repeat, c_custkey ORDER BY odds DESC, k) AS place FROM o) WHERE place = 1 GROUP BY repeat, fold""",
     "naive_bayes_means": f"WITH {_ROWS} "
     + " UNION ALL ".join(
         f"SELECT CAST(CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS INTEGER) AS label, '{c}' AS feature, ROUND(AVG({c}), 4) AS mean FROM r WHERE split = 'train' GROUP BY Churn"

@@ -18,7 +18,7 @@ from tabscope.functions.numbers import round_percent
 from tabscope.operators.boosting import StumpBoosting
 from tabscope.operators.cleaning import Roles
 from tabscope.operators.features import column_transformer, label_encoder
-from tabscope.operators.splitting import stratified_folds
+from tabscope.operators.splitting import repeated_folds
 from tabscope.workspace import materialize
 
 # Parameter presets per model key; callers override any of them.
@@ -95,12 +95,9 @@ def cross_validate(
 ) -> DataFrame:
     """``repeat, fold, accuracy`` of repeated stratified folds; the whole estimator is refitted each time.
 
-    The rows are written once, with a fold column for each repeat.
+    The rows are stored, then written with a fold column for each repeat.
     """
-    assigned = rows
-    for repeat in range(repeats):
-        assigned = stratified_folds(assigned, target, key, folds, repeat, seed).withColumnRenamed("fold", f"_fold_{repeat}")
-    assigned = materialize(assigned, "folds")
+    assigned = materialize(repeated_folds(materialize(rows, "rows"), target, key, folds, repeats, seed), "folds")
     names = [f"_fold_{repeat}" for repeat in range(repeats)]
 
     def one(job: tuple[int, int]) -> tuple[int, int, float]:

@@ -274,7 +274,7 @@ def _zoom(df: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
     return narrowed
 
 
-def position_cutoffs(df: DataFrame, group: list[str], place: str, parts: int, sizes=None) -> DataFrame:
+def position_cutoffs(df: DataFrame, group: list[str], place: str, parts: int, sizes=None, rows: int | None = None) -> DataFrame:
     """Positions that cut each group into consecutive parts of prescribed size.
 
     ``place`` is an evenly spread BIGINT (see ``functions.hashing``). ``sizes``
@@ -283,9 +283,9 @@ def position_cutoffs(df: DataFrame, group: list[str], place: str, parts: int, si
 
     Rows are counted per leading bits of the position, about as many buckets as
     a bucket has rows; only the few buckets that hold a cut are looked at row by
-    row. Returns ``group..., cuts`` (ascending).
+    row. ``rows`` saves counting them. Returns ``group..., cuts`` (ascending).
     """
-    bits = min(POSITION_BITS, max(8, (df.count().bit_length() + 1) // 2))
+    bits = min(POSITION_BITS, max(8, ((df.count() if rows is None else rows).bit_length() + 1) // 2))
     start_of = sizes or (lambda n, part: F.ceil(n * part / F.lit(parts)).cast("bigint"))
     bucket = F.shiftright(ref(place), POSITION_BITS - bits)
     keys = [ref(g) for g in group]

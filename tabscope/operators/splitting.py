@@ -7,12 +7,15 @@ identify a row; rows with equal keys stay together.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope.functions.columns import ref
 from tabscope.functions.hashing import POSITION_BITS, position
 from tabscope.operators.joining import attach
 from tabscope.operators.ordering import position_cutoffs
+from tabscope.workspace import materialize
 
 PLACE = "_place"
 
@@ -42,11 +45,36 @@ def train_test_split(
     return placed.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop(PLACE)
 
 
+def _by_cuts(df: DataFrame, cuts: DataFrame, label: str, place: Column, output: str) -> DataFrame:
+    passed = F.filter("cuts", lambda c: c <= place)
+    return attach(df, cuts, [label], how="left").withColumn(output, F.coalesce(F.size(passed), F.lit(0))).drop("cuts")
+
+
 def stratified_folds(
     df: DataFrame, label: str, key: list[str], folds: int = 6, repeat: int = 0, seed: str = "cv"
 ) -> DataFrame:
     """Add ``fold`` in 0..folds-1; within each label the folds differ by at most one row."""
     placed = df.withColumn(PLACE, position(f"{seed}:{repeat}", *[ref(k) for k in key]))
-    cuts = position_cutoffs(placed, [label], PLACE, folds)
-    passed = F.filter("cuts", lambda c: c <= F.col(PLACE))
-    return attach(placed, cuts, [label], how="left").withColumn("fold", F.coalesce(F.size(passed), F.lit(0))).drop("cuts", PLACE)
+    return _by_cuts(placed, position_cutoffs(placed, [label], PLACE, folds), label, F.col(PLACE), "fold").drop(PLACE)
+
+
+def repeated_folds(
+    df: DataFrame, label: str, key: list[str], folds: int = 6, repeats: int = 10, seed: str = "cv", output: str = "_fold_", parallelism: int = 8
+) -> DataFrame:
+    """Add a fold for each repeat, ``_fold_0`` and so on, the same as ``stratified_folds`` gives.
+
+    The rows are counted once and the repeats' cuts found side by side. ``df`` is read for every
+    repeat, so it should be stored.
+    """
+    rows = df.count()
+
+    def cut(repeat: int) -> DataFrame:
+        own = df.select(ref(label), position(f"{seed}:{repeat}", *[ref(k) for k in key]).alias(PLACE))
+        return materialize(position_cutoffs(own, [label], PLACE, folds, rows=rows), "cuts")
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        cuts = list(pool.map(cut, range(repeats)))
+    out = df
+    for repeat, own in enumerate(cuts):
+        out = _by_cuts(out, own, label, position(f"{seed}:{repeat}", *[ref(k) for k in key]), f"{output}{repeat}")
+    return out

@@ -274,3 +274,65 @@ def test_many_values_without_a_driver_list(spark, monkeypatch):
     finally:
         spark.conf.set(limit, before)
     assert max(sizes, default=0) <= 1000
+
+
+def _regression_rows(spark, n=400):
+    chance = np.random.default_rng(9)
+    x = 1e6 + chance.normal(size=(n, 3)) * [1.0, 50.0, 0.01]
+    y = 3e5 + x @ [2.0, -0.5, 40.0] + chance.normal(size=n)
+    frame = pd.DataFrame({"id": np.arange(n), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y, "k": np.where(x[:, 1] - 1e6 + 20 * chance.normal(size=n) > 0, "p", "q")})
+    frame.loc[3, "a"], frame.loc[5, "y"] = None, None
+    return spark.createDataFrame(frame).replace(float("nan"), None).repartition(5)
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.2])
+def test_linear_folds_equal_refits(spark, penalty):
+    from tabscope.operators.leave_out import assigned_folds, cross_validate_linear
+
+    rows, names = _regression_rows(spark), ["a", "b", "c"]
+    found = {(r.repeat, r.fold): r for r in cross_validate_linear(rows, "y", names, ["id"], 4, 3, penalty).collect()}
+    complete = rows.dropna(subset=[*names, "y"]).withColumn("_all", F.lit(0))
+    own = assigned_folds(complete, "_all", ["id"], [*names, "y"], 4, 3).toPandas()
+    assert len(found) == 12 and sum(r.n for r in found.values()) == 3 * 398
+    whole = own[["_0", "_1", "_2"]].to_numpy()
+    z = (whole - whole.mean(0)) / whole.std(0)
+    for (repeat, fold), r in found.items():
+        train, y = (own[f"_fold_{repeat}"] != fold).to_numpy(), own["_3"].to_numpy()
+        a = np.column_stack([np.ones(train.sum()), z[train]])
+        penal = penalty * train.sum() * np.diag([0.0, 1, 1, 1])
+        beta = np.linalg.solve(a.T @ a + penal, a.T @ y[train])
+        error = y[~train] - np.column_stack([np.ones((~train).sum()), z[~train]]) @ beta
+        assert r.mse == pytest.approx((error**2).mean(), rel=1e-6)
+        assert r.r2 == pytest.approx(1 - (error**2).mean() / y[~train].var(), abs=1e-8)
+        assert [r.slope_0, r.slope_1, r.slope_2] == pytest.approx(list(beta[1:] / whole.std(0)), rel=1e-6)
+
+
+def test_linear_folds_equal_the_engines_refits(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from tabscope.operators.leave_out import cross_validate_linear
+    from tabscope.operators.splitting import stratified_folds
+
+    rows = _regression_rows(spark).dropna().withColumns({c: F.col(c) - 1e6 for c in ("a", "b")})  # the engine's solver does not centre
+    found = {r.fold: r for r in cross_validate_linear(rows, "y", ["a", "b"], ["id"], 3, 1).collect()}
+    folded = stratified_folds(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).withColumn("_all", F.lit(0)), "_all", ["id"], 3)
+    for fold in range(3):
+        model = R.LinearRegression(labelCol="y", solver="normal").fit(folded.filter(F.col("fold") != fold))
+        assert found[fold].rmse == pytest.approx(model.evaluate(folded.filter(F.col("fold") == fold)).rootMeanSquaredError, rel=1e-6)
+
+
+def test_bayes_folds_equal_the_engines_refits(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from tabscope.operators.leave_out import cross_validate_gaussian_bayes
+    from tabscope.operators.splitting import stratified_folds
+
+    rows = _regression_rows(spark).dropna().withColumn("b", F.col("b") - 1e6).withColumn("a", F.col("a") - 1e6)
+    found = {(r.repeat, r.fold): r for r in cross_validate_gaussian_bayes(rows, "k", ["a", "b"], ["id"], 3, 2).collect()}
+    points = X.label_encoder("k").fit(rows).transform(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows))
+    for repeat in range(2):
+        folded = stratified_folds(points, "k", ["id"], 3, repeat)
+        for fold in range(3):
+            model = C.NaiveBayes(modelType="gaussian").fit(folded.filter(F.col("fold") != fold))
+            share = model.transform(folded.filter(F.col("fold") == fold)).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
+            assert found[repeat, fold].accuracy == pytest.approx(share)
