@@ -51,11 +51,11 @@ class Block:
 
     window: int
     gram: int
-    windows: dict[bytes, set[str]] = field(default_factory=dict)
+    windows: dict[bytes, set[str | None]] = field(default_factory=dict)
     prints: dict[int, np.ndarray] = field(default_factory=dict)  # window length -> sorted hashes
 
     @classmethod
-    def of(cls, items: list[tuple[str, str]], window: int, gram: int) -> Block:
+    def of(cls, items: list[tuple[str | None, str]], window: int, gram: int) -> Block:
         block, found = cls(window, gram), {}
         for item, text in items:
             lower, starts, ends, _ = words(*flat(pa.array([text], pa.string())))
@@ -75,7 +75,7 @@ class Block:
         return min(self.gram, n) if n == self.window else n
 
 
-def document_hits(texts: pa.Array, block: Block) -> Iterator[tuple[int, np.ndarray, set[str]]]:
+def document_hits(texts: pa.Array, block: Block) -> Iterator[tuple[int, np.ndarray, set[str | None]]]:
     """Number of words, marks of the words hit, and the items, for each text."""
     lower, starts, ends, first = words(*flat(texts))
     hashes = span_hashes(lower, starts, ends)
@@ -133,8 +133,8 @@ def contamination(
     ``items``: the ids of the items with a window in the document, as text, sorted;
     ``hit_spans``: first word and the one after the last of each run of hit words;
     ``contaminated``: some word is hit, and one in ``one_in`` or more. A null text has no
-    words; an item without words is no window; items of equal id count once. An item without an
-    id is left out with its text, unlike in OP5_SQL. Repeated
+    words; an item without words is no window; items of equal id count once. Items without an
+    id hit like any other and count as one item in ``n_items``, but have no place in ``items``. Repeated
     documents give a row each. Without items every document is clean; an empty table gives
     no rows.
     """
@@ -149,10 +149,11 @@ def contamination(
             T.StructField("n_words", T.LongType()),
             T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
             T.StructField("items", T.ArrayType(T.StringType())),
+            T.StructField("unnamed", T.BooleanType()),
         ]
     )
     items = materialize(
-        benchmark.select(ref(item_col).cast("string").alias("item"), ref(item_text_col).alias("text")).where("text IS NOT NULL AND item IS NOT NULL"),
+        benchmark.select(ref(item_col).cast("string").alias("item"), ref(item_text_col).alias("text")).where("text IS NOT NULL"),
         "items",
     )
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
@@ -170,11 +171,12 @@ def contamination(
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                n_words, spans, owners = [], [], []
+                n_words, spans, owners, unnamed = [], [], [], []
                 for n, marks, ids in document_hits(batch["text"], shared.value):
                     n_words.append(n)
                     spans.append(_spans(marks) if ids else [])
-                    owners.append(sorted(ids))
+                    owners.append(sorted(i for i in ids if i is not None))
+                    unnamed.append(None in ids)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["id"],
@@ -182,6 +184,7 @@ def contamination(
                         pa.array(n_words, pa.int64()),
                         pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                         pa.array(owners, pa.list_(pa.string())),
+                        pa.array(unnamed, pa.bool_()),
                     ],
                     names=[f.name for f in schema],
                 )
@@ -192,7 +195,7 @@ def contamination(
     if blocks > 1:
         found = (
             found.groupBy("id", "row", "n_words")
-            .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+            .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.bool_or("unnamed").alias("unnamed"))
             .withColumn("spans", F.expr(_MERGED))
         )
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s[1] - s[0])
@@ -200,7 +203,7 @@ def contamination(
         ref("id").alias(id_col),
         "n_words",
         n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
+        (F.size("items") + F.col("unnamed").cast("int")).cast("long").alias("n_items"),
         "items",
         F.col("spans").alias("hit_spans"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),

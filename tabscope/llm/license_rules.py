@@ -93,7 +93,7 @@ LICENSES = (
     ("elastic-2", "elastic 2 0", rf"elastic license {_v('2')}", None),
     ("polyform-nc-1", "polyform noncommercial 1 0 0", r"polyform noncommercial license", None),
     ("openrail-m", "openrail m", r"(?:open rail m|openrail m|responsible ai) license", None),
-    ("llama-community", "llama community", r"llama(?: \d+)* community license", None),
+    ("llama-community", "llama community", r"llama(?: \d+){0,9} community license", None),
     ("cc0", "cc0 1 0", r"creative commons zero", "cc0"),
     ("cc-by", r"cc by [1-4] [0-9]", r"creative commons attribution(?: [1-4] [0-9])?(?: international| unported)? license", r"cc by [1-4] [0-9]"),
     ("cc-by-sa", r"cc by sa [1-4] [0-9]", r"creative commons attribution share ?alike(?: [1-4] [0-9])?(?: international| unported)?(?: license)?", r"cc by sa"),
@@ -107,16 +107,21 @@ LICENSES = (
 SENTENCES = (
     ("mit", 0.9, "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("isc", 0.9, "to use copy modify and", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd-3-clause", 0.9, "neither the name of", r"neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used to endorse or promote"),
+    ("bsd-3-clause", 0.9, "neither the name of", r"neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote"),
     ("bsd-4-clause", 0.9, "all advertising materials", r"all advertising materials mentioning features or use of this software must display"),
     ("bsd-2-clause", 0.6, "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("apache-2", 0.95, "www apache org", r"(?:http|https) www apache org licenses license 2 0"),
     ("apache-2", 0.8, "you may not use this file", r"you may not use this file except in compliance with the license"),
-    ("gpl-2", 0.9, "free software foundation", r"published by the free software foundation either version 2 of the license"),
-    ("gpl-3", 0.9, "free software foundation", r"published by the free software foundation either version 3 of the license"),
-    ("lgpl-2.1", 0.9, "free software foundation", r"lesser general public license as published by the free software foundation either version 2 1"),
-    ("lgpl-3", 0.9, "free software foundation", r"lesser general public license as published by the free software foundation either version 3"),
-    ("agpl-3", 0.9, "free software foundation", r"affero general public license as published by the free software foundation either version 3"),
+    ("gpl-2", 0.9, "free software foundation", r"(?:gnu general public license as )?published by the free software foundation either version 2 of the license"),
+    ("gpl-3", 0.9, "free software foundation", r"(?:gnu general public license as )?published by the free software foundation either version 3 of the license"),
+    ("lgpl-2.1", 0.9, "free software foundation", r"(?:gnu )?lesser general public license as published by the free software foundation either version 2 1"),
+    ("lgpl-3", 0.9, "free software foundation", r"(?:gnu )?lesser general public license as published by the free software foundation either version 3"),
+    ("agpl-3", 0.9, "free software foundation", r"(?:gnu )?affero general public license as published by the free software foundation either version 3"),
+    ("gpl-2", 0.8, "gpl version", r"(?:gnu )?gpl version 2(?: 0)?(?: only| or later| or any later version)?"),
+    ("gpl-3", 0.8, "gpl version", r"(?:gnu )?gpl version 3(?: 0)?(?: only| or later| or any later version)?"),
+    ("lgpl-2.1", 0.8, "gpl version", r"(?:gnu )?lgpl version 2 1(?: only| or later| or any later version)?"),
+    ("lgpl-3", 0.8, "gpl version", r"(?:gnu )?lgpl version 3(?: 0)?(?: only| or later| or any later version)?"),
+    ("agpl-3", 0.8, "gpl version", r"(?:gnu )?agpl version 3(?: 0)?(?: only| or later| or any later version)?"),
     ("mpl-2", 0.95, "mozilla public license", r"subject to the terms of the mozilla public license v 2 0"),
     ("mpl-2", 0.9, "mozilla org", r"mozilla org mpl 2 0"),
     ("unlicense", 0.95, "free and unencumbered", r"this is free and unencumbered software released into the public domain"),
@@ -149,11 +154,11 @@ UNSPECIFIC = (
     ("epl", 0.5, "eclipse public license", r"eclipse public license"),
     ("creative-commons", 0.4, "creative commons", r"creative commons(?: license)?"),
     ("unknown", 0.2, "licensed under", r"licensed under"),
-    ("unknown", 0.2, "released under", r"released under (?:\S+ ){0,4}license"),
+    ("unknown", 0.2, "released under", r"released under (?:[^ ]+ ){0,4}license"),
 )
 
 #: How a text grants a licence before it names it.
-_GRANT = r"(?:released|licensed|distributed|available|published|covered|provided)(?: \S+)? under (?:the )?(?:terms of )?(?:the )?(?:conditions of )?(?:the )?"
+_GRANT = r"(?:released|licensed|distributed|available|published|covered|provided)(?: [^ ]+)? under (?:the )?(?:terms of )?(?:the )?(?:conditions of )?(?:the )?"
 
 
 def rules() -> list[Rule]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, types as T
 from tabscope.llm.license_rules import BASE, Rule, rules
 from tabscope.llm.texts import IN_WORD, LOWER, keyed_text, slices
 
-REACH = 400  # characters on either side of an anchor in which its rules look
+REACH = 64  # words on either side of an anchor in which its rules look; no rule spans as many, whatever their length
 
 
 class Detection(NamedTuple):
@@ -49,10 +49,13 @@ class Scanner:
     def matches(self, text: str, anchors: dict[str, list[tuple[int, int]]]) -> list[Detection]:
         """What the rules find in words that are joined, and each followed, by a space."""
         found = set()
+        spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
+        starts = np.concatenate([[0], spaces + 1])  # of the words, and the text's end
         for anchor, places in anchors.items():
             windows: list[list[int]] = []
-            for begin, end in places:
-                low, high = max(0, begin - REACH), min(len(text), end + REACH)
+            first = np.searchsorted(starts, [begin for begin, _ in places], "right") - 1 - REACH
+            last = np.searchsorted(starts, [end for _, end in places], "left") + REACH
+            for low, high in zip(starts[np.maximum(first, 0)].tolist(), starts[np.minimum(last, len(starts) - 1)].tolist()):
                 if windows and low <= windows[-1][1]:
                     windows[-1][1] = high
                 else:
@@ -60,9 +63,6 @@ class Scanner:
             for i in self.by_anchor[anchor]:
                 for low, high in windows:
                     found.update((i, m.start(), m.end()) for m in self.patterns[i].finditer(text, low, high))
-        if not found:
-            return []
-        spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
         return [
             Detection(self.rules[i].label, i, int(np.searchsorted(spaces, a)), int(np.searchsorted(spaces, b)) + 1, self.rules[i].weight)
             for i, a, b in sorted(found)

@@ -67,6 +67,10 @@ def test_license_rules():
         "Licensed under CC BY-NC 4.0.": {"cc-by-nc"},
         "published under GPLv3 and parts under the MIT license": {"gpl-3", "mit"},
         "a mit license": {"mit"},
+        "GNU GPL version 2 only": {"gpl-2"},
+        "terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License": {"gpl-3"},
+        "Neither the name of Città nor the names of its contributors may be used to endorse or promote": {"bsd-3-clause"},
+        f"Neither the name of {'x' * 60} {' '.join(['y' * 70] * 9)} nor the names of its contributors may be used to endorse or promote": {"bsd-3-clause"},
         "admit licenses": set(),
     }
     for text, labels in cases.items():
@@ -76,6 +80,30 @@ def test_license_rules():
             assert d in standing or any(s.first <= d.first and d.last <= s.last for s in standing)
 
 
+def test_no_rule_spans_the_words_that_are_looked_at():
+    """The most words of a rule, counted as the spaces its pattern can match, stay below the reach."""
+    import re._parser as parser
+
+    def spaces(parsed):
+        most = 0
+        for op, value in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                most += value == 32
+            elif name == "SUBPATTERN":
+                most += spaces(value[-1])
+            elif name == "BRANCH":
+                most += max(map(spaces, value[1]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                own = spaces(value[2])
+                most += own * int(value[1]) if own else 0
+            elif name == "IN":
+                assert (parser.LITERAL, 32) not in value
+        return most
+
+    assert max(spaces(parser.parse(r.pattern)) for r in rules()) < licenses.REACH - 2
+
+
 # secrets
 
 
