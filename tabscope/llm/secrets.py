@@ -11,6 +11,7 @@ of characters, so its size does not grow with the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 from typing import NamedTuple
 
@@ -32,17 +33,46 @@ TRAIN_ROWS = 20_000
 MIN_RATIO = 25.0
 MASK = "[SECRET]"
 
+#: Stands for characters of base spans while candidates are looked for; a Unicode noncharacter.
+_BLANK = "\uffff"
+_LONE = rf"(?<![{_BLANK}A-Za-z0-9+/=_-]){CANDIDATE}(?![{_BLANK}A-Za-z0-9+/=_-])"
+
 _NO_SPANS = "CAST(array() AS ARRAY<STRUCT<start: INT, kind: INT, end: INT, value: STRING>>)"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chunks(items: Column) -> Column:
+    """The array in about as many pieces as a piece has items. Arrays that grow item by item inside a
+    piece cost its size squared, so all of them cost the number of items times its root."""
+
+    def cut(own: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(own)))).cast("int")
+        last = F.greatest(F.lit(0), F.ceil(F.size(own) / width).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(own, i * width + 1, width))
+
+    return _let(items, cut)
+
+
+def _before(pieces: Column, grow: Callable[[Column, Column], Column]) -> Column:
+    """For each piece what ``grow`` has made, from 0, of the pieces before it."""
+
+    def step(done: Column, piece: Column) -> Column:
+        return F.struct(grow(done["at"], piece).alias("at"), F.concat(done["before"], F.array(done["at"])).alias("before"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<INT>)").alias("before"))
+    return F.aggregate(pieces, begin, step)["before"]
+
+
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """Leftmost matches that do not overlap, as structs of start, kind, end, value in code points.
 
     The pieces between the matches tell where these stand.
     """
-    found = F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    between = F.when(text.rlike(pattern), F.split(text, pattern, -1))
-    parts = F.arrays_zip(found.alias("value"), between.alias("between"))
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.split(text, pattern, -1).alias("between"))
 
     def step(done: Column, part: Column) -> Column:
         start = done["at"] + F.length(part["between"])
@@ -50,14 +80,41 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
+    def moved(span: Column, by: Column) -> Column:
+        return F.struct((span["start"] + by).alias("start"), span["kind"].alias("kind"), (span["end"] + by).alias("end"), span["value"].alias("value"))
+
     begin = F.struct(F.lit(0).alias("at"), F.expr(_NO_SPANS).alias("spans"))
-    walked = F.aggregate(F.filter(parts, lambda p: p["value"].isNotNull()), begin, step)["spans"]
-    return F.coalesce(walked, F.expr(_NO_SPANS))
+    local = F.transform(_chunks(F.filter(parts, lambda p: p["value"].isNotNull())), lambda chunk: F.aggregate(chunk, begin, step))
+    placed = _let(local, lambda own: F.flatten(F.zip_with(own, _before(own, lambda at, c: at + c["at"]), lambda c, by: F.transform(c["spans"], lambda s: moved(s, by)))))
+    return F.when(text.rlike(pattern), placed).otherwise(F.expr(_NO_SPANS))
+
+
+def _kept_assign(value: Column) -> Column:
+    return F.length(F.regexp_extract(value, ASSIGN, 2)) >= ASSIGN_LEAST
+
+
+def _blanked(text: Column) -> Column:
+    """The text with as many blanks in place of every kept assignment."""
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)).alias("value"), F.split(text, ASSIGN, -1).alias("between"))
+    clear = lambda p: F.concat(
+        p["between"], F.when(p["value"].isNull(), "").when(_kept_assign(p["value"]), F.repeat(F.lit(_BLANK), F.length(p["value"]))).otherwise(p["value"])
+    )
+    return F.when(text.rlike(ASSIGN), F.array_join(F.transform(parts, clear), "")).otherwise(text)
+
+
+def _candidates(text: Column, base: str) -> Column:
+    """Candidates that no base span overlaps.
+
+    Access keys and hexadecimal runs consist of a candidate's characters, so one that overlaps
+    a candidate lies within it. Assignments are blanked before; a candidate must not touch a blank.
+    """
+    free = F.filter(_matches(_blanked(text), _LONE, 3), lambda c: ~c["value"].rlike(HEX) & ~c["value"].rlike(ACCESS))
+    every = F.filter(_matches(text, CANDIDATE, 3), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    return F.when(F.contains(text, F.lit(_BLANK)), every).otherwise(free)
 
 
 def _base_spans(text: Column) -> list[Column]:
-    long_enough = lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LEAST
-    return [F.filter(_matches(text, ASSIGN, 0), long_enough), _matches(text, ACCESS, 1), _matches(text, HEX, 2)]
+    return [F.filter(_matches(text, ASSIGN, 0), lambda s: _kept_assign(s["value"])), _matches(text, ACCESS, 1), _matches(text, HEX, 2)]
 
 
 def _pairs(value: Column) -> Column:
@@ -122,14 +179,15 @@ def find_secrets(docs: DataFrame, model: Model, min_ratio: float = MIN_RATIO, te
 
     ``kind`` is a place in ``KINDS``; ``spans`` holds the base spans and the candidates whose
     log ratio is ``min_ratio`` or more and that no base span overlaps. A null text is empty and
-    has none. Every row is kept as it is, also repeated ones; columns named ``base_spans``
+    has none. Every row is kept as it is, also repeated ones; the work for a text grows with its
+    length and, for n matches, with n times the root of n. Columns named ``base_spans``
     or ``spans`` are replaced.
     """
     text = F.coalesce(ref(text_col), F.lit(""))
     named = ("_assign", "_access", "_hex")
     based = docs.withColumns({n: s for n, s in zip(named, _base_spans(text))})
     based = based.withColumn("base_spans", F.array_sort(F.concat(*named))).drop(*named)
-    tried = based.withColumn("_tried", F.filter(_matches(text, CANDIDATE, 3), lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))))
+    tried = based.withColumn("_tried", _candidates(text, "base_spans"))
     added = F.filter("_tried", lambda c: log_ratio(c["value"], model) >= min_ratio)
     return tried.withColumn("spans", F.array_sort(F.concat("base_spans", added))).drop("_tried")
 
@@ -160,13 +218,26 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def masked(docs: DataFrame, mask: str = MASK, text_col: str = "text") -> DataFrame:
     """``docs`` with the found spans (column ``spans``) replaced by ``mask``; spans that overlap are one."""
+    text = ref(text_col)
+
+    def clear(chunk: Column, begin: Column) -> Column:
+        """What a chunk of spans leaves of the text from ``begin`` on, a mask after each clear piece."""
+        end = F.greatest(begin, F.array_max(F.transform(chunk, lambda s: s["end"])))
+
+        def walk(own: Column) -> Column:
+            def step(done: Column, span: Column) -> Column:
+                piece = F.concat(F.substring(own, done["at"] - begin + 1, span["start"] - done["at"]), F.lit(mask))
+                out = F.when(span["start"] < done["at"], done["out"]).otherwise(F.concat(done["out"], F.array(piece)))
+                return F.struct(F.greatest(done["at"], span["end"]).alias("at"), out.alias("out"))
+
+            start = F.struct(begin.alias("at"), F.expr("CAST(array() AS ARRAY<STRING>)").alias("out"))
+            return F.array_join(F.aggregate(chunk, start, step)["out"], "")
+
+        return _let(F.substring(text, begin + 1, end - begin), walk)
 
-    def step(done: Column, span: Column) -> Column:
-        text = ref(text_col)
-        clear = F.concat(done["out"], F.substring(text, done["at"] + 1, span["start"] - done["at"]), F.lit(mask))
-        out = F.when(span["start"] < done["at"], done["out"]).otherwise(clear)
-        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), out.alias("out"))
+    def whole(chunks: Column) -> Column:
+        furthest = lambda at, chunk: F.greatest(at, F.array_max(F.transform(chunk, lambda s: s["end"])))
+        last = F.array_max(F.transform(F.flatten(chunks), lambda s: s["end"]))
+        return F.concat(F.array_join(F.zip_with(chunks, _before(chunks, furthest), clear), ""), F.substring(text, last + 1, F.length(text)))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    end = lambda done: F.concat(done["out"], F.substring(ref(text_col), done["at"] + 1, F.length(ref(text_col))))
-    return docs.withColumn(text_col, F.when(F.size("spans") > 0, F.aggregate("spans", begin, step, end)).otherwise(ref(text_col)))
+    return docs.withColumn(text_col, F.when(F.size("spans") > 0, _let(_chunks(F.col("spans")), whole)).otherwise(text))

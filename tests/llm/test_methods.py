@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log2
@@ -124,6 +125,45 @@ def test_secret_base(spark, texts):
         assert [s for s in r.spans.split(",") if not s.startswith("random")] == (shown or [""]) or set(shown) < set(r.spans.split(","))
 
 
+def test_secrets_in_a_text_of_very_many(spark):
+    """100,000 digests in one text, other kinds between them: base spans, candidates and masking stay whole."""
+    let_workers_import(spark)
+    source = random.Random(12)
+    digests = [f"{source.getrandbits(160):040x}" for _ in range(100_000)]
+    parts = [f"{d}  file{i}.txt\n" for i, d in enumerate(digests)]
+    parts[500] = "token = " + "Zq9" * 10 + " é\n"
+    parts[777] = "AKIA" + "Q7" * 10 + "\n"
+    text = "".join(parts)
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = secrets.train(spark.read.parquet(f"{SF_DIR}/documents.parquet"))
+    begun = time.monotonic()
+    (found,) = secrets.find_secrets(table, model).collect()
+    (clean,) = secrets.masked(secrets.find_secrets(table, model)).select("text").collect()
+    spent = time.monotonic() - begun
+    base = [(m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, text)]
+    base += [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text)] + [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, text)]
+    assert [(s.start, s.kind, s.end) for s in found.base_spans] == sorted(base)
+    pieces, at = [], 0
+    for s in found.spans:
+        if s.start >= at:
+            pieces.append(text[at : s.start] + secrets.MASK)
+        at = max(at, s.end)
+    assert clean.text == "".join(pieces) + text[at:]
+    assert spent < 60, spent
+
+
+def test_candidates_beside_base_spans(spark):
+    """The search in the blanked text finds what a comparison of all spans finds, also with the blank itself in the text."""
+    let_workers_import(spark)
+    parts = ["token=", "password: ", "abcdefgh", "Zq9xT2", "Wm4kP8vR1", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef", ".", " ", "\n", "-", "\uffff", "é"]
+    docs = [(i, t) for i, t in enumerate(random_texts(21, 3000, parts))]
+    model = secrets.train(spark.read.parquet(f"{SF_DIR}/documents.parquet"))
+    for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string"), model, min_ratio=-1e9).collect():
+        base = [(s.start, s.end) for s in r.base_spans]
+        runs = [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, r.text)]
+        assert [(s.start, s.end) for s in r.spans if s.kind == 3] == [(a, b) for a, b in runs if not any(x < b and y > a for x, y in base)]
+
+
 def test_secret_model(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     model = secrets.train(docs)
