@@ -12,17 +12,16 @@ one task; a group leaves at most about one bin that is not full.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from tabscope.functions.columns import ref
 from tabscope.llm.texts import kept_model, keyed_text, slices
@@ -55,20 +54,23 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.path = path
-        self.library = Tokenizer.from_file(path)
-        settings = json.loads(self.library.to_str())
         # words that are cut and lower-cased already need no normalizer
-        self.bare = Tokenizer.from_str(json.dumps(settings | {"normalizer": None}))
-        suffix = settings["model"].get("end_of_word_suffix")
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        suffix = self.bare.model.end_of_word_suffix
         self.word_end: np.ndarray | None = None
         if suffix:
-            vocab = self.library.get_vocab()
-            self.word_end = np.zeros(max(vocab.values()) + 1, bool)
-            self.word_end[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+            size = self.bare.get_vocab_size(with_added_tokens=True)
+            self.word_end = np.fromiter(((self.bare.id_to_token(i) or "").endswith(suffix) for i in range(size)), bool, size)
+        self.special = tuple(t.content for t in self.bare.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # words that come again move on to the next generation
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The whole tokenizer, for texts that are not plain."""
+        return Tokenizer.from_file(self.path)
+
     def _encoded(self, words: list[str]) -> list[bytes]:
         """Ids of different words; those that no recent slice had are encoded in one call, blanks between them."""
         if len(self.known) + len(words) > KEPT_WORDS:
@@ -132,8 +134,9 @@ class WordEncoder:
         starts, stops, codes = self.words(whole)
         if not len(starts):
             return [b""] * len(texts)
-        size = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800)  # bytes of each character
-        at = np.concatenate([[0], np.cumsum(size)])
+        size = 1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800)  # bytes of each character
+        at = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(size, out=at[1:])
         inside = np.zeros(len(codes) + 1, np.int8)
         inside[starts] += 1
         inside[stops] -= 1

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,26 @@ def kept_model(key: tuple, build: Callable[[], object]) -> object:
     return _models[key]
 
 
+@lru_cache(maxsize=1)
+def _c_library() -> ctypes.CDLL | None:
+    name = ctypes.util.find_library("c")
+    library = ctypes.CDLL(name) if name else None
+    return library if hasattr(library, "malloc_trim") else None
+
+
+def give_back() -> None:
+    """Return freed memory to the machine, as a worker that waits for its next task holds it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if (library := _c_library()) is not None:
+        library.malloc_trim(0)
+
+
 def let_go() -> None:
     """Free the model that an operator before has left in this worker."""
     if _models:
         _models.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def slices(
@@ -48,16 +65,19 @@ def slices(
     """
     if not keep:
         let_go()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        at = 0
-        while at < len(ends):
-            before = ends[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
-            yield batch.slice(at, upto - at)
-            at = upto
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < len(ends):
+                before = ends[at - 1] if at else 0
+                upto = max(at + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
+                yield batch.slice(at, upto - at)
+                at = upto
+    finally:
+        give_back()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
