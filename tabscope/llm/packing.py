@@ -17,7 +17,6 @@ from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -255,18 +254,20 @@ def packed(
     An empty table gives no rows. ``pieces`` is written once, since it is counted and packed.
     """
     capacity = (float(length), float(documents or length), float(attention or length**2))
+    columns = pieces.columns
     stored = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     full = (F.col("length") >= length) | (F.col("length") * F.col("length") >= capacity[2])
     groups = max(1, -(-stored.filter(~full).count() // group_pieces))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        number = int(group.pop("group").iloc[0])
+    def pack(group: pa.Table) -> pa.Table:
+        number = group["group"][0].as_py()
         bins, offsets = best_fit(group["length"].to_numpy(), capacity, weights, select)
-        return group.drop(columns="_row").assign(sequence_id=np.int64(2) * (number + np.int64(groups) * bins), offset=offsets)
+        out = group.select(columns).append_column("sequence_id", pa.array(2 * (number + groups * bins)))
+        return out.append_column("offset", pa.array(offsets))
 
     rest = stored.filter(~full).withColumn("group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    fitted = rest.groupBy("group").applyInPandas(pack, schema)
+    fitted = rest.groupBy("group").applyInArrow(pack, schema)
     alone = stored.filter(full).drop("_row").withColumns(
         {"sequence_id": F.monotonically_increasing_id() * 2 + 1, "offset": F.lit(0).cast("long")}
     )

@@ -31,6 +31,7 @@ def kept_model(key: tuple, build: Callable[[], object]) -> object:
     if key not in _models:
         let_go()
         _models[key] = build()
+        give_back()
     return _models[key]
 
 
