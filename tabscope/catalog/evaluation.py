@@ -44,6 +44,13 @@ def agreement(spark, sf_dir):
     return E.agreement(_counts(spark, sf_dir)).select("split", F.round("kappa", 9).alias("kappa"), F.round("mcc", 9).alias("mcc"))
 
 
+def many_class_metrics(spark, sf_dir):
+    """Area and Matthews correlation of three classes."""
+    rows = derived(spark, sf_dir, "scored_classes").withColumn("scores", F.array("s0", "s1", "s2"))
+    both = E.many_class_auc(rows).join(E.matthews(E.class_counts(rows)), "split")
+    return both.select("split", F.round("auc", 9).alias("auc"), F.round("mcc", 9).alias("mcc"))
+
+
 def roc_curve(spark, sf_dir):
     curve = E.roc_curve(E.ordered_scores(_scored(spark, sf_dir)))
     return curve.select("split", F.round("threshold", 9).alias("threshold"), F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
@@ -126,6 +133,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         confusion_matrix, accuracy, balanced_accuracy, jaccard, classification_report, agreement, roc_curve, roc_auc,
+        many_class_metrics,
         evaluation_report, regression_metrics, model_leaderboard, train_test_split, train_test_split_exact,
         stratified_folds, mean_fold_accuracy,
     ]
@@ -176,6 +184,15 @@ _REPEATS = " UNION ALL ".join(
 _THRESHOLD_ROWS = ", ".join(f"('{n}', CAST({t} AS DOUBLE))" for n, t in _THRESHOLDS.items())
 
 ORACLES = {
+    "many_class_metrics": f"""WITH s AS ({sql_of('scored_classes')}), k AS (SELECT UNNEST(range(3)) AS k),
+g AS (SELECT split, k, CASE k WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS score, COUNT(*) FILTER (WHERE y = k) AS p, COUNT(*) FILTER (WHERE y <> k) AS q
+  FROM s, k GROUP BY ALL),
+b AS (SELECT *, COALESCE(SUM(p) OVER (PARTITION BY split, k ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM g),
+a AS (SELECT split, k, SUM(CAST(q AS DOUBLE) * (2 * above + p)) / (2.0 * SUM(p) * SUM(q)) AS auc, SUM(p) AS n FROM b GROUP BY split, k),
+t AS (SELECT split, k, COUNT(*) FILTER (WHERE y = k) AS t, COUNT(*) FILTER (WHERE pred = k) AS p, COUNT(*) FILTER (WHERE y = k AND pred = k) AS h FROM s, k GROUP BY split, k),
+m AS (SELECT split, (SUM(h) * SUM(t) - SUM(CAST(t AS DOUBLE) * p)) / SQRT((SUM(t) * SUM(t) - SUM(CAST(t AS DOUBLE) * t)) * (SUM(t) * SUM(t) - SUM(CAST(p AS DOUBLE) * p))) AS mcc
+  FROM t GROUP BY split)
+SELECT split, ROUND(SUM(auc * n) / SUM(n), 9) AS auc, ROUND(ANY_VALUE(mcc), 9) AS mcc FROM a JOIN m USING (split) GROUP BY split""",
     "confusion_matrix": f"""WITH {_C}, cells AS (
   SELECT split, y, pred FROM (SELECT DISTINCT split FROM s), (SELECT UNNEST([0, 1, 2]) AS y), (SELECT UNNEST([0, 1, 2]) AS pred))
 SELECT cells.split, cells.y, cells.pred, COALESCE(n, 0) AS count FROM cells LEFT JOIN c USING (split, y, pred)""",

@@ -70,6 +70,15 @@ SELECT l_orderkey, l_linenumber,
   CASE WHEN l_quantity * l_discount >= 1.25 THEN 1 ELSE 0 END AS pred,
   l_quantity * l_discount / 5 AS score,
   CASE WHEN l_shipdate < TIMESTAMP '1999-01-01 00:00:00' THEN 'train' ELSE 'test' END AS split
+FROM {lineitem}""",
+    # three classes, a score for each of them with ties, and a prediction that is often right
+    "scored_classes": """
+SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y,
+  CASE WHEN l_partkey % 3 = 0 THEN 1 WHEN l_returnflag = 'A' THEN 0 ELSE 2 END AS pred,
+  CAST((l_partkey * 37 + CASE WHEN l_returnflag = 'A' THEN 13 ELSE 0 END) % 101 AS DOUBLE) AS s0,
+  CAST((l_suppkey * 11 + CASE WHEN l_returnflag = 'N' THEN 9 ELSE 0 END) % 53 AS DOUBLE) AS s1,
+  l_quantity * l_discount AS s2,
+  CASE WHEN l_shipdate < TIMESTAMP '1999-01-01 00:00:00' THEN 'train' ELSE 'test' END AS split
 FROM {lineitem}""",
     # order histories as a churn table; customers without orders have no tenure and blank charges
     "churn": """

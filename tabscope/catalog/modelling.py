@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tabscope.catalog.inputs import derived, position_sql, sql_of
 from tabscope.functions.hashing import POSITION_BITS
@@ -17,7 +19,7 @@ from tabscope.operators.compare import compare_classifiers, compare_regressors,
 from tabscope.operators.leave_out import cross_validate_gaussian_bayes, cross_validate_linear
 from tabscope.operators.splitting import train_test_split
 from tabscope.plans.churn_report import NUMERIC, churn_report, prepare
-from tabscope.streaming.scoring import arriving_files, score_stream
+from tabscope.streaming.scoring import arriving_files, batch_writer, score_good_records, score_stream
 from tabscope.workspace import materialize, new_path
 
 KEY = ["c_custkey"]
@@ -109,6 +111,30 @@ def stream_matches_batch(spark, sf_dir):
     return both.agg(F.count("*").alias("scored"), F.count_if(~same).alias("different"))
 
 
+def stream_with_bad_records(spark, sf_dir):
+    """Records per kind of problem, and those scored, of a stream whose second batch was written twice."""
+    rows = _rows(spark, sf_dir)
+    fitted = M.model_pipeline(ROLES, "Churn", "dt").fit(_train(rows))
+    fields = rows.drop("Churn").withColumns(
+        {
+            "Segment": F.when(F.col("c_custkey") % 10 == 3, "SPACE").when(F.col("c_custkey") % 10 == 4, None).otherwise(F.col("Segment")),
+            "TotalCharges": F.when(F.col("c_custkey") % 15 == 3, float("nan")).when(F.col("c_custkey") % 15 == 5, None).otherwise(F.col("TotalCharges")),
+            "MonthlyCharges": F.when(F.col("c_custkey") % 11 == 3, float("inf")).otherwise(F.col("MonthlyCharges")),
+        }
+    )
+    arriving, target, side, checkpoint = (new_path(spark, name) for name in ("arriving", "scored", "unusable", "stream"))
+    fields.repartition(4, "c_custkey").write.parquet(arriving)
+    records = arriving_files(spark, arriving, fields.schema, files_per_batch=2)
+    score_good_records(fitted, records, ROLES, KEY, target, side, checkpoint).awaitTermination()
+    # the second batch again, as after a failure before its commit
+    seen = spark.read.parquet(target).filter("batch = 1").select("c_custkey").unionByName(spark.read.parquet(side).filter("batch = 1").select("c_custkey"))
+    again = fields.join(materialize(seen, "seen"), "c_custkey", "left_semi")
+    batch_writer(fitted, ROLES, KEY, target, side)(again, 1)
+    unusable = spark.read.parquet(side).select("c_custkey", F.array_join("problems", "; ").alias("problems"))
+    scored = spark.read.parquet(target).select("c_custkey", F.lit("").alias("problems"))
+    return scored.unionByName(unusable).groupBy("problems").agg(F.count("*").alias("records"), F.sum("c_custkey").alias("keys"))
+
+
 def cross_validation(spark, sf_dir):
     """Six folds, ten repeats, of logistic regression."""
     rows = _rows(spark, sf_dir)
@@ -175,6 +201,49 @@ def logistic_mean_probability(spark, sf_dir):
     return M.predictions(fitted, train, []).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_probability"))
 
 
+#: One round of each kind of model on features whose every cut the trees try; two of adaptive boosting.
+STUMP_ROLES = Roles(numeric=["tenure"], categorical=CATEGORIES, passthrough=[])
+STUMPS = {
+    "dt": ("dt", {"maxDepth": 1}),
+    "rf": ("rf", {"maxDepth": 1, "numTrees": 1, "featureSubsetStrategy": "all", "bootstrap": False}),
+    "gb": ("gb", {"maxDepth": 1, "maxIter": 1}),
+    "xgb": ("xgb", {"maxDepth": 1, "maxIter": 1}),
+    "ada": ("ada", {"maxIter": 2}),
+}
+SPENDING = """CASE WHEN MonthlyCharges < 220000 THEN 'low' WHEN MonthlyCharges > 250000 AND tenure > 62 THEN 'high' ELSE 'middle' END"""
+
+
+def _stumps(rows, target):
+    """``model, c_custkey, predicted, prob`` of every kind of model, as ``models.score`` gives them."""
+    parts = []
+    for name, (key, params) in STUMPS.items():
+        pipeline = M.model_pipeline(STUMP_ROLES, target, key, unseen="keep", **params)
+        made = pipeline.getStages()[-1]
+        for tree in [getattr(made, "inner", made)]:
+            if tree.hasParam("maxBins"):
+                tree.set(tree.maxBins, 128)
+        fitted = pipeline.fit(_train(rows))
+        parts.append(M.score(fitted, rows.drop(target), ["c_custkey"], "predicted").withColumn("model", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stumps_of_two_classes(spark, sf_dir):
+    """Churn by one round of each kind of model."""
+    return _stumps(_rows(spark, sf_dir), "Churn")
+
+
+def stumps_of_three_classes(spark, sf_dir):
+    """Spending in three classes by one round of each kind of model; boosting has a vote or a model per class."""
+    return _stumps(_rows(spark, sf_dir).withColumn("Spending", F.expr(SPENDING)), "Spending")
+
+
+def majority_folds(spark, sf_dir):
+    """Cross-validated accuracy of a tree without a cut: the share of the majority, on sixty folds."""
+    estimator = M.model_pipeline(STUMP_ROLES, "Churn", "dt", unseen="keep", maxDepth=0)
+    board = M.cross_validate(_rows(spark, sf_dir), estimator, "Churn", KEY)
+    return board.withColumn("accuracy", F.round("accuracy", 9))
+
+
 def linear_folds(spark, sf_dir):
     """Least squares on sixty folds from the sums of one scan."""
     board = cross_validate_linear(_rows(spark, sf_dir), "TotalCharges", ["tenure"], KEY)
@@ -211,9 +280,10 @@ QUERIES = {
     for f in [
         standard_scaling, one_hot_encoding, label_encoding, column_transformer,
         *[_scored_by(k) for k in ("lr", "dt")],
-        *[_scored_by(k) for k in ("rf", "gb", "xgb", "ada")], logistic_mean_probability, linear_folds, gaussian_bayes_folds,
+        *[_scored_by(k) for k in ("rf", "gb", "xgb", "ada")], logistic_mean_probability, linear_folds,
+        stumps_of_two_classes, stumps_of_three_classes, majority_folds, gaussian_bayes_folds,
         naive_bayes_means, regression_line,
-        stream_scoring, stream_matches_batch, cross_validation, model_parameters, churn_evaluation,
+        stream_scoring, stream_matches_batch, stream_with_bad_records, cross_validation, model_parameters, churn_evaluation,
         experiment_setup, classifier_comparison, regressor_comparison,
     ]
 }
@@ -249,7 +319,71 @@ _PLACES = ", ".join(
 )
 _PLACED = " ".join(f"JOIN {p}s ON {p}v = x.{c}" for p, c in zip("sru", CATEGORIES))
 
+
+
+def _stumps_sql(target: str, classes: list[str], rounds: int = 2) -> str:
+    """Every model of ``STUMPS`` by Gini impurity over all cuts, in SQL."""
+    n = len(classes)
+    number = "CASE k " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(classes)) + " END"
+    names = ", ".join(f"'{c}'" for c in classes)
+    values = " UNION ALL ".join(
+        f"SELECT {i} AS f, {c if t else 0} AS t, {chr(39) * 2 if t else c} AS s FROM (SELECT DISTINCT {c} FROM r WHERE split = 'train')"
+        for i, (c, t) in enumerate([("tenure", True), ("Segment", False), ("Region", False), ("UrgentBuyer", True)])
+    )
+    steps = [
+        f"""x AS (SELECT *, {number} AS y FROM (SELECT *, {target} AS k FROM r)), vals AS ({values}),
+cand AS (SELECT c_custkey, split, y, f, t, s,
+  CASE f WHEN 0 THEN tenure <= t WHEN 1 THEN Segment <> s WHEN 2 THEN Region <> s ELSE UrgentBuyer <> t END AS lo FROM x CROSS JOIN vals),
+w0 AS (SELECT c_custkey, CAST(1 AS DOUBLE) AS w FROM x WHERE split = 'train')"""
+    ]
+    for i in range(rounds):
+        steps.append(
+            f"""side{i} AS (SELECT f, t, s, lo, y, SUM(w) AS w FROM cand JOIN w{i} USING (c_custkey) GROUP BY ALL),
+best{i} AS (SELECT f, t, s FROM (SELECT f, t, s, lo, SUM(w * w) / SUM(w) AS pure FROM side{i} GROUP BY ALL)
+  GROUP BY f, t, s HAVING COUNT(*) = 2 ORDER BY ROUND(SUM(pure), 9) DESC, f, t, s LIMIT 1),
+leaf{i} AS (SELECT lo, y, w, SUM(w) OVER (PARTITION BY lo) AS n, ROW_NUMBER() OVER (PARTITION BY lo ORDER BY w DESC, y) AS place
+  FROM side{i} JOIN best{i} USING (f, t, s)),
+hit{i} AS (SELECT c.c_custkey, c.split, c.y AS truth, l.y AS pred, l.w / l.n AS p
+  FROM cand AS c JOIN best{i} USING (f, t, s) JOIN leaf{i} AS l ON l.lo = c.lo AND l.place = 1),
+vote{i} AS (SELECT total, CASE WHEN e >= 1 - 1.0 / {n} THEN {1 if i == 0 else 0} ELSE LN((1 - e) / e) + LN({n - 1}) END AS v
+  FROM (SELECT SUM(w) AS total, SUM(CASE WHEN pred <> truth THEN w ELSE 0 END) / SUM(w) AS e FROM hit{i} JOIN w{i} USING (c_custkey))),
+w{i + 1} AS (SELECT c_custkey, w / total * EXP(CASE WHEN pred <> truth THEN v ELSE 0 END) AS w FROM w{i} JOIN hit{i} USING (c_custkey), vote{i})"""
+        )
+    cast = " + ".join(f"vote{i}.v * CASE WHEN hit{i}.pred = y THEN 1 ELSE -1.0 / {n - 1} END" for i in range(rounds))
+    joined = " ".join(f"JOIN hit{i} USING (c_custkey)" for i in range(1, rounds))
+    steps.append(
+        f"""classes AS (SELECT UNNEST(range({n})) AS y),
+pruned AS (SELECT COUNT(DISTINCT y) = 1 AS same FROM leaf0 WHERE place = 1),
+share AS (SELECT y, w / SUM(w) OVER () AS p FROM (SELECT y, COUNT(*) AS w FROM x WHERE split = 'train' GROUP BY y)),
+tree AS (SELECT c_custkey, pred, CASE WHEN same THEN share.p ELSE hit0.p END AS p FROM hit0, pruned LEFT JOIN share ON share.y = hit0.pred),
+own AS (SELECT classes.y, f, t, s, lo, COUNT(*) AS n, COUNT(*) FILTER (WHERE cand.y = classes.y) AS k
+  FROM cand, classes WHERE split = 'train' GROUP BY ALL),
+cuts AS (SELECT y, f, t, s FROM (
+  SELECT y, f, t, s, ROW_NUMBER() OVER (PARTITION BY y ORDER BY ROUND(SUM((k * k + (n - k) * (n - k)) / n), 9) DESC, f, t, s) AS place
+  FROM own GROUP BY y, f, t, s HAVING COUNT(*) = 2) WHERE place = 1),
+boosted AS (SELECT c.c_custkey, own.y, 1 / (1 + EXP(-2 * (2.0 * k / n - 1))) AS p
+  FROM cuts JOIN own USING (y, f, t, s) JOIN cand AS c ON c.f = own.f AND c.t = own.t AND c.s = own.s AND c.lo = own.lo),
+voted AS (SELECT c_custkey, classes.y, EXP(({cast}) / ({' + '.join(f'vote{i}.v' for i in range(rounds))}) / {max(2, n - 1)}) AS p
+  FROM hit0 {joined}, classes, {', '.join(f'vote{i}' for i in range(rounds))}),
+shares AS (
+  SELECT model, c_custkey, y AS pred, p / SUM(p) OVER (PARTITION BY model, c_custkey) AS p,
+    ROW_NUMBER() OVER (PARTITION BY model, c_custkey ORDER BY ROUND(p, 12) DESC, y) AS place
+  FROM (SELECT UNNEST(['gb', 'xgb']) AS model, * FROM boosted UNION ALL SELECT 'ada', * FROM voted))"""
+    )
+    return f"""WITH {_ROWS}, {', '.join(steps)}
+SELECT model, c_custkey, [{names}][pred + 1] AS predicted, ROUND_EVEN(p * 100, 2) AS prob
+FROM (SELECT UNNEST(['dt', 'rf']) AS model, * FROM tree UNION ALL SELECT model, c_custkey, pred, p FROM shares WHERE place = 1)"""
+
+
 ORACLES = {
+    "stumps_of_two_classes": _stumps_sql("Churn", ["No", "Yes"]),
+    "stumps_of_three_classes": _stumps_sql(SPENDING, ["high", "low", "middle"]),
+    "majority_folds": f"""WITH {_ROWS}, a AS (SELECT repeat, fold, Churn FROM ({_folds_sql("Churn")}) JOIN r USING (c_custkey)),
+h AS (SELECT UNNEST(range(6)) AS own),
+m AS (SELECT repeat, own, Churn FROM (SELECT repeat, own, Churn, ROW_NUMBER() OVER (PARTITION BY repeat, own ORDER BY COUNT(*) DESC, Churn) AS place
+  FROM a JOIN h ON fold <> own GROUP BY repeat, own, Churn) WHERE place = 1)
+SELECT a.repeat, fold, ROUND(AVG(CASE WHEN a.Churn = m.Churn THEN 1.0 ELSE 0.0 END), 9) AS accuracy
+FROM a JOIN m ON m.repeat = a.repeat AND m.own = a.fold GROUP BY a.repeat, fold""",
     "standard_scaling": f"WITH {_FITTED} SELECT c_custkey, "
     + ", ".join(f"ROUND({z}, 6) AS {c}_scaled" for c, z in _Z.items())
     + " FROM r, k",
@@ -296,6 +430,10 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repeat, c_custkey ORDER BY odds
     ),
     "regression_line": f"WITH {_ROWS} SELECT ROUND(regr_slope(TotalCharges, tenure), 3) AS slope, ROUND(regr_intercept(TotalCharges, tenure), 3) AS intercept FROM r",
     "stream_matches_batch": f"WITH {_ROWS} SELECT COUNT(*) AS scored, CAST(0 AS BIGINT) AS different FROM r",
+    "stream_with_bad_records": f"""WITH {_ROWS} SELECT problems, COUNT(*) AS records, CAST(SUM(c_custkey) AS BIGINT) AS keys FROM (
+  SELECT c_custkey, CONCAT_WS('; ', CASE WHEN c_custkey % 11 = 3 THEN 'MonthlyCharges: no number' END,
+    CASE WHEN c_custkey % 15 IN (3, 5) THEN 'TotalCharges: no number' END, CASE WHEN c_custkey % 10 IN (3, 4) THEN 'Segment: not fitted' END) AS problems FROM r)
+GROUP BY problems""",
     "experiment_setup": f"""WITH raw AS ({sql_of('churn')}),
 i AS (SELECT *, TRY_CAST(TotalCharges AS DOUBLE) AS t, CASE WHEN {position_sql('40', 'c_custkey')} < {_CUT} THEN 'test' ELSE 'train' END AS split FROM raw),
 r AS (SELECT c_custkey, split, Segment, Region, UrgentBuyer, tenure, MonthlyCharges, COALESCE(t, (SELECT AVG(t) FROM i WHERE split = 'train')) AS TotalCharges FROM i),

@@ -1,4 +1,4 @@
-"""Adaptive boosting (SAMME) of decision stumps for two classes."""
+"""Adaptive boosting (SAMME) of decision stumps."""
 
 from __future__ import annotations
 
@@ -12,15 +12,17 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasStepSize
 from pyspark.sql import DataFrame, functions as F
 
+from tabscope.operators.multiclass import WeightedVotes, class_count
 from tabscope.workspace import materialize
 
 WEIGHT = "_weight"
 
 
 class StumpBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, HasStepSize):
-    """Fits to a ``PipelineModel`` of the stumps and one projection that adds up their votes.
+    """Fits to a ``PipelineModel`` of the stumps and one stage that adds up their votes.
 
-    Row weights are a column. Every ``storeEvery`` rounds the weighted table is
+    A stump of K classes is of use if its weighted error is below 1 - 1/K; its vote is
+    log((1 - error) / error) + log(K - 1). Row weights are a column. Every ``storeEvery`` rounds the weighted table is
     written, which keeps the plan of a round short.
     """
 
@@ -36,6 +38,7 @@ class StumpBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, HasStepS
         features, label = self.getFeaturesCol(), self.getLabelCol()
         rows = dataset.select(features, F.col(label).cast("double").alias(label), F.lit(1.0).alias(WEIGHT))
         rows = materialize(rows, "boosting")
+        classes = class_count(rows, label)
         stumps, votes = [], []
         for i in range(self.getMaxIter()):
             name = f"_stump_{i}"
@@ -53,12 +56,12 @@ class StumpBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, HasStepS
             voted = stump.transform(rows).drop(f"_raw_{i}", f"_probability_{i}")
             total, wrong = voted.agg(F.sum(WEIGHT), F.sum(F.col(WEIGHT) * missed)).first()
             error = wrong / total
-            if error >= 0.5:
+            if error >= 1.0 - 1.0 / classes:
                 if not stumps:
                     stumps.append(stump)
                     votes.append(1.0)
                 break
-            vote = 1.0 if error <= 0 else self.getStepSize() * math.log((1.0 - error) / error)
+            vote = 1.0 if error <= 0 else self.getStepSize() * (math.log((1.0 - error) / error) + math.log(classes - 1))
             stumps.append(stump)
             votes.append(vote)
             if error <= 0:
@@ -67,7 +70,7 @@ class StumpBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, HasStepS
             rows = voted.select(features, label, weight.alias(WEIGHT))
             if (i + 1) % self.getOrDefault(self.storeEvery) == 0:
                 rows = materialize(rows, "boosting")
-        return PipelineModel(stages=[*stumps, _vote(votes)])
+        return PipelineModel(stages=[*stumps, _vote(votes) if classes == 2 else WeightedVotes(classes=classes, votes=votes)])
 
 
 def _vote(votes: list[float]) -> SQLTransformer:

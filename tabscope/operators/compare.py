@@ -16,6 +16,7 @@ from tabscope.functions.columns import TIMES, as_measure, ref
 from tabscope.operators import evaluate as E
 from tabscope.operators.cleaning import Roles
 from tabscope.operators.features import ModeImputer, column_transformer, label_encoder
+from tabscope.operators.multiclass import OneAgainstRest
 from tabscope.operators.splitting import stratified_folds, train_test_split
 from tabscope.workspace import materialize
 
@@ -80,18 +81,16 @@ def set_up(
 
 def classification_candidates(classes: int = 2) -> dict[str, object]:
     """Candidates by name; two-class learners are wrapped for more classes."""
-
-    def two_class(estimator):
-        return estimator if classes <= 2 else C.OneVsRest(classifier=estimator)
+    several = classes > 2
 
     return {
         "Logistic Regression": C.LogisticRegression(maxIter=50),
         "Decision Tree Classifier": C.DecisionTreeClassifier(maxDepth=5, seed=0),
         "Random Forest Classifier": C.RandomForestClassifier(numTrees=50, maxDepth=6, seed=0),
-        "Gradient Boosting Classifier": two_class(C.GBTClassifier(maxIter=30, maxDepth=3, seed=0)),
+        "Gradient Boosting Classifier": OneAgainstRest(C.GBTClassifier(maxIter=30, maxDepth=3, seed=0)),
         "Naive Bayes": C.NaiveBayes(modelType="gaussian"),
-        "SVM - Linear Kernel": two_class(C.LinearSVC(maxIter=50)),
-        "Factorization Machine": two_class(C.FMClassifier(factorSize=4, stepSize=0.05, maxIter=50, seed=0)),
+        "SVM - Linear Kernel": C.OneVsRest(classifier=C.LinearSVC(maxIter=50)) if several else C.LinearSVC(maxIter=50),
+        "Factorization Machine": OneAgainstRest(C.FMClassifier(factorSize=4, stepSize=0.05, maxIter=50, seed=0)),
     }
 
 
@@ -132,8 +131,9 @@ def compare_classifiers(
 ) -> DataFrame:
     """Leaderboard of cross-validated class metrics on the training rows.
 
-    The encoding stages are fitted on the training part of each fold. AUC is
-    given for two classes and models that score, NULL otherwise.
+    The encoding stages are fitted on the training part of each fold. With more than two
+    classes recall, precision, F1 and AUC (each class against the rest) are weighted by the classes' rows. AUC
+    is NULL for models that do not score.
     """
     train = experiment.train
     encoder = label_encoder(experiment.target).fit(train)
@@ -145,16 +145,16 @@ def compare_classifiers(
 
     def scored(model, part: DataFrame, fold: int) -> DataFrame:
         out = model.transform(part)
-        score = F.lit(None).cast("double")
-        if classes == 2 and "probability" in out.columns:
-            score = F.get(vector_to_array("probability"), F.lit(1))
-        elif classes == 2 and "rawPrediction" in out.columns:
-            score = F.get(vector_to_array("rawPrediction"), F.lit(1))
+        scores = F.lit(None).cast("array<double>")
+        if "probability" in out.columns:
+            scores = vector_to_array("probability")
+        elif "rawPrediction" in out.columns:
+            scores = vector_to_array("rawPrediction")
         return out.select(
             F.lit(fold).alias("split"),
             F.col("label").cast("int").alias("y"),
             F.col("prediction").cast("int").alias("pred"),
-            score.alias("score"),
+            *([F.get(scores, F.lit(1)).alias("score")] if classes == 2 else [scores.alias("scores")]),
         )
 
     def metrics(rows: DataFrame) -> DataFrame:
@@ -164,7 +164,8 @@ def compare_classifiers(
             report = E.classification_report(counts).filter(F.col("class") == "weighted avg")
             weighted = report.groupBy("split").pivot("metric", ["precision", "recall", "f1-score"]).agg(F.first("value"))
             table = table.drop("precision", "recall", "f1").join(weighted.withColumnRenamed("f1-score", "f1"), "split")
-            table = table.withColumn("mcc", F.lit(None).cast("double"))
+            table = table.drop("mcc").join(E.matthews(counts), "split")
+            return table.join(E.many_class_auc(rows), "split", "left")
         return table.join(E.roc_auc(E.ordered_scores(rows)), "split", "left")
 
     return _compare(experiment, assigned, folds, candidates, scored, metrics, CLASS_METRICS, sort, False, parallelism)

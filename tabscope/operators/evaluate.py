@@ -161,6 +161,21 @@ def agreement(counts: DataFrame, positive=1) -> DataFrame:
     return class_metrics(counts, positive).select("split", "kappa", "mcc")
 
 
+def matthews(counts: DataFrame) -> DataFrame:
+    """``split, mcc`` of any number of classes, 0 where predictions or labels are all of one class."""
+    support, predicted = (F.col(c).cast("double") for c in ("support", "predicted"))
+    totals = class_totals(counts).groupBy("split").agg(
+        F.sum(support).alias("n"),
+        F.sum(F.col("hits").cast("double")).alias("right"),
+        F.sum(support * predicted).alias("both"),
+        F.sum(support * support).alias("actual"),
+        F.sum(predicted * predicted).alias("guessed"),
+    )
+    n = F.col("n")
+    spread = F.sqrt((n * n - F.col("actual")) * (n * n - F.col("guessed")))
+    return totals.select("split", F.coalesce(F.try_divide(F.col("right") * n - F.col("both"), spread), F.lit(0.0)).alias("mcc"))
+
+
 def ordered_scores(scored: DataFrame, split: str = "split", positive=1) -> DataFrame:
     """Positives and negatives per distinct score, in falling order, with their running totals."""
     hit = F.col("y") == positive
@@ -203,6 +218,23 @@ def roc_auc(ordered: DataFrame) -> DataFrame:
     )
 
 
+def many_class_auc(scored: DataFrame, split: str = "split") -> DataFrame:
+    """``split, auc`` of ``(y, scores)``: the areas of each class against the rest, weighted by its rows.
+
+    Class k's score is ``scores[k]``. A class without rows, or without others, has no area and no
+    weight; a split without any area is left out. Each row is read once for every class and counted per
+    distinct score before anything is shuffled.
+    """
+    own = (
+        scored.filter(F.col("y").isNotNull())
+        .select(ref(split).alias("_split"), "y", F.posexplode("scores").alias("_class", "score"))
+        .select(F.to_json(F.struct("_split", "_class")).alias("split"), "_split", (F.col("y") == F.col("_class")).cast("int").alias("y"), "score")
+    )
+    weights = own.groupBy("split", "_split").agg(F.sum("y").alias("_rows"))
+    areas = weights.join(roc_auc(ordered_scores(own)).filter("auc IS NOT NULL"), "split")
+    return areas.groupBy(F.col("_split").alias("split")).agg(F.try_divide(F.sum(F.col("auc") * F.col("_rows")), F.sum("_rows")).alias("auc"))
+
+
 def regression_metrics(scored: DataFrame, split: str = "split") -> DataFrame:
     """MAE, MSE, RMSE, R², RMSLE and MAPE of ``(y, pred)`` in one pass."""
     y, pred = F.col("y").cast("double"), F.col("pred").cast("double")

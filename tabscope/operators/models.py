@@ -18,6 +18,7 @@ from tabscope.functions.numbers import round_percent
 from tabscope.operators.boosting import StumpBoosting
 from tabscope.operators.cleaning import Roles
 from tabscope.operators.features import column_transformer, label_encoder
+from tabscope.operators.multiclass import OneAgainstRest
 from tabscope.operators.splitting import repeated_folds
 from tabscope.workspace import materialize
 
@@ -33,11 +34,12 @@ PRESETS = {
 
 
 def classifier(key: str, **params):
-    """An unfitted classifier by its key: lr, dt, rf, gb, xgb or ada."""
+    """An unfitted classifier of any number of classes by its key: lr, dt, rf, gb, xgb or ada."""
     if key not in PRESETS:
         raise ValueError(f"unknown model: {key}")
     kind, preset = PRESETS[key]
-    return kind(**{**preset, **params})
+    made = kind(**{**preset, **params})
+    return OneAgainstRest(made) if kind is GBTClassifier else made
 
 
 def model_pipeline(roles: Roles, target: str, key: str, unseen: str = "error", **params) -> Pipeline:

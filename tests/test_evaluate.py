@@ -127,3 +127,34 @@ def test_regression_metrics(spark):
     assert row.mae == pytest.approx(2 / 3) and row.mse == pytest.approx(0.5)
     assert row.r2 == pytest.approx(1 - 0.5 / (14 / 9))
     assert row.mape == pytest.approx((1 / 3 + 0.5) / 2)
+
+
+def test_many_classes_match_brute_force(spark):
+    """Area and Matthews correlation of four classes, one of which is absent in a split."""
+    import numpy as np
+
+    chance = np.random.default_rng(5)
+    rows = []
+    for name, n, classes in (("a", 120, 4), ("b", 90, 3), ("c", 5, 1)):
+        for _ in range(n):
+            y = int(chance.integers(0, classes))
+            scores = [float(v) for v in np.round(chance.random(4) + 0.4 * np.eye(4)[y], 1)]
+            rows.append((name, y, int(np.argmax(scores)), scores))
+    rows += [("b", None, 1, [0.0] * 4), ("b", 2, 2, None)]
+    df = spark.createDataFrame(rows, "split string, y int, pred int, scores array<double>")
+    areas = {r.split: r.auc for r in E.many_class_auc(df).collect()}
+    assert set(areas) == {"a", "b"}  # one class alone has no area
+    for name, auc in areas.items():
+        own = [(y, s) for split, y, _, s in rows if split == name and y is not None and s is not None]
+        sizes = {k: sum(y == k for y, _ in own) for k in range(4)}
+        each = {k: brute_auc([(int(y == k), s[k]) for y, s in own]) for k in range(4) if sizes[k]}
+        assert auc == pytest.approx(sum(each[k] * sizes[k] for k in each) / sum(sizes.values()), abs=1e-12)
+    found = {r.split: r.mcc for r in E.matthews(E.class_counts(df.filter("y IS NOT NULL"))).collect()}
+    for name in "ab":
+        own = [(y, p) for split, y, p, _ in rows if split == name and y is not None]
+        one_hot = [np.eye(4)[[side[i] for side in own]] for i in (0, 1)]
+        cov = lambda u, v: ((u - u.mean(0)) * (v - v.mean(0))).sum()
+        assert found[name] == pytest.approx(cov(*one_hot) / np.sqrt(cov(one_hot[0], one_hot[0]) * cov(one_hot[1], one_hot[1])))
+    two = scored(spark, random_rows(200, 9, 3))
+    assert E.matthews(E.class_counts(two)).first().mcc == pytest.approx(E.agreement(E.class_counts(two)).first().mcc)
+    assert E.many_class_auc(df.limit(0)).count() == 0 and E.matthews(E.class_counts(df.limit(0))).count() == 0

@@ -13,7 +13,7 @@ from tabscope.operators.cleaning import Roles
 from tabscope.operators.compare import compare_classifiers, compare_regressors, set_up
 from tabscope.plans.churn_report import churn_report
 from tabscope.plans.model_comparison import comparison_report
-from tabscope.streaming.scoring import arriving_files, score_stream
+from tabscope.streaming.scoring import arriving_files, batch_writer, checked, score_good_records, score_stream
 from pyspark.ml import classification as C, regression as R
 
 
@@ -129,6 +129,87 @@ def test_boosting_matches_brute_force(spark):
     assert got == pytest.approx(list(brute_boosting(x, y, 4)), abs=1e-9)
 
 
+def brute_many_classes(x, y, classes, rounds):
+    """Boosted stumps of one column for any number of classes: mean vote per class, and its softmax."""
+    w, votes, total = np.ones(len(y)), [], np.zeros((len(y), classes))
+    cuts = (np.unique(x)[:-1] + np.unique(x)[1:]) / 2
+    one_hot = np.eye(classes)[y.astype(int)]
+    for _ in range(rounds):
+        w = w / w.sum()
+
+        def impurity(mask):
+            own = (w[mask][:, None] * one_hot[mask]).sum(0)
+            return own.sum() - (own**2).sum() / own.sum()
+
+        best = min(cuts, key=lambda c: impurity(x <= c) + impurity(x > c))
+        pred = np.zeros(len(y))
+        for side in (x <= best, x > best):
+            pred[side] = (w[side][:, None] * one_hot[side]).sum(0).argmax()
+        error = w[pred != y].sum()
+        if error >= 1 - 1 / classes:
+            break
+        votes.append(math.log((1 - error) / error) + math.log(classes - 1))
+        w = w * np.exp(votes[-1] * (pred != y))
+        total += votes[-1] * np.where(np.eye(classes)[pred.astype(int)] == 1, 1, -1 / (classes - 1))
+    mean = total / sum(votes)
+    power = np.exp(mean / (classes - 1))
+    return mean.argmax(1), power / power.sum(1, keepdims=True)
+
+
+@pytest.mark.parametrize("classes", [3, 5])
+def test_boosting_of_many_classes_matches_brute_force(spark, tmp_path, classes):
+    from pyspark.ml.feature import VectorAssembler
+
+    chance = np.random.default_rng(classes)
+    x = np.arange(60, dtype=float)
+    y = np.minimum(x * classes // 60, classes - 1)
+    y = np.where(chance.random(60) < 0.2, chance.integers(0, classes, 60), y).astype(float)
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(pd.DataFrame({"x": x, "label": y})))
+    boosting = StumpBoosting(maxIter=5, storeEvery=2)
+    import tabscope.operators.boosting as B
+
+    tree = B.DecisionTreeClassifier
+    B.DecisionTreeClassifier = lambda **named: tree(maxBins=64, **named)
+    try:
+        fitted = boosting.fit(df)
+    finally:
+        B.DecisionTreeClassifier = tree
+    pred, shares = brute_many_classes(x, y, classes, 5)
+    fitted.write().save(str(tmp_path / "model"))
+    for model in (fitted, PipelineModel.load(str(tmp_path / "model"))):
+        got = model.transform(df).orderBy("x").select("prediction", vector_to_array("probability").alias("p")).collect()
+        assert [r.p for r in got] == [pytest.approx(list(s), abs=1e-9) for s in shares]
+        assert [r.prediction for r in got] == list(pred)
+
+
+@pytest.mark.parametrize("key", ["gb", "xgb", "ada", "rf"])
+def test_models_of_three_classes(spark, rows, tmp_path, key):
+    small = {"rf": {"numTrees": 5}, "gb": {"maxIter": 3}, "xgb": {"maxIter": 2}, "ada": {"maxIter": 4}}
+    roles = Roles(["tenure", "MonthlyCharges"], ["SeniorCitizen"], [])
+    three = rows.withColumn("Stage", F.expr("CASE WHEN tenure < 20 THEN 'early' WHEN MonthlyCharges > 70 THEN 'rich' ELSE 'other' END"))
+    fitted = M.model_pipeline(roles, "Stage", key, **small[key]).fit(three)
+    scored = M.predictions(fitted, three, [])
+    assert scored.agg(F.avg((F.col("y") == F.col("pred")).cast("int"))).first()[0] > 0.75
+    fitted.write().save(str(tmp_path / key))
+    fields = three.drop("Stage")
+    before = {r.id: (r.name, r.prob) for r in M.score(fitted, fields, ["id"], "name").collect()}
+    after = {r.id: (r.name, r.prob) for r in M.score(PipelineModel.load(str(tmp_path / key)), fields, ["id"], "name").collect()}
+    assert before == after and {n for n, _ in before.values()} == {"early", "rich", "other"}
+    assert all(100 / 3 <= p <= 100 for _, p in before.values())
+
+
+def test_a_class_without_rows(spark, rows):
+    """A class number that no training row has, as a fold may lack one."""
+    from pyspark.ml.feature import VectorAssembler
+
+    points = VectorAssembler(inputCols=["tenure"], outputCol="features").transform(rows)
+    points = points.withColumn("label", F.when(F.col("tenure") < 25, 0.0).otherwise(2.0))
+    for key in ("gb", "ada"):
+        out = M.classifier(key, maxIter=2).fit(points).transform(points)
+        assert {r.prediction for r in out.select("prediction").distinct().collect()} == {0.0, 2.0}
+        assert out.filter(F.col("label") != F.col("prediction")).count() == 0
+
+
 def test_cross_validation(rows):
     estimator = M.model_pipeline(ROLES, "Churn", "dt", unseen="keep", maxDepth=3)
     scores = M.cross_validate(rows, estimator, "Churn", ["id"], folds=3, repeats=2)
@@ -176,7 +257,7 @@ def test_comparisons(spark, frame):
     assert board[0].accuracy > board[1].accuracy and 0 <= board[0].auc <= 1
     three = set_up(df.drop("Churn"), "Contract", ["id"])
     wide = compare_classifiers(three, folds=2, candidates={"Tree": C.DecisionTreeClassifier(maxDepth=2)}).first()
-    assert wide.auc is None and 0 <= wide.f1 <= 1
+    assert 0 <= wide.auc <= 1 and -1 <= wide.mcc <= 1 and 0 <= wide.f1 <= 1
     report = comparison_report(
         df.drop("Churn"), "MonthlyCharges", "Regression", ["id"], folds=2, candidates={"Linear": R.LinearRegression(), "Tree": R.DecisionTreeRegressor()}
     )
@@ -230,6 +311,46 @@ def test_stream_equals_batch(spark, rows, tmp_path):
     assert spark.read.parquet(target).count() == len(batch) + 5
 
 
+def test_stream_sets_bad_records_aside(spark, rows, tmp_path, monkeypatch):
+    """Good records are scored as in a batch; a batch that comes again adds nothing."""
+    fields = rows.drop("Churn").withColumns(
+        {
+            "Contract": F.when(F.col("id") % 10 == 1, "decade").when(F.col("id") % 10 == 2, None).otherwise(F.col("Contract")),
+            "tenure": F.when(F.col("id") % 10 == 2, None).otherwise(F.col("tenure")),
+            "MonthlyCharges": F.when(F.col("id") % 10 == 3, float("nan")).when(F.col("id") % 10 == 4, float("-inf")).otherwise(F.col("MonthlyCharges")),
+        }
+    )
+    source = str(tmp_path / "in")
+    fields.repartition(3).write.parquet(source)
+    good = fields.filter("id % 10 NOT IN (1, 2, 3, 4)")
+    for listed in (10_000, 2):  # categories in the model, and in a table
+        monkeypatch.setattr(X, "LISTED_VALUES", listed)
+        fitted = M.model_pipeline(ROLES, "Churn", "dt").fit(rows)
+        target, side, checkpoint = (str(tmp_path / f"{d}{listed}") for d in ("out", "side", "checkpoint"))
+
+        def run():
+            records = arriving_files(spark, source, fields.schema, 1)
+            score_good_records(fitted, records, ROLES, ["id"], target, side, checkpoint).awaitTermination()
+            return sorted((r.id, r.prediction_label, r.prob) for r in spark.read.parquet(target).collect())
+
+        expected = sorted((r.id, r.prediction_label, r.prob) for r in M.score(fitted, good, ["id"]).collect())
+        assert run() == expected and run() == expected
+        unusable = spark.read.parquet(side)
+        aside = unusable.count()
+        assert aside == fields.count() - len(expected)
+        said = {(r.id % 10, tuple(r.problems)) for r in unusable.collect()}
+        assert said == {(1, ("Contract: not fitted",)), (2, ("tenure: no number", "Contract: not fitted")), (3, ("MonthlyCharges: no number",)), (4, ("MonthlyCharges: no number",))}
+        commits = sorted(p for p in (tmp_path / f"checkpoint{listed}" / "commits").iterdir() if p.name.isdigit())
+        assert [p.name for p in commits] == ["0", "1", "2"]
+        for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):  # as if it had ended before its commit
+            p.unlink(missing_ok=True)
+        assert run() == expected and spark.read.parquet(side).count() == aside
+    write = batch_writer(fitted, ROLES, ["id"], str(tmp_path / "none"), str(tmp_path / "aside"))
+    write(fields.limit(0), 0)
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+    assert checked(fitted, good, ROLES).filter("size(problems) > 0").count() == 0
+
+
 def _many(spark, n):
     return spark.range(n).select(
         F.col("id"), F.concat(F.lit("v"), F.col("id") % (n // 2)).alias("t"), ((F.col("id") * 7) % (n // 3) - 5).cast("double").alias("d"), F.lit("x").alias("few")
