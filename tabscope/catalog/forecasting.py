@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabscope.catalog.inputs import derived, sql_of
-from tabscope.operators import series as S
+from tabscope.operators import backtest as B, series as S
 from tabscope.plans.sales_report import sales_report, sales_row
 
 SERIES = ["series"]
-MONTHS = 6
+MONTHS, LONG = 6, 14
 ALPHA, BETA = 0.3, 0.1
 
 
@@ -61,6 +61,21 @@ def actual_and_forecast(spark, sf_dir):
     return _rounded(both, "forecast").withColumn("actual", F.round("actual", 2))
 
 
+def rolling_forecasts(spark, sf_dir):
+    """Forecasts of one to fourteen months from every month with two years behind it."""
+    return _rounded(B.rolling_forecasts(_monthly(spark, sf_dir), LONG, SERIES), "y", "yhat", "error")
+
+
+def forecast_with_error_bands(spark, sf_dir):
+    ahead = B.forecast_with_error_bands(_monthly(spark, sf_dir), MONTHS, SERIES)
+    return _rounded(ahead, "yhat", "yhat_lower", "yhat_upper")
+
+
+def band_coverage(spark, sf_dir):
+    """Of the 80 % bands, by horizon: forecasts judged and within."""
+    return B.band_coverage(B.rolling_forecasts(_monthly(spark, sf_dir), MONTHS, SERIES), SERIES)
+
+
 def sales_report_row(spark, sf_dir):
     report = sales_report(derived(spark, sf_dir, "gappy_sales"), MONTHS, category="series")
     return sales_row(report, "trend_seasonal").select(
@@ -78,6 +93,7 @@ QUERIES = {
     for f in [
         monthly_totals, monthly_totals_single_series, future_calendar, trend_seasonal_forecast, last_forecast_rows,
         exponential_smoothing, exponential_smoothing_with_trend, actual_and_forecast, sales_report_row,
+        rolling_forecasts, forecast_with_error_bands, band_coverage,
     ]
 }
 
@@ -113,7 +129,37 @@ smoothed AS (
   FROM numbered GROUP BY series),
 ahead AS ({_ahead('SELECT * FROM smoothed', 2, MONTHS + 1)})"""
 
+
+
+def _rolled(months: int) -> str:
+    """Every origin's history copied and fitted anew."""
+    return f"""o AS (SELECT series, ds AS origin, ROW_NUMBER() OVER (PARTITION BY series ORDER BY ds) AS history FROM monthly),
+past AS (SELECT m.series, o.origin, m.ds, m.y, {_T} AS t FROM monthly AS m JOIN o ON o.series = m.series AND m.ds <= o.origin AND history >= {B.FIRST_HISTORY}),
+line AS (SELECT series, origin, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept FROM past GROUP BY ALL),
+season AS (SELECT p.series, p.origin, MONTH(ds) AS m, AVG(y - (intercept + slope * t)) AS effect FROM past AS p JOIN line AS l ON p.series = l.series AND p.origin = l.origin GROUP BY ALL),
+told AS (
+  SELECT m.series, l.origin, CAST(datediff('month', l.origin, m.ds) AS INTEGER) AS horizon, m.ds, y, intercept + slope * {_T} + COALESCE(effect, 0) AS yhat
+  FROM monthly AS m JOIN line AS l ON l.series = m.series AND m.ds > l.origin AND datediff('month', l.origin, m.ds) <= {months}
+  LEFT JOIN season AS s ON s.series = m.series AND s.origin = l.origin AND s.m = MONTH(m.ds)),
+rolled AS (SELECT *, y - yhat AS error FROM told)"""
+
+
 ORACLES = {
+    "rolling_forecasts": f"""WITH {_MONTHLY}, {_rolled(LONG)}
+SELECT series, origin, horizon, ds, ROUND(y, 1) AS y, ROUND(yhat, 1) AS yhat, ROUND(error, 1) AS error FROM rolled""",
+    "forecast_with_error_bands": f"""WITH {_FIT}, {_rolled(MONTHS)},
+bands AS (SELECT series, horizon, COUNT(*) AS errors, quantile_cont(error, 0.1) AS low, quantile_cont(error, 0.9) AS high FROM rolled GROUP BY ALL),
+f AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY series ORDER BY ds) AS INTEGER) AS horizon FROM forecast)
+SELECT f.series, ds, f.horizon, ROUND(yhat, 1) AS yhat,
+  ROUND(CASE WHEN errors >= {B.LEAST_ERRORS} THEN yhat + low ELSE yhat - {S.BAND} * sigma END, 1) AS yhat_lower,
+  ROUND(CASE WHEN errors >= {B.LEAST_ERRORS} THEN yhat + high ELSE yhat + {S.BAND} * sigma END, 1) AS yhat_upper, COALESCE(errors, 0) AS errors
+FROM f LEFT JOIN bands ON bands.series = f.series AND bands.horizon = f.horizon""",
+    "band_coverage": f"""WITH {_MONTHLY}, {_rolled(MONTHS)},
+judged AS (
+  SELECT a.series, a.horizon, a.origin, ANY_VALUE(a.error) AS error, COUNT(*) AS n, quantile_cont(b.error, 0.1) AS low, quantile_cont(b.error, 0.9) AS high
+  FROM rolled AS a JOIN rolled AS b ON a.series = b.series AND a.horizon = b.horizon AND b.ds <= a.origin GROUP BY ALL)
+SELECT series, horizon, COUNT(*) AS judged, COUNT(*) FILTER (WHERE error BETWEEN low AND high) AS covered
+FROM judged WHERE n >= {B.LEAST_ERRORS} GROUP BY series, horizon""",
     "monthly_totals": f"WITH {_MONTHLY} SELECT series, ds, ROUND(y, 2) AS y FROM monthly",
     "monthly_totals_single_series": f"WITH {_MONTHLY} SELECT ds, ROUND(SUM(y), 2) AS y FROM monthly GROUP BY ds",
     "future_calendar": f"WITH {_MONTHLY} SELECT series, ds FROM ({_ahead(_LAST, 1, MONTHS)})",

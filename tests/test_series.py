@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.operators import series as S
+from tabscope.operators import backtest as B, series as S
 from tabscope.plans.sales_report import sales_report, sales_row
 
 
@@ -110,3 +110,52 @@ def test_sales_report(table):
 def test_nan_adds_nothing_to_a_month(spark):
     df = spark.createDataFrame([("2020-01-05", 2.0), ("2020-01-06", float("nan"))], "d string, v double")
     assert [r.y for r in S.monthly_totals(df.withColumn("d", F.to_date("d")), "d", "v").collect()] == [2.0]
+
+
+def test_rolling_forecasts_equal_refits(table, sales):
+    """Every origin's history fitted by itself; a season may lie after the origin of a long forecast."""
+    monthly = S.monthly_totals(table, "datesold", "price", ["shop"])
+    rolled = B.rolling_forecasts(monthly, 15, ["shop"], first=7)
+    got = {(r.shop, r.origin, r.horizon): r for r in rolled.collect()}
+    values = monthly.orderBy("shop", "ds").toPandas()
+    expected = {}
+    for shop, part in values.groupby("shop"):
+        y, dates = part.y.to_numpy(), list(part.ds)
+        start = (dates[0].year - 1970) * 12 + dates[0].month - 1
+        for n in range(7, len(y)):
+            for h, (value, _) in enumerate(brute_trend(y[:n], start, min(15, len(y) - n)), 1):
+                expected[shop, dates[n - 1], h] = (dates[n + h - 1], y[n + h - 1], value)
+    assert set(got) == set(expected)
+    for key, (ds, y, value) in expected.items():
+        assert (got[key].ds, got[key].y) == (ds, y) and got[key].yhat == pytest.approx(value, abs=1e-6)
+
+
+def test_bands_of_real_errors(spark, table):
+    monthly = S.monthly_totals(table, "datesold", "price", ["shop"])
+    rolled = B.rolling_forecasts(monthly, 3, ["shop"], first=20).toPandas()
+    ahead = B.forecast_with_error_bands(monthly, 3, ["shop"], first=20, least=5).collect()
+    assert len(ahead) == 6
+    for r in ahead:
+        own = rolled[(rolled["shop"] == r.shop) & (rolled.horizon == r.horizon)].error
+        assert r.errors == len(own)
+        assert (r.yhat_lower - r.yhat, r.yhat_upper - r.yhat) == pytest.approx(tuple(own.quantile([0.1, 0.9])))
+    covered = {(r.shop, r.horizon): (r.judged, r.covered) for r in B.band_coverage(spark.createDataFrame(rolled), ["shop"], least=5).collect()}
+    for (shop, horizon), own in rolled.groupby(["shop", "horizon"]):
+        inside = []
+        for r in own.itertuples():
+            known = own[own.ds <= r.origin].error
+            if len(known) >= 5:
+                inside.append(known.quantile(0.1) <= r.error <= known.quantile(0.9))
+        assert covered[shop, horizon] == (len(inside), sum(inside))
+
+
+def test_short_series_keep_the_fitted_bands(spark):
+    rows = [("a", dt.date(2020, 1, 31), 1.0), ("a", dt.date(2020, 2, 29), 4.0), ("a", dt.date(2020, 3, 31), 2.0), (None, dt.date(2020, 1, 31), 3.0)]
+    monthly = spark.createDataFrame(rows, "s string, ds date, y double")
+    assert B.rolling_forecasts(monthly, 2, ["s"]).count() == 0
+    fitted = S.forecast_trend_seasonal(S.fit_trend_seasonal(monthly, ["s"]), 2, ["s"]).collect()
+    banded = B.forecast_with_error_bands(monthly, 2, ["s"]).collect()
+    key = lambda r: (r.s or "", r.ds)
+    assert [(r.s, r.ds, r.yhat, r.yhat_lower, r.errors) for r in sorted(banded, key=key)] == [(r.s, r.ds, r.yhat, r.yhat_lower, 0) for r in sorted(fitted, key=key)]
+    assert B.forecast_with_error_bands(monthly.limit(0), 2, ["s"]).count() == 0
+    assert B.rolling_forecasts(monthly.filter("s = 'a'").drop("s"), 1, first=2).count() == 1
