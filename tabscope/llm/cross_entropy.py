@@ -6,19 +6,20 @@ good. The vocabulary of both is the characters of the basic plane and one unknow
 document's score is the mean, over its characters, of the background's loss less the
 target's (Moore and Lewis, "Intelligent selection of language model training data", 2010).
 
-Tasks count the n-grams of slices of text and send each distinct one once; all further tables
-are sums of that one. An n-gram of any document is an n-gram of the background, so
-none is unknown when documents are scored. The losses reach the scoring tasks in blocks of
-bounded size; a document's sums over the blocks are added up.
+The texts are stored in slices of a few MB. Tasks count the n-grams of each slice and send each
+distinct one once; all further tables are sums of that one. An n-gram of any document is an n-gram of the
+background, so none is unknown when documents are scored. The losses are joined to the slices'
+n-grams by a shuffle and meet a slice's texts in one task, which holds no more of the model than
+the slice needs; nothing of the model passes the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabscope.functions.columns import ref
@@ -29,7 +30,6 @@ from tabscope.workspace import materialize
 ORDER = 4
 UNKNOWN, BEGIN = 0xFFFF, 0xFFFE  # code points that are no characters
 PRIOR = 5.0  # n-grams that the lower order counts for
-BLOCK_NGRAMS = 2_000_000
 SENT_IDS = 1_000_000  # target ids that are sent to the texts; more are joined by a shuffle
 _SLICE = 4 << 20
 
@@ -50,20 +50,43 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams[own], np.concatenate([[0], np.cumsum(lengths)])
 
 
+def numbered(texts: DataFrame) -> DataFrame:
+    """``texts`` (``id, text, good``) stored with the number of the slice that each row belongs to."""
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for n, batch in enumerate(slices(batches, max_bytes=_SLICE)):
+            yield batch.append_column("slice", pa.array(np.full(batch.num_rows, first + n, np.int64)))
+
+    schema = T.StructType([*texts.select("id", "text", "good").schema.fields, T.StructField("slice", T.LongType())])
+    return materialize(texts.select("id", "text", "good").mapInArrow(number, schema), "texts")
+
+
 def count(texts: DataFrame) -> DataFrame:
-    """``gram, n, target``: how often each n-gram stands in all texts and in target texts (``text, good``)."""
+    """``slice, gram, n, target``: how often each n-gram stands in a slice's texts and in its target texts.
 
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A slice that is read in parts has a row for each part.
+    """
+
+    def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=_SLICE):
+            own = batch["slice"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), batch.num_rows]
+            yield from (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:]))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
             grams, ends = ngrams(batch["text"].to_pylist())
             good = np.repeat(np.asarray(batch["good"].to_pylist(), bool), np.diff(ends))
             found, n = np.unique(grams, return_counts=True)
             own, times = np.unique(grams[good], return_counts=True)
             target = np.zeros(len(found), np.int64)
             target[np.searchsorted(found, own)] = times
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), pa.array(target)], names=["gram", "n", "target"])
+            number = np.full(len(found), batch["slice"][0].as_py(), np.int64)
+            columns = [number, found.view(np.int64), n, target]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["slice", "gram", "n", "target"])
 
-    return texts.select("text", "good").mapInArrow(scan, "gram long, n long, target long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+    return texts.select("text", "good", "slice").mapInArrow(scan, "slice long, gram long, n long, target long")
 
 
 def _suffix(gram: Column, characters: int) -> Column:
@@ -96,7 +119,6 @@ def cross_entropy_difference(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    block_ngrams: int = BLOCK_NGRAMS,
 ) -> DataFrame:
     """One row per document: ``id_col, n_tokens, background_loss, target_loss, score``.
 
@@ -106,52 +128,33 @@ def cross_entropy_difference(
     0 and 1 is a target. Repeated rows are counted and scored each; an empty table gives no
     rows; other columns are not read.
     """
-    spark = docs.sparkSession
     target = labels.where((ref(label_col) == 1) & ref(id_col).isNotNull()).select(ref(id_col).alias("id"), F.lit(True).alias("good")).distinct()
     rows = docs.select(ref(id_col).alias("id"), F.coalesce(ref(text_col), F.lit("")).alias("text"))
     flagged = attach(rows, target, ["id"], "left", SENT_IDS).withColumn("good", F.coalesce("good", F.lit(False)))
-    counts = materialize(count(flagged), "ngrams")
-    model = materialize(losses(counts), "losses")
-    blocks = max(1, -(-model.count() // block_ngrams))
-    if blocks > 1:
-        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
-    else:
-        rows = rows.withColumn("row", F.lit(0).cast("long"))
+    texts = numbered(flagged)
+    found = materialize(count(texts), "ngrams")
+    counts = materialize(found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("target").alias("target")), "counts")
+    needed = found.select("slice", "gram").join(materialize(losses(counts), "losses"), "gram")
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
-            T.StructField("row", T.LongType()),
             T.StructField("n_tokens", T.LongType()),
             T.StructField("background", T.DoubleType()),
             T.StructField("target", T.DoubleType()),
         ]
     )
 
-    def scored(number: int) -> DataFrame:
-        block = model.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == number).toArrow()  # about block_ngrams
-        grams = block["gram"].to_numpy().view(np.uint64)
-        order = np.argsort(grams)
-        known = spark.sparkContext.broadcast((grams[order], np.stack([block[c].to_numpy()[order] for c in ("background", "target")], 1)))
-
-        def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, values = known.value
-            for batch in slices(batches, max_bytes=_SLICE):
-                grams, ends = ngrams(batch["text"].to_pylist())
-                found = np.unique(grams)
-                own = np.zeros((len(found), 2))
-                if len(keys) and len(found):
-                    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                    own = np.where((keys[at] == found)[:, None], values[at], 0.0)
-                each = own[np.searchsorted(found, grams)]
-                sums = [np.concatenate([[0.0], np.cumsum(each[:, i])]) for i in (0, 1)]
-                sums = [s[ends[1:]] - s[ends[:-1]] for s in sums]
-                yield pa.RecordBatch.from_arrays([batch["id"], batch["row"], pa.array(np.diff(ends)), *map(pa.array, sums)], names=[f.name for f in schema])
-
-        return rows.select("id", "row", "text").mapInArrow(score, schema)
-
-    sums = reduce(DataFrame.unionByName, map(scored, range(blocks)))
-    if blocks > 1:
-        sums = sums.groupBy("id", "row", "n_tokens").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    def score(texts: pa.Table, model: pa.Table) -> pa.Table:
+        keys, first = np.unique(model["gram"].to_numpy().view(np.uint64), return_index=True)
+        grams, ends = ngrams(texts["text"].to_pylist())
+        at = np.searchsorted(keys, grams)  # every n-gram of a slice is among its own
+        sums = []
+        for name in ("background", "target"):
+            total = np.concatenate([[0.0], np.cumsum(model[name].to_numpy()[first][at])])
+            sums.append(pa.array(total[ends[1:]] - total[ends[:-1]]))
+        return pa.Table.from_arrays([texts["id"], pa.array(np.diff(ends)), *sums], names=[f.name for f in schema])
+
+    sums = texts.select("id", "text", "slice").groupBy("slice").cogroup(needed.groupBy("slice")).applyInArrow(score, schema)
     return sums.select(
         ref("id").alias(id_col),
         "n_tokens",

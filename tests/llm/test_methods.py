@@ -426,13 +426,15 @@ def test_toxicity_ngrams_over_blocks(monkeypatch):
 # cross-entropy difference
 
 
-@pytest.mark.parametrize("block", [10**6, 3])
-def test_cross_entropy(spark, block):
+@pytest.mark.parametrize("size", [8, 1 << 20])
+def test_cross_entropy(spark, size, monkeypatch):
+    """Against both models by definition; with slices of a text or two, and of all."""
+    monkeypatch.setattr(cross_entropy, "_SLICE", size)
     let_workers_import(spark)
     docs = [(1, "abcab a"), (2, None), (3, ""), (4, "zabc\U0001f600"), (5, "abcab a")]
     table = spark.createDataFrame(docs, "doc_id long, text string")
     label = spark.createDataFrame([(1, 1), (4, 0), (5, None)], "doc_id long, quality int")
-    found = {r.doc_id: r for r in cross_entropy.cross_entropy_difference(table, label, block_ngrams=block).collect()}
+    found = {r.doc_id: r for r in cross_entropy.cross_entropy_difference(table, label).collect()}
 
     def padded(text):
         return "￾" * 3 + "".join(c if ord(c) < 0x10000 else "￿" for c in text or "")
