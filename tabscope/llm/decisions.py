@@ -15,16 +15,25 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.struct(ref(id_col).alias("id"), F.xxhash64(ref(text_col)).alias("text"))
 
 
+def _unused(docs: DataFrame, name: str = "_key") -> str:
+    """A name that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, keys: DataFrame, sent: int = SENT_KEYS) -> DataFrame:
     """``docs`` less the rows whose ``row_key`` is in ``keys`` (column ``key``)."""
     return _matched(docs, keys, "left_anti", sent)
 
 
 def _matched(docs: DataFrame, keys: DataFrame, how: str, sent: int = SENT_KEYS) -> DataFrame:
-    stored = materialize(keys.select(F.col("key").alias("_key")).distinct(), "keys")
+    name = _unused(docs)
+    stored = materialize(keys.select(F.col("key").alias(name)).distinct(), "keys")
     if stored.count() <= sent:
         stored = F.broadcast(stored)
-    return docs.join(stored, row_key() == F.col("_key"), how)
+    return docs.join(stored, row_key() == F.col(name), how)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -38,5 +47,6 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     repeated = materialize(repeated, "repeated")
     if repeated.isEmpty():
         return kept
-    once = _matched(kept, repeated, "left_semi").withColumn("_key", row_key()).dropDuplicates(["_key"]).drop("_key")
+    name = _unused(docs)
+    once = _matched(kept, repeated, "left_semi").withColumn(name, row_key()).dropDuplicates([name]).drop(name)
     return without(kept, repeated).unionByName(once)

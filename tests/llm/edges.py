@@ -15,14 +15,14 @@ TEXTS = [
     (7, "éß日本語 \U0001f600 \x00 <|endoftext|>"), (8, "same words here again"), (9, "same words here again"),
     (9, "same words here again"), (9, "another text of the same id"), (None, "a row without an id"), (10, "2 ² Ⅷ !!"),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, row string, key int, label string, score string, bucket int, word string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, row string, key int, label string, score string, bucket int, word string, spans string, base_spans int, _tried string, _hex int, _key string, c0 string, `a.b` int"
 
 
 def documents(spark: SparkSession, rows: list | None = None) -> DataFrame:
     """The rows with columns whose names the operators use inside."""
     let_workers_import(spark)
     rows = TEXTS if rows is None else rows
-    return spark.createDataFrame([(i, t, "en" if i else None, "s", len(t or ""), 7, "r", 1, "l", "x", 0, "w") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en" if i else None, "s", len(t or ""), 7, "r", 1, "l", "x", 0, "w", "s", 2, "t", 3, "k", "c", 4) for i, t in rows], SCHEMA)
 
 
 def labels(spark: SparkSession, rows: list | None = None) -> DataFrame:
