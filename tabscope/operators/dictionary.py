@@ -22,10 +22,19 @@ from tabscope.workspace import materialize, new_path
 TABLE = "dictionary"
 
 
+def _values(df: DataFrame, column: str) -> DataFrame:
+    values = df.select(ref(column).alias("v")).where("v IS NOT NULL").distinct()
+    return values.select("v", F.col("v").cast("string").alias("t"))
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """``v`` and its text ``t``, one row per value that is present."""
-    values = df.select(ref(column).alias("v")).where("v IS NOT NULL").distinct()
-    return materialize(values.select("v", F.col("v").cast("string").alias("t")), "values")
+    return materialize(_values(df, column), "values")
+
+
+def first_values(df: DataFrame, column: str, n: int) -> list[str]:
+    """The texts of the column's first ``n`` values in their own order, found in one job."""
+    return [r["t"] for r in _values(df, column).orderBy("v").limit(n).collect()]
 
 
 def numbered(values: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabscope.functions.columns import ref
 from tabscope.operators.cleaning import Roles
-from tabscope.operators.dictionary import ValueDictionaryModel, distinct_values, store_dictionary
+from tabscope.operators.dictionary import ValueDictionaryModel, distinct_values, first_values, store_dictionary
 from tabscope.operators.profile import COLUMNS_PER_SCAN, top_values
 
 HASH_WIDTH = 1 << 10
@@ -79,8 +79,8 @@ LISTED_VALUES = 10_000
 class ValueIndexer(Estimator, HasInputCols, HasOutputCols, HasHandleInvalid):
     """Places of a column's values in their own order: numbers by value, texts by letter.
 
-    Columns of up to ``LISTED_VALUES`` values, which are counted on Spark first, become a list in the
-    model; the others are numbered on Spark and stay a table (``operators.dictionary``).
+    Columns of up to ``LISTED_VALUES`` values become a list in the model; of the others one value more
+    reaches the driver, they are numbered on Spark and stay a table (``operators.dictionary``).
     """
 
     @keyword_only
@@ -92,16 +92,15 @@ class ValueIndexer(Estimator, HasInputCols, HasOutputCols, HasHandleInvalid):
     def _fit(self, dataset: DataFrame) -> StringIndexerModel | ValueDictionaryModel | PipelineModel:
         inputs, outputs = self.getOrDefault("inputCols"), self.getOrDefault("outputCols")
         spark, invalid = dataset.sparkSession, self.getOrDefault("handleInvalid")
-        values = {c: distinct_values(dataset, c) for c in inputs}
-        short = [c for c in inputs if values[c].count() <= LISTED_VALUES]
+        listed = {c: first_values(dataset, c, LISTED_VALUES + 1) for c in inputs}
+        short = [c for c in inputs if len(listed[c]) <= LISTED_VALUES]
         long = [c for c in inputs if c not in short]
         output = dict(zip(inputs, outputs))
         stages: list = []
         if short:
-            labels = [[r["t"] for r in values[c].orderBy("v").collect()] for c in short]
-            stages.append(_indexer_model(spark, labels, short, [output[c] for c in short], invalid))
+            stages.append(_indexer_model(spark, [listed[c] for c in short], short, [output[c] for c in short], invalid))
         if long:
-            folder, sizes = store_dictionary(spark, [values[c] for c in long])
+            folder, sizes = store_dictionary(spark, [distinct_values(dataset, c) for c in long])
             stages.append(ValueDictionaryModel(inputCols=long, outputCols=[output[c] for c in long], handleInvalid=invalid, folder=folder, sizes=sizes))
         return stages[0] if len(stages) == 1 else PipelineModel(stages=stages)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -12,8 +13,10 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.wrapper import JavaEstimator
 from pyspark.sql import DataFrame, functions as F
 
+from tabscope.functions.columns import ref
 from tabscope.functions.numbers import round_percent
 from tabscope.operators.boosting import StumpBoosting
 from tabscope.operators.cleaning import Roles
@@ -85,6 +88,22 @@ def score(model: PipelineModel, rows: DataFrame, keep: list[str], output: str =
     )
 
 
+def split_last(estimator) -> tuple[Pipeline, object]:
+    """The stages before a pipeline's last one, and that one; no stages before any other estimator."""
+    stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
+    if not stages or not isinstance(stages[-1], Estimator):
+        return Pipeline(stages=[]), estimator
+    return Pipeline(stages=stages[:-1]), stages[-1]
+
+
+def read_by(estimator, columns: list[str]) -> list[str]:
+    """Of ``columns`` the label, the fold and those that a learner of Spark's names; all of them for any other."""
+    if not isinstance(estimator, JavaEstimator):
+        return columns
+    named = {value for param, value in estimator.extractParamMap().items() if param.name.endswith("Col")}
+    return [c for c in columns if c in named | {"label", "fold"}]
+
+
 def cross_validate(
     rows: DataFrame,
     estimator,
@@ -97,7 +116,8 @@ def cross_validate(
 ) -> DataFrame:
     """``repeat, fold, accuracy`` of repeated stratified folds; the whole estimator is refitted each time.
 
-    The rows are stored, then written with a fold column for each repeat.
+    The rows are stored, then written with a fold column for each repeat. A pipeline's last stage reads its
+    rows many times: what the fitted stages before it make of them is held in memory, or on disk, meanwhile.
     """
     assigned = materialize(repeated_folds(materialize(rows, "rows"), target, key, folds, repeats, seed), "folds")
     names = [f"_fold_{repeat}" for repeat in range(repeats)]
@@ -105,9 +125,15 @@ def cross_validate(
     def one(job: tuple[int, int]) -> tuple[int, int, float]:
         repeat, fold = job
         own = assigned.withColumnRenamed(names[repeat], "_own").drop(*names).withColumnRenamed("_own", "fold")
-        model = estimator.fit(own.filter(F.col("fold") != fold))
-        held_out = model.transform(own.filter(F.col("fold") == fold))
-        share = held_out.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
+        before, last = split_last(estimator.copy())
+        encoded = before.fit(own.filter(F.col("fold") != fold)).transform(own)
+        encoded = encoded.select(*[ref(c) for c in read_by(last, encoded.columns)]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = last.fit(encoded.filter(F.col("fold") != fold))
+            held_out = model.transform(encoded.filter(F.col("fold") == fold))
+            share = held_out.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
+        finally:
+            encoded.unpersist()
         return repeat, fold, share
 
     jobs = [(repeat, fold) for repeat in range(repeats) for fold in range(folds)]
