@@ -71,7 +71,7 @@ class OneAgainstRest(Estimator, HasFeaturesCol, HasLabelCol):
         features, label = self.getFeaturesCol(), self.getLabelCol()
         classes = class_count(dataset, label)
         if classes == 2:
-            return self.inner.fit(dataset)
+            return self.inner.copy().fit(dataset)  # a shared learner may be fitted by several threads
         rows = materialize(dataset.select(features, F.col(label).cast("int").alias("_class")), "one_against_rest")
 
         def one(k: int):
