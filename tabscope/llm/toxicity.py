@@ -36,7 +36,10 @@ FILTER_BITS = 24
 FEATURES = 32_768
 TRAIN_ROWS = 20_000
 LEAST_TEXTS = 3
-BLOCK = 1 << 19  # characters of text whose n-grams are held at a time
+SLICE = 1 << 19  # bytes of text whose n-grams are counted at a time
+BLOCK = 1 << 15  # characters of text whose n-grams are made at a time; few, to stay in the processor's cache
+NEAR_BITS = 18
+WAITING = 1 << 20  # keys that wait to be merged
 LEAST_CHI = 24.0  # of hundreds of thousands of n-grams, few reach this by chance
 REGULARIZATION = 3e-5
 
@@ -52,62 +55,99 @@ def _coded(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     parts = [f"\n{t.lower()}\n" for t in texts]
     begins = np.cumsum([0, *map(len, parts)], dtype=np.int64)
     whole, classes, mark = "".join(parts), _classes(), np.uint32(32)
-    codes, rows, last = np.empty(0, np.uint32), np.empty(0, np.int64), 2
+    codes, rows, last = np.empty(0, np.uint32), np.empty(0, np.int64), np.uint8([2])
     for low in range(0, len(whole), BLOCK):
         code = np.frombuffer(whole[low : low + BLOCK].encode("utf-32-le"), np.uint32)
-        row = np.searchsorted(begins, np.arange(low, low + len(code)), "right") - 1
-        kind = classes[code]
-        before = np.concatenate([[np.uint8(last)], kind[:-1]])
-        last = kind[-1]
-        edge = (kind != before) & (kind != 2) & (before != 2)
-        code, row = np.repeat(np.where(kind == 2, mark, code), 1 + edge), np.repeat(row, 1 + edge)
-        at = np.flatnonzero(edge)
-        code[at + np.arange(len(at))] = mark
+        kind = classes.take(code, mode="clip")
+        before = np.append(last, kind[:-1])
+        last = kind[-1:]
+        first, end = np.searchsorted(begins, (low, low + len(code) - 1), "right") + (-1, 0)  # the block's rows
+        bounds = np.clip(begins[first : end + 1] - low, 0, len(code))
+        again = (kind & before) == 2
+        again[bounds[:-1][begins[first:end] >= low]] = False  # the white space before is another row's
+        gone, edge = np.flatnonzero(again), np.flatnonzero((kind ^ before) == 1)
+        code = np.insert(np.where(kind == 2, mark, code)[~again], edge - np.searchsorted(gone, edge), mark)
+        row = np.repeat(np.arange(first, end), np.diff(bounds - np.searchsorted(gone, bounds) + np.searchsorted(edge, bounds)))
         code, row = np.concatenate([codes, code]), np.concatenate([rows, row])
-        again = np.zeros(len(code), bool)
-        again[1:] = (code[1:] == mark) & (code[:-1] == mark) & (row[1:] == row[:-1])
-        code, row = code[~again], row[~again]
         yield code, row
         codes, rows = code[1 - LONG[-1] :], row[1 - LONG[-1] :]
 
 
-def _hashed(codes: np.ndarray, rows: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each order, 64-bit hashes of the n-grams within a row, and their rows."""
-    h = np.zeros(len(codes), np.uint64)
+def _hashed(codes: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each order, and 64-bit hashes of the n-grams from every place on, also those that run into the next row."""
+    codes = codes.astype(np.uint64)
+    h, high = np.zeros(len(codes), np.uint64), np.empty(len(codes), np.uint64)
     for i in range(min(orders[-1], len(codes))):
-        h = (h[: len(codes) - i] + codes[i:]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
+        h = h[: len(codes) - i]
+        h += codes[i:]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= np.right_shift(h, np.uint64(32), out=high[: len(h)])
         if i + 1 in orders:
-            inside = rows[: len(h)] == rows[i:]  # not over the border of two texts
-            yield (h[inside] + np.uint64(i)) * np.uint64(0xBF58476D1CE4E5B9), rows[: len(h)][inside]
+            yield i + 1, (h + np.uint64(i)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _looked_up(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The table's entries by the first bits of hashes."""
+    return table.take((h >> np.uint64(65 - len(table).bit_length())).view(np.int64), mode="clip")
+
+
+def _within(rows: np.ndarray, order: int) -> np.ndarray:
+    """Of each place, whether an n-gram from it on ends in the same row."""
+    return rows[: len(rows) - order + 1] == rows[order - 1 :]
 
 
 def short_present(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of every short n-gram that a text holds."""
-    keys = [np.empty(0, np.int64)]
-    for block in _coded(texts):
-        for h, row in _hashed(*block, SHORT):
-            keys.append(np.unique(row << HASH_BITS | (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)))
-    key = np.unique(np.concatenate(keys))
+
+    def keys() -> Iterator[np.ndarray]:
+        for codes, rows in _coded(texts):
+            for order, h in _hashed(codes, SHORT):
+                key = rows[: len(h)] << HASH_BITS | (h >> np.uint64(64 - HASH_BITS)).view(np.int64)
+                yield key[_within(rows, order)]
+
+    key = _distinct(keys(), np.int64)
     return key >> HASH_BITS, key & ((1 << HASH_BITS) - 1)
 
 
 def long_counts(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every long n-gram and the number of texts that hold it; ``wanted`` tells by the first bits which to count."""
-    keys = [np.empty(0, np.uint64)]
-    for at in range(0, len(texts), 1 << ROW_BITS):
-        for block in _coded(texts[at : at + (1 << ROW_BITS)]):
-            for h, row in _hashed(*block, LONG):
+
+    def keys(some: list[str]) -> Iterator[np.ndarray]:
+        for codes, rows in _coded(some):
+            for order, h in _hashed(codes, LONG):
+                own = _within(rows, order)
                 if wanted is not None:
-                    own = wanted[h >> np.uint64(64 - FILTER_BITS)]
-                    h, row = h[own], row[own]
-                keys.append(_once(h >> np.uint64(64 - LONG_BITS) << np.uint64(ROW_BITS) | row.astype(np.uint64)))
-    return np.unique(_once(np.concatenate(keys)) >> np.uint64(ROW_BITS), return_counts=True)
+                    own &= _looked_up(wanted, h)
+                yield h[own] >> np.uint64(64 - LONG_BITS) << np.uint64(ROW_BITS) | rows[: len(h)][own].view(np.uint64)
+
+    parts = [_distinct(keys(texts[at : at + (1 << ROW_BITS)]), np.uint64) for at in range(0, len(texts), 1 << ROW_BITS)]
+    found = np.sort(np.concatenate([np.empty(0, np.uint64), *parts]) >> np.uint64(ROW_BITS))
+    first = np.flatnonzero(_first(found))
+    return found[first], np.diff(np.append(first, len(found)))
+
+
+def _first(sorted_keys: np.ndarray) -> np.ndarray:
+    """Of each sorted key, whether it is not the one before."""
+    first = np.ones(len(sorted_keys), bool)
+    np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=first[1:])
+    return first
 
 
 def _once(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
-    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    return keys[_first(keys)]
+
+
+def _distinct(parts: Iterable[np.ndarray], kind: type) -> np.ndarray:
+    """The keys of all parts, sorted, each once. They are merged when more wait than are known, so
+    the repeats of a very long text take no room."""
+    known, waiting, n = np.empty(0, kind), [], 0
+    for part in parts:
+        waiting.append(_once(part))
+        n += len(waiting[-1])
+        if n > max(WAITING, len(known)):
+            known, waiting, n = _once(np.concatenate([known, *waiting])), [], 0
+    return _once(np.concatenate([known, *waiting]))
 
 
 @dataclass
@@ -124,21 +164,25 @@ class Model:
         Texts are read in blocks, so one that is very long takes no more room than others.
         """
         size = len(self.weights)
-        keys = [np.empty(0, np.int64)]
-        near = np.zeros(1 << HASH_BITS, bool)
-        near[self.long >> np.uint64(LONG_BITS - HASH_BITS)] = True
-        for codes, rows in _coded(texts):
-            for h, row in _hashed(codes, rows, SHORT):
-                number = self.table[h >> np.uint64(64 - HASH_BITS)]
-                at = np.flatnonzero(number)
-                keys.append(np.unique(row[at] * size + number[at]))
-            for h, row in _hashed(codes, rows, LONG) if len(self.long) else ():
-                at = np.flatnonzero(near[h >> np.uint64(64 - HASH_BITS)])
-                h = h[at] >> np.uint64(64 - LONG_BITS)
-                place = np.minimum(np.searchsorted(self.long, h), len(self.long) - 1)
-                own = self.long[place] == h
-                keys.append(np.unique(row[at[own]] * size + self.numbers[place[own]]))
-        key = np.unique(np.concatenate(keys))
+        near = np.zeros((2, 1 << NEAR_BITS), bool)  # whether the hash of a short or long feature begins so
+        near[0, np.flatnonzero(self.table) >> (HASH_BITS - NEAR_BITS)] = True
+        near[1, self.long >> np.uint64(LONG_BITS - NEAR_BITS)] = True
+
+        def keys() -> Iterator[np.ndarray]:
+            for codes, rows in _coded(texts):
+                for order, h in _hashed(codes, SHORT + LONG if len(self.long) else SHORT):
+                    at = np.flatnonzero(_looked_up(near[int(order in LONG)], h))
+                    at = at[rows[at] == rows[at + (order - 1)]]
+                    if order in LONG:
+                        found = h[at] >> np.uint64(64 - LONG_BITS)
+                        place = np.minimum(np.searchsorted(self.long, found), len(self.long) - 1)
+                        number = np.where(self.long[place] == found, self.numbers[place], 0)
+                    else:
+                        number = _looked_up(self.table, h[at]).astype(np.int64)
+                    own = np.flatnonzero(number)
+                    yield rows[at[own]] * size + number[own]
+
+        key = _distinct(keys(), np.int64)
         return key // size, key % size
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -161,7 +205,7 @@ def train(labelled: DataFrame, features: int = FEATURES, smoothing: float = 1.0)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, 1 << HASH_BITS), np.int32)  # a task's sums
-        for batch in slices(batches, max_bytes=BLOCK):
+        for batch in slices(batches, max_bytes=SLICE):
             label = batch["label"].to_numpy(zero_copy_only=False)
             row, feature = short_present(batch["text"].to_pylist())
             for k in (0, 1):
@@ -179,7 +223,7 @@ def train(labelled: DataFrame, features: int = FEATURES, smoothing: float = 1.0)
     all_rows, a, b = float(toxic + other), F.col("a"), F.col("b")
 
     def count_long(batches: Iterable[pa.RecordBatch], wanted=None) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=BLOCK):
+        for batch in slices(batches, max_bytes=SLICE):
             found, n = long_counts(batch["text"].to_pylist(), wanted.value if wanted else None)
             for i in range(0, len(found), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], names=["feature", "n"])
@@ -214,7 +258,7 @@ def train(labelled: DataFrame, features: int = FEATURES, smoothing: float = 1.0)
     size = len(ratios)
 
     def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=BLOCK):
+        for batch in slices(batches, max_bytes=SLICE):
             row, feature = shared.value.present(batch["text"].to_pylist())
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = [feature[a:b].tolist() for a, b in zip(ends, ends[1:])]
@@ -264,7 +308,7 @@ def toxicity(
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=2 * BLOCK):
+        for batch in slices(batches, max_bytes=2 * SLICE):
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(model.value.scores(batch["text"].to_pylist()))], names=["id", "score"])
 
     return keyed_text(docs, id_col, text_col).mapInArrow(score, schema).select(
@@ -278,7 +322,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        parts = slices([pa.RecordBatch.from_arrays([texts], names=["text"])], max_bytes=2 * BLOCK)
+        parts = slices([pa.RecordBatch.from_arrays([texts], names=["text"])], max_bytes=2 * SLICE)
         scores = [model.value.scores(part["text"].to_pylist()) for part in parts]
         return pa.array(np.concatenate(scores) if scores else np.empty(0))
 

@@ -423,6 +423,49 @@ def test_toxicity_ngrams_over_blocks(monkeypatch):
         assert sorted(n.tolist()) == sorted(held.values())
 
 
+def test_toxicity_scoring_hashes_a_character_once(monkeypatch):
+    """Features of both lengths in one pass, and the same ones in blocks of any size, however few keys wait."""
+    texts = ["", "Ab,c  d\n", "абвгдежзик " * 3, "x" * 30, "один два, три", "c  d, один два"]
+    hashed, hashes = [], toxicity._hashed
+    monkeypatch.setattr(toxicity, "_hashed", lambda codes, *rest: hashed.append(len(codes)) or hashes(codes, *rest))
+    row, short = toxicity.short_present(texts)
+    long, _ = toxicity.long_counts(texts)
+    table = np.zeros(1 << toxicity.HASH_BITS, np.uint16)
+    chosen = np.unique(short)[::3]
+    table[chosen] = np.arange(1, len(chosen) + 1)
+    every = long[::2]
+    model = toxicity.Model(table, np.ones(len(chosen) + len(every) + 1), 0.0, every, np.arange(len(every)) + len(chosen) + 1)
+    least = {(r, n) for r, n in zip(row.tolist(), table[short].tolist()) if n}
+    for r, text in enumerate(texts):
+        least |= {(r, len(chosen) + 1 + int(i)) for i in np.flatnonzero(np.isin(every, toxicity.long_counts([text])[0]))}
+    hashed.clear()
+    for block, waiting in ((1 << 15, 1 << 20), (3, 1 << 20), (1 << 15, 2), (1, 1)):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "WAITING", waiting, raising=False)
+        row, number = model.present(texts)
+        assert list(zip(row.tolist(), number.tolist())) == sorted(least)
+        if block == 1 << 15:
+            assert len(hashed) == 1
+        hashed.clear()
+
+
+def test_toxicity_ngrams_cost_a_few_sorts():
+    source = random.Random(3)
+    texts = [" ".join("".join(source.choices("abcdefghij", k=source.randint(2, 9))) for _ in range(300)) for _ in range(200)]
+    keys = np.random.default_rng(0).integers(0, 1 << 62, 4 * sum(map(len, texts)))
+    toxicity.short_present(texts[:1])
+
+    def least(work):
+        took = []
+        for _ in range(3):
+            begun = time.process_time()
+            work()
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    assert least(lambda: toxicity.short_present(texts)) < 20 * least(lambda: np.sort(keys))
+
+
 # cross-entropy difference
 
 
