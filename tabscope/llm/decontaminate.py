@@ -28,6 +28,7 @@ from tabscope.workspace import materialize
 
 GRAM = 7
 BLOCK_BYTES = 32 << 20
+SLICE = 1 << 18  # bytes of text that a task looks through at a time; its arrays take some 40 times as much
 
 
 def kept(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -170,7 +171,7 @@ def contamination(
         shared = spark.sparkContext.broadcast(Block.of([(r.item, r.text) for r in rows], window, gram))
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
+            for batch in slices(batches, max_bytes=SLICE):
                 n_words, spans, owners, unnamed = [], [], [], []
                 for n, marks, ids in document_hits(batch["text"], shared.value):
                     n_words.append(n)

@@ -138,13 +138,14 @@ _known: dict[int, np.ndarray] = {}
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """The first ``n`` powers; those for slices of the usual size are kept."""
+    """The first ``n`` powers; those for slices of the usual size are kept, as many as were asked for so far."""
     known = _known.get(int(base))
     if known is None or len(known) < n:
-        out = np.full(max(n, SLICE_BYTES + 2), base, np.uint64)
+        usual = n <= SLICE_BYTES + 2
+        out = np.full(min(1 << max(n - 1, 0).bit_length(), SLICE_BYTES + 2) if usual else n, base, np.uint64)
         out[0] = 1
-        known = np.multiply.accumulate(out)
-        if len(known) <= SLICE_BYTES + 2:
+        known = np.multiply.accumulate(out, out=out)
+        if usual:
             _known[int(base)] = known
     return known[:n]
 
@@ -160,7 +161,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.empty(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), out=sums[1:])
+    own = np.add(data, np.uint64(1), out=sums[1:])
+    np.cumsum(np.multiply(own, _powers(_BASE, len(data)), out=own), out=own)
     return mixed((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts])
 
 

@@ -22,7 +22,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabscope.functions.columns import ref
@@ -255,20 +255,24 @@ def train(labelled: DataFrame, features: int = FEATURES, smoothing: float = 1.0)
     long = sorted((r.feature, i) for i, r in enumerate(chosen, 1) if r.long)
     model = Model(table, ratios, 0.0, np.array([h for h, _ in long], np.uint64), np.array([i for _, i in long], np.int64))
     shared = spark.sparkContext.broadcast(model)
-    size = len(ratios)
 
-    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scaled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sparse vectors, made where the texts are read: a second Python step would give each task a second worker, kept from then on."""
+        weights = shared.value.weights
         for batch in slices(batches, max_bytes=SLICE):
             row, feature = shared.value.present(batch["text"].to_pylist())
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            lists = [feature[a:b].tolist() for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(lists, pa.list_(pa.int64()))], names=["label", "features"])
-
-    @F.udf(VectorUDT())
-    def scaled(found: list[int]):
-        return Vectors.sparse(size, found, [float(ratios[i]) for i in found])
-
-    points = labelled.mapInArrow(held, "label int, features array<long>").select(F.col("label").cast("double").alias("label"), scaled("features").alias("features"))
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            n = np.ones(batch.num_rows, np.int32)
+            parts = {
+                "type": pa.array(0 * n, pa.int8()),  # sparse
+                "size": pa.array(len(weights) * n),
+                "indices": pa.ListArray.from_arrays(ends, pa.array(feature, pa.int32())),
+                "values": pa.ListArray.from_arrays(ends, pa.array(weights[feature])),
+            }
+            vectors = pa.StructArray.from_arrays([*parts.values()], names=[*parts])
+            yield pa.RecordBatch.from_arrays([batch["label"].cast(pa.float64()), vectors], names=["label", "features"])
+
+    points = labelled.mapInArrow(scaled, T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())]))
     fitted = LogisticRegression(regParam=REGULARIZATION, standardization=False, maxIter=50).fit(points)
     return Model(table, fitted.coefficients.toArray() * ratios, float(fitted.intercept), model.long, model.numbers)
 

@@ -4,18 +4,21 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log2
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from edges import BYTES, PIECES, WORDS
 from tokenizers import Tokenizer
 
 from tabscope.llm import components, cross_entropy, decontaminate, fingerprints, language, licenses, packing, queries, secrets, simhash, tokens, toxicity, transducer
+from tabscope.llm import texts as shared_texts
 from tabscope.llm.license_rules import BASE, rules
 from tabscope.session import let_workers_import
 from tabscope.workspace import materialize
@@ -341,6 +344,37 @@ def test_contamination(spark, block_bytes):
         assert {w for a, b in r.hit_spans for w in range(a, b)} == hit
 
 
+def test_decontamination_arrays_take_little_room(spark, monkeypatch):
+    vocabulary = [f"w{i}" for i in range(3000)]
+    source = random.Random(3)
+    texts = [" ".join(source.choices(vocabulary, k=800)) for _ in range(1000)]  # 5 MB in one batch
+    scans = []
+    docs = spark.createDataFrame([(0, "a")], "doc_id long, text string")
+    run = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, scan, schema: scans.append(scan) or run(df, scan, schema))
+    decontaminate.contamination(docs, spark.createDataFrame([("x", texts[7])], "item_id string, text string"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["id", "row", "text"])
+    shared_texts._known.clear()
+    tracemalloc.start()
+    try:
+        hits = sum(sum(map(bool, found["items"].to_pylist())) for found in scans[0]([batch]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert hits == 1 and most < 24e6
+    assert sum(p.nbytes for p in shared_texts._known.values()) < 8e6  # held by an idle worker
+
+
+def test_span_hashes_follow_their_definition():
+    for n in (1, 2, 3, 1000, 100):
+        data = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
+        starts = np.arange(n)
+        ends = np.minimum(starts + 5, n)
+        base = int(shared_texts._BASE)
+        plain = [sum((int(c) + 1) * pow(base, i, 1 << 64) for i, c in enumerate(data[a:b])) % (1 << 64) for a, b in zip(starts, ends)]
+        assert (shared_texts.span_hashes(data, starts, ends) == shared_texts.mixed(np.array(plain, np.uint64))).all()
+
+
 # language
 
 
@@ -407,6 +441,34 @@ def test_toxicity_of_words_told_apart_by_long_ngrams(spark):
     assert len(found) > 50 and all(r.predicted == r.doc_id % 2 for r in found)
 
 
+def test_toxicity_training_vectors_take_one_python_step(spark, texts, monkeypatch):
+    own, fitted = list(texts.items())[:120], []
+
+    class Fit(toxicity.LogisticRegression):
+        def fit(self, points):
+            fitted.append(points)
+            return super().fit(points)
+
+    monkeypatch.setattr(toxicity, "LogisticRegression", Fit)
+    labelled = [(doc, text or "", i % 3 == 0) for i, (doc, text) in enumerate([*own, (-1, "")])]
+    labelled = [(doc, text + " réeuxal mañosix" * toxic, int(toxic)) for doc, text, toxic in labelled]
+    stored = materialize(spark.createDataFrame(labelled, "id long, text string, label int"), "labelled")
+    model = toxicity.train(stored)
+    plan = fitted[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow|MapInPandas|EvalPython", plan)) == 1  # each more is one more worker to a task
+
+    points = fitted[0].collect()
+    held = [[(r.label, i) for i in r.features.indices.tolist()] for r in points]
+    row, number = model.present([text for _, text, _ in labelled])
+    assert sorted(held) == sorted([(float(labelled[i][2]), int(k)) for k in number[row == i]] for i in range(len(labelled)))
+    assert {len(r.features) for r in points} == {len(model.weights)} and any(held)
+    counts = Counter(pair for own in held for pair in own)
+    all_of = [sum(counts[label, i] + 1 for i in range(1, len(model.weights))) for label in (0.0, 1.0)]
+    for r in points:
+        ratios = [np.log((counts[1.0, i] + 1) / all_of[1]) - np.log((counts[0.0, i] + 1) / all_of[0]) for i in r.features.indices.tolist()]
+        np.testing.assert_allclose(r.features.values, ratios, rtol=1e-9, atol=1e-12)
+
+
 def test_toxicity_ngrams_over_blocks(monkeypatch):
     texts = ["", "Ab,c  d\n", "абвгдежзик", "x" * 30, "один два, три"]
 
