@@ -63,7 +63,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 2048 tokens; a null or empty text is its end token alone."""
-    return packed(pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packed(pieces(docs, public_tokenizers.path("word_bpe_49k.json"), slice_bytes=1 << 20))
 
 
 STAGES = [

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer, normalizers
 
 from tabscope.functions.columns import ref
-from tabscope.llm.texts import kept_model, keyed_text, slices
+from tabscope.llm.texts import SLICE_BYTES, kept_model, keyed_text, slices
 from tabscope.workspace import materialize
 
 GROUP_PIECES = 4096
@@ -169,9 +169,12 @@ def encoder(path: str) -> WordEncoder:
     return kept_model(("words", path), lambda: WordEncoder(path))
 
 
-def pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(
+    docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """Every document's ids and ``end_id``, cut after each ``length`` tokens:
-    ``id_col, piece, start, length, ids_crc32``. A null text is empty and has one token."""
+    ``id_col, piece, start, length, ids_crc32``. A null text is empty and has one token.
+    ``slice_bytes`` of text are encoded at a time; fewer take less memory and more time."""
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
@@ -185,7 +188,7 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_c
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        for batch in slices(batches, keep=True):
+        for batch in slices(batches, max_bytes=slice_bytes, keep=True):
             rows, at = [], []
             for row, ids in enumerate(words.ids(batch["text"].to_pylist())):
                 ids += last

@@ -648,6 +648,13 @@ def test_repeated_pieces_spread_over_groups(spark):
     assert max(Counter(r.sequence_id // 2 % 30 for r in found).values()) < 300
 
 
+def test_pieces_do_not_depend_on_the_slices(spark, texts):
+    docs = spark.createDataFrame(list(texts.items())[:60], "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    few, usual = (sorted(map(tuple, packing.pieces(docs, path, **more).collect())) for more in ({"slice_bytes": 3000}, {}))
+    assert few == usual and len(few) >= 60
+
+
 # fingerprints
 
 
